@@ -218,8 +218,8 @@ def document_probabilities(tagger: ByteTagger, texts: list[bytes], window: int =
     return sums / np.array([max(1, len(t)) for t in texts])[:, None]
 
 
-def identify(docs: DataFrame, tagger: ByteTagger | None, *, window: int = WINDOW, text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``carry`` columns of ``docs`` with lang_pred and score."""
+def identify(docs: DataFrame, tagger: ByteTagger | None, *, window: int = WINDOW, text_col: str = "text", carry: tuple[str, ...] = (), scored: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``carry`` columns of ``docs`` with the language and its score, named as in ``scored``."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     names = [*(f.name for f in rows.schema.fields[1:]), "lang_pred", "score"]
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, tagger: ByteTagger | None, *, window: int = WINDOW
                     label[i], score[i] = tagger.labels[best], min(1.0, max(0.0, float(top)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(label, pa.string()), pa.array(score)], names=names)
 
-    return rows.mapInArrow(predict, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score")
+    return rows.mapInArrow(predict, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("lang_pred").alias(scored[0]), F.col("score").alias(scored[1]))
 
 
 def held_out(id_col: str = "doc_id"):

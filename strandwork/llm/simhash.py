@@ -220,3 +220,14 @@ def near_groups(docs: DataFrame, *, words: int = 3, bits: int = BITS, direct: in
     linked = joined.join(least, "label").select("fp", "of_label")
     ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("of_label", "least").alias("component_id"))
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, *, words: int = 3, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; rows without an id stay.
+
+    Of rows that share the smallest id, one stays for each different text.
+    """
+    groups = near_groups(docs, words=words, bits=bits, id_col=id_col, text_col=text_col)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    stay = docs.join(kept, docs[id_col].cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col, text_col])
+    return stay.union(docs.where(F.col(id_col).isNull()))
