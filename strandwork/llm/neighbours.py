@@ -33,6 +33,8 @@ from .scratch import settle, shuffle_partitions
 TREES, LEAF, SAMPLE, BLOCK = 12, 96, 32_768, 4096
 #: Vectors whose true neighbours are found by brute force, and the share of these that the search has to meet.
 PROBES, TARGET = 64, 0.95
+#: Rows of results that a task gathers before it sifts them.
+GATHER = 400_000
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -145,17 +147,31 @@ def visits_for(forest: Forest, probes: np.ndarray, near: pd.DataFrame, target: f
 
 
 def _ranked(k: int, dims: int):
-    """From rows in order of (leaf, block, members first): (query, class, score) of the best of each block."""
+    """From rows in order of (leaf, block, members first): (query, class, score) of the best of a task's blocks, k of each query."""
+
+    def best(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Without repeats of (query, class), k of each query."""
+        query, found, score = map(np.concatenate, zip(*parts))
+        order = np.lexsort((found, -score, query))
+        query, found, score = query[order], found[order], score[order]
+        fresh = np.append(True, (np.diff(query) != 0) | (np.diff(found) != 0))  # the same pair has the same score, so it is adjacent
+        query, found, score = query[fresh], found[fresh], score[fresh]
+        first = np.maximum.accumulate(np.where(np.append(True, np.diff(query) != 0), np.arange(len(query)), 0))
+        few = np.arange(len(query)) - first < k
+        return query[few], found[few], score[few]
+
+    def batch_of(parts: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in best(parts)], names=["query", "class", "score"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, held = (-1, -1), [], []
+        kept, rows = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             leaf, block, asks, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "block", "asks", "id"))
             vectors = _array(batch.column("vector"), dims)
             change = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
-            out = []
             for a, z in zip([0, *change.tolist()], [*change.tolist(), len(leaf)]):
                 if (leaf[a], block[a]) != now:
                     now, ids, held = (leaf[a], block[a]), [], []
@@ -164,10 +180,16 @@ def _ranked(k: int, dims: int):
                     held.append(vectors[a:z])
                 elif ids:
                     at, found, score = _best(vectors[a:z], np.concatenate(held), np.concatenate(ids), k)
-                    out.append((own[a:z][at], found, score))
-            if out:
-                q, c, s = map(np.concatenate, zip(*out))
-                yield pa.RecordBatch.from_pydict({"query": pa.array(q), "class": pa.array(c), "score": pa.array(s)})
+                    kept.append((own[a:z][at], found, score))
+                    rows += len(found)
+            if rows > GATHER:
+                kept = [best(kept)]
+                rows = len(kept[0][0])
+                if rows > GATHER // 2:
+                    yield batch_of(kept)
+                    kept, rows = [], 0
+        if kept:
+            yield batch_of(kept)
 
     return each
 
