@@ -120,7 +120,8 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
     """A row per span to remove: doc_id, start, end, n_words, n_units, and the kept occurrence of its first unit; and ``row``."""
     found = settle(units(docs, id_col=id_col, text_col=text_col), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "unit", "start")
-    known = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where("n > 1")
+    # Written, so that the join deals both sides anew and adaptive execution may split a unit that is everywhere.
+    known = settle(found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where("n > 1"), "repeated-units")
     later = found.join(known, ["high", "low"]).where((F.col("row") != F.col("kept.row")) | (F.col("unit") != F.col("kept.unit")))
     own = Window.partitionBy("row").orderBy("unit")
     runs = later.withColumn("run", F.col("unit") - F.row_number().over(own))
