@@ -218,7 +218,8 @@ def near_groups(docs: DataFrame, *, words: int = 3, bits: int = BITS, direct: in
     joined = classes.join(labels, classes.fp == labels.node)
     least = joined.groupBy("label").agg(F.min("least").alias("of_label"))
     linked = joined.join(least, "label").select("fp", "of_label")
-    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("of_label", "least").alias("component_id"))
+    # Written, so that the join deals both sides anew and adaptive execution may split a fingerprint of very many rows.
+    ids = settle(classes.join(linked, "fp", "left").select("fp", F.coalesce("of_label", "least").alias("component_id")), "component-ids")
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
