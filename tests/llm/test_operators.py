@@ -196,6 +196,14 @@ def test_pii(spark, docs, none):
     assert pii.pii_spans(none).count() == 0
 
 
+def test_pii_adds_loose_candidates_above_the_threshold(spark):
+    rows = [(i, f"please call +1 (743) 555-{1000 + i} today") for i in range(400)] + [(1000, "please call (743) 555-9999 today"), (1001, "no. 743 555 99991"), (1002, None)]
+    got = {r["doc_id"]: r for r in rows_of(pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got[1000]["spans"] == "phone:12:26" and got[1000]["n_phone"] == 0 and got[1001]["spans"] == got[1002]["spans"] == ""
+    assert all(got[i]["spans"] == "phone:12:29" and got[i]["n_phone"] == 1 for i in range(400))
+    assert pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1000").first()["text"] == "please call [PHONE] today"
+
+
 def test_boosted_trees_and_thresholds():
     cells = [(pii.packed(k, b), 50 * (b & 1) + 1, 50 * (1 - (b & 1))) for k in range(4) for b in range(8)]
     model = pii.boost(cells)
