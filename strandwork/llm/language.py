@@ -221,20 +221,23 @@ def document_probabilities(tagger: ByteTagger, texts: list[bytes], window: int =
 def identify(docs: DataFrame, tagger: ByteTagger | None, *, window: int = WINDOW, text_col: str = "text", carry: tuple[str, ...] = (), scored: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``carry`` columns of ``docs`` with the language and its score, named as in ``scored``."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    names = [*(f.name for f in rows.schema.fields[1:]), "lang_pred", "score"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "lang_pred string", "score double"])
+    sent = carry if text_col in carry else (*carry, text_col)  # a carried text goes to the task once
+    at, width = sent.index(text_col), len(carry)
+    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(sent)])
+    kept = rows.schema.fields[:width]
+    names = [*(f.name for f in kept), "lang_pred", "score"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(at).to_pylist()
             own = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if tagger else []
             label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if own:
                 p = document_probabilities(tagger, [texts[i].encode() for i in own], window)
                 for i, best, top in zip(own, p.argmax(axis=1), p.max(axis=1), strict=True):
                     label[i], score[i] = tagger.labels[best], min(1.0, max(0.0, float(top)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(label, pa.string()), pa.array(score)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(label, pa.string()), pa.array(score)], names=names)
 
     return rows.mapInArrow(predict, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("lang_pred").alias(scored[0]), F.col("score").alias(scored[1]))
 

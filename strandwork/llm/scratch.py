@@ -35,11 +35,12 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 3000) -> None:
-    """Bound the rows of an Arrow batch, as whole texts may be long."""
+def small_batches(spark: SparkSession, rows: int = 3000, size: str = "4m") -> None:
+    """Bound the rows and the bytes of an Arrow batch, as whole texts may be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
