@@ -36,7 +36,7 @@ ROUNDS, RATE = 24, 0.3
 class Generator:
     kind: int
     base: bool
-    #: Text without this pattern has no match; cheaper to look for.
+    #: Text without this has no match; cheaper to look for. A pattern, but for a single character.
     needs: str
     pattern: str
 
@@ -48,7 +48,7 @@ GENERATORS = (
     Generator(1, True, ".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     Generator(2, True, "[0-9]", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"),
     Generator(3, True, "+", r"\+[0-9][ ().0-9-]+[0-9]"),
-    Generator(0, False, "[0-9]", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[a-z0-9-]{1,63}+ ?(?:[\[(]dot[\])]|\.) ?[a-z]{2,10}(?![a-z0-9])"),
+    Generator(0, False, r"(?i)[\[(]at[\])]", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[a-z0-9-]{1,63}+ ?(?:[\[(]dot[\])]|\.) ?[a-z]{2,10}(?![a-z0-9])"),
     Generator(2, False, "[0-9]", r"(?<![0-9])(?<![0-9][ -])3[47](?:[ -]?[0-9]){13}+(?![ -]?[0-9])"),
     Generator(3, False, "[0-9]", r"(?<![0-9+().-])(?<![0-9+] )\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
 )
@@ -93,7 +93,7 @@ def candidates(docs: DataFrame, text: str) -> DataFrame:
     some = lambda i: F.size(f"_h{i}") > 0
     hits = {}
     for i, g in enumerate(GENERATORS):
-        needed = F.col(text).rlike(g.needs) if g.needs.startswith("[") else F.contains(F.col(text), F.lit(g.needs))
+        needed = F.col(text).rlike(g.needs) if len(g.needs) > 1 else F.contains(F.col(text), F.lit(g.needs))
         hits[f"_h{i}"] = F.when(needed, F.regexp_extract_all(F.col(text), F.lit(g.pattern), 0)).otherwise(F.array().cast("array<string>"))
     out = docs.withColumns(hits).withColumns({f"_p{i}": F.when(some(i), F.split(F.col(text), g.pattern, -1)) for i, g in enumerate(GENERATORS)})
 

@@ -204,6 +204,15 @@ def test_pii_adds_loose_candidates_above_the_threshold(spark):
     assert pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1000").first()["text"] == "please call [PHONE] today"
 
 
+def test_pii_finds_obfuscated_addresses_in_texts_without_digits(spark):
+    rows = [(i, f"please write to user.name@host{i}.example.com today") for i in range(400)]
+    odd = ["please write to john.doe [at] example [dot] com today", "please write to john.doe (AT) example.org today", "please write to john.doe at example dot com today", "7 times: john.doe [at] example [dot] com"]
+    docs = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows_of(pii.pii_spans(docs))}
+    assert [got[1000 + i]["spans"] for i in range(4)] == ["email:16:47", "email:16:41", "", "email:9:40"] and got[1000]["n_email"] == 0
+    assert pii.redact(docs).where("doc_id = 1000").first()["text"] == "please write to [EMAIL] today"
+
+
 def test_boosted_trees_and_thresholds():
     cells = [(pii.packed(k, b), 50 * (b & 1) + 1, 50 * (1 - (b & 1))) for k in range(4) for b in range(8)]
     model = pii.boost(cells)
