@@ -1,24 +1,28 @@
-"""Substring dedup by hashing of lines and their sentences.
+"""Substring dedup by hashing of lines and of passages between cuts.
 
-A text is cut into units: at each line break, after a word that ends a sentence, and after words that
-a hash of their own letters picks, so that a passage is cut alike wherever it stands. A unit has
-``LEAST`` words at least, or goes on, and ``MOST`` at most. Units are normalised (ASCII letters in lower case, white space
-collapsed) and grouped by a 128-bit digest over all documents; the occurrence of lowest rank (id,
-then offset) is kept. All later ones that stand next to each other form a run, and runs of
-``min_words`` words or more are removed. Offsets are those of the original text, in code points.
+Two kinds of units are hashed. Each line with a word is one. The others are passages of ``LEAST`` words or more from a cut to
+the next cut far enough, so they overlap and may go over line breaks. A cut stands after a word that ends a
+sentence, and after the last of the least hashes of two words in a row in each ``WINDOW`` of them that holds no such end; so whether a place is
+cut depends on no word more than ``WINDOW`` away, and cuts are at most ``WINDOW`` words apart. A passage of 51 words that stands
+between other neighbours has thus a unit in common with its copy for certain: cuts 11 or more words from its ends are the same.
+
+Words stand between white space; in scripts without spaces each character is a word. A unit is known by a 128-bit
+polynomial of its words' hashes (ASCII letters in lower case); the occurrence of lowest rank (id, then offset) is kept.
+Later ones that touch or overlap form a run. Runs of ``min_words`` words or more are removed, and those that hold a whole
+line of ``min_line`` words. Offsets are those of the original text, in code points.
 
 Only digests that occur more than once go on to the join, and both the grouping (partial sums) and
 the join (skewed partitions are split by adaptive execution) bear a unit that very many documents
 share. A document is known by its place in the written table of units, so repeated ids don't mix.
 
 Defined results: null and empty texts have no units; null ids rank last; repeated rows are
-copies like any others; an empty table gives an empty result; other columns are ignored.
+copies like any others; what overlaps its kept occurrence stays; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,110 +35,152 @@ from pyspark.sql.window import Window
 
 from .scratch import settle, small_batches
 
-LEAST, MOST = 4, 40
+LEAST, WINDOW = 8, 10
 MIN_WORDS = 8
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01\uff0c\uff1f\U00020000-\U0003ffff"
 _WORD = re.compile(r"\S+")
-_NEXT = re.compile(r"\S+\s*")
+_TOKEN = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: One word in so many ends a unit by its own hash.
-PICK = 12
-UNITS = "row long, doc_id long, unit int, start int, end int, words int, high long, low long"
+_BASE = 0x9E3779B97F4A7C15
+_LINE = np.uint64(0x5851F42D4C957F2D)  # tells lines from passages
+UNITS = "row long, doc_id long, unit int, start int, end int, words int, line boolean, high long, low long"
+
+
+class _Words(dict):
+    """The number of each word seen; its two hashes and whether it ends a sentence stand at that number."""
+
+    def __init__(self) -> None:
+        self.high, self.low, self.ends = array("Q"), array("Q"), array("b")
+
+    def __missing__(self, word: str) -> int:
+        plain = word.encode("utf-8", "replace").translate(_LOWER)
+        self[word] = number = len(self.high)
+        self.high.append(xxhash.xxh3_64_intdigest(plain, 1))
+        self.low.append(xxhash.xxh3_64_intdigest(plain, 2))
+        self.ends.append(word.rstrip("\"')]”’»")[-1:] in (".", "!", "?", "。", "！", "？", "…", "।", "؟"))
+        return number
+
+
+def _placed(text: str) -> tuple[list[str], np.ndarray]:
+    """The words of a text and their offsets."""
+    if text.isascii() or not _HAS_UNSPACED.search(text):
+        words = text.split()
+        if " ".join(words) == text.replace("\n", " "):
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            return words, np.concatenate([[0], ends[:-1]]) if words else ends
+        found = list(_WORD.finditer(text))
+    else:
+        found = list(_TOKEN.finditer(text))
+    return [m.group() for m in found], np.fromiter((m.start() for m in found), np.int64, len(found))
 
 
 class UnitCutter:
-    """Cuts texts; remembers which words end a unit."""
-
-    def __init__(self, least: int = LEAST) -> None:
-        self.least, self.ends = least, {}
-
-    def _ends(self, word: str) -> bool:
-        known = self.ends.get(word)
-        if known is None:
-            if len(self.ends) > 400_000:
-                self.ends.clear()
-            bare = word.rstrip("\"')]*#$%&!.?")
-            known = self.ends[word] = word.rstrip("\"')]")[-1:] in (".", "!", "?") or zlib.crc32(bare.encode("utf-8", "replace").translate(_LOWER)) % PICK == 0
-        return known
-
-    def cut(self, text: str) -> list[tuple[int, int, int, bytes]]:
-        """(start, end, words, normalised bytes) of each unit."""
-        out, base = [], 0
-        for line in text.split("\n"):
-            words = line.split()
-            if words:
-                flags = list(map(self._ends, words))
-                at, first, n = 0, 0, len(words)
-                spans = None if " ".join(words) == line else [m.span() for m in _WORD.finditer(line)]
-                for i in range(n):
-                    if i + 1 == n or flags[i] and i + 1 - first >= self.least or i + 1 - first == MOST:
-                        body = " ".join(words[first : i + 1])
-                        if spans is None:
-                            start, end = at, at + len(body)
-                            at = end + 1
-                        else:
-                            start, end = spans[first][0], spans[i][1]
-                        out.append((base + start, base + end, i + 1 - first, body.encode("utf-8", "replace").translate(_LOWER)))
-                        first = i + 1
-            base += len(line) + 1
-        return out
+    """Cuts texts; remembers the hashes of words."""
+
+    def __init__(self) -> None:
+        self.known = _Words()
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """text, first word, start, end, words, line, high and low of each unit."""
+        if len(self.known) > 400_000:
+            self.known = _Words()
+        words, starts, lines = [], [], []
+        first = np.zeros(len(texts) + 1, np.int64)  # each text's first word
+        for i, text in enumerate(texts):
+            own, at = _placed(text)
+            words += own
+            starts.append(at)
+            if own:
+                breaks = np.cumsum([0, *[len(x) + 1 for x in text.split("\n")]])
+                lines.append(np.unique(np.searchsorted(at, breaks)) + first[i])
+            first[i + 1] = first[i] + len(own)
+        n = len(words)
+        if not n:
+            return (np.zeros(0, np.int64),) * 5 + (np.zeros(0, bool),) + (np.zeros(0, np.uint64),) * 2
+        owner, start = np.repeat(np.arange(len(texts)), np.diff(first)), np.concatenate(starts)
+        end = start + np.fromiter(map(len, words), np.int64, n)
+        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, n)
+        high, low = (np.array(h, np.uint64)[codes] for h in (self.known.high, self.known.low))
+
+        cut = np.array(self.known.ends, bool)[codes]  # after this word
+        if n > WINDOW:
+            pair = np.where(cut[:-1], np.uint64(0), (high[:-1] * np.uint64(_BASE) + low[1:]) >> np.uint64(20))  # a sentence's end goes first
+            windows = np.lib.stride_tricks.sliding_window_view(pair, WINDOW)
+            whole = np.flatnonzero(owner[:-WINDOW] == owner[WINDOW:])
+            cut[whole + WINDOW - 1 - windows[whole, ::-1].argmin(axis=1)] = True
+        cuts = np.flatnonzero(cut) + 1
+        cuts = cuts[cuts < n]
+        to = np.searchsorted(cuts, cuts + LEAST)
+        ok = to < len(cuts)
+        a, z = cuts[ok], cuts[to[ok]]
+        inside = owner[a] == owner[z - 1]
+        a, z = a[inside], z[inside]
+        bounds = np.concatenate(lines)
+        bounds = bounds[np.concatenate([[True], np.diff(bounds) > 0])]
+        line = np.repeat([False, True], [len(a), len(bounds) - 1])
+        a, z = np.concatenate([a, bounds[:-1]]), np.concatenate([z, bounds[1:]])
+
+        power = np.full(n + 1, _BASE, np.uint64)
+        back = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+        power[0] = back[0] = 1
+        power, back = np.cumprod(power), np.cumprod(back)
+        digest = []
+        for h in (high, low):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
+            digest.append((sums[z] - sums[a]) * back[a])
+        digest[1] ^= np.where(line, _LINE, np.uint64(0))
+        return owner[a], a - first[owner[a]], start[a], end[z - 1], z - a, line, *digest
 
 
 def units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per unit: the document's row number and id, the unit's number, offsets, words and digest."""
+    """A row per unit: the document's row number and id, the unit's first word, offsets, words, whether a line, and digest."""
     small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, row = UnitCutter(), TaskContext.get().partitionId() << 33
-        columns: list[list] = [[] for _ in range(7)]
-        digests: list[bytes] = []
-
-        def flush() -> pa.RecordBatch:
-            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            out = [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.array(halves[:, 0]), pa.array(halves[:, 1])]
-            for c in columns:
-                c.clear()
-            digests.clear()
-            return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in UNITS.split(", ")])
-
-        rows, ids, number, starts, ends, words, _ = columns
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = cutter.cut(text.as_py() or "")
-                if found:
-                    n = len(found)
-                    s, e, w, bodies = zip(*found)
-                    rows.extend([row] * n), ids.extend([doc] * n), number.extend(range(n))
-                    starts.extend(s), ends.extend(e), words.extend(w)
-                    digests.extend(map(xxhash.xxh3_128_digest, bodies))
-                row += 1
-                if len(rows) > 50_000:
-                    yield flush()
-        if rows:
-            yield flush()
+            texts, a = [t or "" for t in batch.column(1).to_pylist()], 0
+            while a < len(texts):
+                z, size = a, 0
+                while z < len(texts) and (z == a or size + len(texts[z]) < 1 << 20):
+                    size += len(texts[z])
+                    z += 1
+                owner, unit, start, end, words, line, high, low = cutter.cut(texts[a:z])
+                ids = batch.column(0).slice(a, z - a).take(pa.array(owner))
+                ints = [pa.array(x.astype(np.int32)) for x in (unit, start, end, words)]
+                yield pa.RecordBatch.from_arrays([pa.array(owner + row), ids, *ints, pa.array(line), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))], names=[x.split()[0] for x in UNITS.split(", ")])
+                row += z - a
+                a = z
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, UNITS)
 
 
-def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per span to remove: doc_id, start, end, n_words, n_units, and the kept occurrence of its first unit; and ``row``."""
+def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, min_line: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per span to remove: doc_id, start, end, n_words, n_units, and the kept occurrence of its first unit; and ``row``.
+
+    ``min_line``: words of a line that is removed though its run is shorter than ``min_words``; 1 removes each repeated line.
+    """
     found = settle(units(docs, id_col=id_col, text_col=text_col), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "unit", "start")
     # Written, so that the join deals both sides anew and adaptive execution may split a unit that is everywhere.
     known = settle(found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where("n > 1"), "repeated-units")
-    later = found.join(known, ["high", "low"]).where((F.col("row") != F.col("kept.row")) | (F.col("unit") != F.col("kept.unit")))
-    own = Window.partitionBy("row").orderBy("unit")
-    runs = later.withColumn("run", F.col("unit") - F.row_number().over(own))
+    apart = (F.col("row") != F.col("kept.row")) | (F.col("unit") >= F.col("kept.unit") + F.col("words"))
+    later = found.join(known, ["high", "low"]).where(apart).select("row", "doc_id", "unit", "start", "end", "words", "line", "kept")
+    own = Window.partitionBy("row").orderBy("unit", "words", "line")
+    reach = F.max(F.col("unit") + F.col("words")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.withColumn("fresh", F.when(F.col("unit") <= reach, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("row", "doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"),
-        F.min_by("kept", "unit").alias("kept"),
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("unit") + F.col("words")) - F.min("unit")).cast("long").alias("n_words"), F.count("*").alias("n_units"),
+        F.min_by("kept", F.struct("unit", "words", "line")).alias("kept"), F.max(F.when(F.col("line"), F.col("words")).otherwise(0)).alias("longest"),
     )
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "n_units", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), "row")
+    enough = (F.col("n_words") >= min_words) | (F.col("longest") >= (min_words if min_line is None else min_line))
+    return spans.where(enough).select("doc_id", "start", "end", "n_words", "n_units", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), "row")
 
 
-def drop_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, min_line: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without their repeated spans, and ``removed``: their original offsets. Ids have to be distinct."""
-    spans = repeated_spans(docs, min_words=min_words, id_col=id_col, text_col=text_col)
+    spans = repeated_spans(docs, min_words=min_words, min_line=min_line, id_col=id_col, text_col=text_col)
     each = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     text = F.col(text_col)
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))

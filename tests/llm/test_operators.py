@@ -299,6 +299,24 @@ def test_repeats(spark, docs, none):
     assert repeats.repeated_spans(docs).where("doc_id in (10)").count() == 1 and repeats.repeated_spans(none).count() == 0
 
 
+def test_repeats_catches_every_passage_of_over_50_words():
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    han = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x6000, n)))
+    cutter, covered = repeats.UnitCutter(), []
+    for i in range(600):
+        make, gap = (text, " ") if i % 4 else (han, "")
+        passage = make(51)
+        sides = [gap.join([make(int(rng.integers(1, 60))), passage, make(int(rng.integers(1, 60)))]) for _ in range(2)]
+        units = [list(zip(*(x.tolist() for x in cutter.cut([t])), strict=True)) for t in sides]
+        first, second = ({u[6:]: u for u in of} for of in units)
+        shared = [second[d] for d in first.keys() & second.keys() if not second[d][5]]
+        at = sides[1].index(passage)
+        assert shared and all(at <= u[2] and u[3] <= at + len(passage) for u in shared)
+        covered.append(len({w for u in shared for w in range(u[1], u[1] + u[4])}) / 51)
+    assert np.mean(covered) > 0.7
+
+
 def test_word_model(docs, none):
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w] + ["\n"]
