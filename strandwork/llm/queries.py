@@ -53,7 +53,7 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_spans(table(spark, sf_dir, "documents"))
+    return repeats.repeated_spans(table(spark, sf_dir, "documents"), min_line=1)
 
 
 def op10_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:

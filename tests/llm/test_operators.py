@@ -317,6 +317,16 @@ def test_repeats_catches_every_passage_of_over_50_words():
     assert np.mean(covered) > 0.7
 
 
+# In lines of fewer words than a passage has, and in scripts without spaces.
+def test_repeats_removes_every_later_line(spark):
+    rows = [(1, "own one\nLicensed under the Apache License, Version 2.0.\nown two"), (2, "other\nlicensed under the  Apache License, Version 2.0.\nwords"), (3, "Next page"), (4, "own three\nNext page\nown four"), (5, "这是一个没有空格的段落"), (6, "这是一个没有空格的段落"), (7, " ".join(["x"] * 100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in rows_of(repeats.drop_repeats(df, min_line=1))}
+    assert [out[i] for i in (1, 3, 5)] == [rows[0][1], rows[2][1], rows[4][1]]
+    assert [out[i] for i in (2, 4, 6)] == ["other\n\nwords", "own three\n\nown four", ""] and 8 <= len(out[7].split()) < 100
+    assert {r["doc_id"] for r in rows_of(repeats.repeated_spans(df))} == {6, 7}
+
+
 def test_word_model(docs, none):
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w] + ["\n"]
