@@ -68,6 +68,11 @@ def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, "doc_id long, fp long")
 
 
+def _served(bits: int) -> None:
+    if not 0 <= bits <= BITS:
+        raise ValueError(f"the anchors cover distances of 0 to {BITS} bits, not {bits}")
+
+
 def _syndromes(word: np.ndarray) -> np.ndarray:
     out = np.zeros(len(word), np.uint64)
     for bit, check in enumerate(_CODE):
@@ -170,24 +175,25 @@ def _links(bits: int):
 
 
 def crowded_links(members: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links that join whatever of ``members (fp)`` is within ``bits`` = 3, in linear work.
+    """Links that join whatever of ``members (fp)`` is within ``bits``, in linear work.
 
     Two fingerprints at three bits or fewer have a word within one bit of the one and two of the
     other. Around each word that is within one bit of some member, that member is linked to all
-    within two: all of those are truly within three bits of it.
+    within two: all of those are truly within three bits of it. Of fewer bits the radii are the halves.
     """
-    if bits != 3:
-        raise ValueError("the radii one and two are for three bits")
+    _served(bits)
+    near, far = bits // 2, bits - bits // 2
     spark = members.sparkSession
     masks = np.array([0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i in range(64) for j in range(i))], np.uint64).view(np.int64)
     flips = spark.range(1).select(F.explode(F.array(*[F.lit(int(m)) for m in masks])).alias("mask"))  # 2,081 rows
-    around = members.crossJoin(F.broadcast(flips)).select("fp", "mask", F.col("fp").bitwiseXOR(F.col("mask")).alias("word"))
-    centres = around.where(F.bit_count("mask") <= 1).groupBy("word").agg(F.min("fp").alias("centre"))
+    around = members.crossJoin(F.broadcast(flips.where(F.bit_count("mask") <= far))).select("fp", "mask", F.col("fp").bitwiseXOR(F.col("mask")).alias("word"))
+    centres = around.where(F.bit_count("mask") <= near).groupBy("word").agg(F.min("fp").alias("centre"))
     return around.join(centres, "word").where("fp <> centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def fingerprint_links(fps: DataFrame, bits: int = BITS, direct: int = DIRECT) -> DataFrame:
-    """Edges (a, b) between different fingerprints of ``fps (fp)`` that connect just what links at ``bits`` or fewer do."""
+    """Edges (a, b) between different fingerprints of ``fps (fp)`` that connect just what links at ``bits`` (3 at most) or fewer do."""
+    _served(bits)
     spark = fps.sparkSession
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +218,7 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, direct: int = DIRECT) ->
 
 def near_groups(docs: DataFrame, *, words: int = 3, bits: int = BITS, direct: int = DIRECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (least doc_id of the component)."""
+    _served(bits)
     fps = settle(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "fingerprints")
     classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     labels = connected_components(fingerprint_links(classes, bits, direct))

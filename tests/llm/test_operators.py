@@ -90,6 +90,24 @@ def test_anchor_cover_links_every_near_pair(spark):
                     assert find(int(np.uint64(x).view(np.int64))) == find(int(np.uint64(y).view(np.int64)))
 
 
+def test_simhash_serves_up_to_three_bits_and_refuses_more(spark, docs):
+    fps = [5, 5 ^ 1, 5 ^ 6, 5 ^ 7 << 20, 5 ^ 15 << 40]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for bits in range(4):
+        want = {frozenset((a, b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= bits}
+        for direct in (4096, 0):
+            label = {f: f for f in fps}
+            for links, found in (([tuple(w) for w in want], {f: f for f in fps}), ([(r.a, r.b) for r in simhash.fingerprint_links(df, bits, direct).collect()], label)):
+                for _ in fps:
+                    for a, b in links:
+                        found[a] = found[b] = min(found[a], found[b])
+                expected = found if found is not label else expected
+            assert label == expected
+    for call in (lambda: simhash.near_groups(docs, bits=4), lambda: simhash.drop_near_copies(docs, bits=4), lambda: simhash.fingerprint_links(df, 4)):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_exact_dedup(docs, none):
     for keep, best in (("largest", max), ("smallest", min)):
         got = rows_of(exact_dedup.exact_dedup(docs, keep=keep))
