@@ -2,12 +2,11 @@
 
 A document's ids are cut every ``capacity`` tokens; whole cuts are sequences already. What remains
 is cut every ``grain`` tokens, so that a window holds several pieces, and pieces gather until
-they fill ``windows`` windows; the last piece is cut to fit. Such a group is split by
+they come to ``windows`` windows less ``slack`` tokens each; the last piece is cut to fit. Such a group is split by
 differencing: partial partitions start with one piece each, and the two with the largest
 imbalance merge again and again, the fullest window of one with the emptiest of the other.
-The windows then are nearly equal; as documents may be cut freely, the few tokens above the
-capacity move to the windows below it. Where pieces may not be cut (``level=False``), the number
-of windows rises instead whenever the capacity is exceeded, and the group is split anew. At a
+The windows then are nearly equal and become the sequences as they are; where one exceeds the capacity, the number
+of windows rises and the group is split anew. At a
 task's end, what is left over from whole windows goes to sequences of powers of two, which
 need no padding.
 
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import release, small_batches
 from .words import encoder_of
 
 ROWS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -68,10 +67,11 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         count += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = 1024, grain: int = 384, windows: int = 16, level: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = 1024, grain: int = 256, windows: int = 32, slack: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     small_batches(docs.sparkSession)
-    full = windows * capacity
+    fill = capacity - slack
+    full = windows * fill
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, serial = encoder_of(tokenizer, True), TaskContext.get().partitionId() << 33
@@ -104,33 +104,8 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = 10
             return out
 
         def split(group: list[tuple]) -> None:
-            sizes = [len(p[2]) // 4 for p in group]
-            if not level:
-                for window in windows_of(sizes, capacity):
-                    place([group[i] for i in window])
-                return
-            split_windows = [[group[i] for i in w] for w in differencing(sizes, -(-sum(sizes) // capacity))]
-            above, room = [], []
-            for window in split_windows:
-                over = sum(len(p[2]) // 4 for p in window) - capacity
-                while over > 0:
-                    doc, start, ids, total = window.pop()
-                    size = len(ids) // 4
-                    off = min(over, size)
-                    if off < size:
-                        window.append((doc, start, ids[: 4 * (size - off)], total))
-                    above.append((doc, start + size - off, ids[4 * (size - off) :], total))
-                    over -= off
-                room.append(-over)
-            for window, space in zip(split_windows, room, strict=True):
-                while space and above:
-                    doc, start, ids, total = above.pop()
-                    size = min(space, len(ids) // 4)
-                    window.append((doc, start, ids[: 4 * size], total))
-                    if size < len(ids) // 4:
-                        above.append((doc, start + size, ids[4 * size :], total))
-                    space -= size
-                place(window)
+            for window in windows_of([len(p[2]) // 4 for p in group], capacity):
+                place([group[i] for i in window])
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], names=list(NAMES))
@@ -151,11 +126,12 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = 10
                     split(take(full))
                 if len(done) > 20_000:
                     yield flush()
-        if whole := held // capacity:
-            split(take(whole * capacity))
+        if whole := held // fill:
+            split(take(whole * fill))
         while held:
             place(take(1 << held.bit_length() - 1))
         if done:
             yield flush()
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, ROWS)

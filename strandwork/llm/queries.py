@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, language, neighbours, packing, pieces, pii, repeats, scratch, simhash, token_files, word_model
 
-#: Where the public vocabularies lie; a caller may set another folder.
-TOKENIZERS = "/opt/tokenizers"
+#: The public vocabularies; the operators take any path.
+WORD_BPE, BYTE_BPE, PIECE_BPE = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_path(spark, "token-files")
     docs = table(spark, sf_dir, "documents")
-    manifest = token_files.write_token_files(docs, folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, spaced=False)
+    manifest = token_files.write_token_files(docs, folder, WORD_BPE, end_id=2, spaced=False)
     return token_files.read_token_files(spark, folder, manifest)
 
 
@@ -33,7 +34,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.piece_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import release, small_batches
 from .words import encoder_of
 
 NO_ID = -(1 << 63)
@@ -61,8 +61,24 @@ class _Store:
         at = f"{self.root}/{name}"
         if self.local:
             return np.memmap(at, dtype=dtype, mode="r") if os.path.getsize(at) else np.empty(0, dtype)
-        with self.fs.open_input_file(at) as f:
-            return np.frombuffer(f.read(), dtype=dtype)
+        return _Remote(self.fs, at, np.dtype(dtype))
+
+
+class _Remote:
+    """A file of a remote store as an array of which slices are read when asked for."""
+
+    def __init__(self, fs, at: str, dtype: np.dtype) -> None:
+        self.fs, self.at, self.dtype = fs, at, dtype
+        self.size = fs.get_file_info(at).size // dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, z, _ = part.indices(self.size)
+        with self.fs.open_input_file(self.at) as f:
+            f.seek(a * self.dtype.itemsize)
+            return np.frombuffer(f.read(max(0, z - a) * self.dtype.itemsize), self.dtype)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int, spaced: bool, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -92,6 +108,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
         for x, f in files.items():
             f.close()
             store.rename(f"{x}-{k}.{own}", f"{x}-{k}.bin")
+        release()
         if files:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "documents": pa.array([count], pa.int64()), "tokens": pa.array([total], pa.int64()), "width": pa.array([width], pa.int32())})
 
@@ -111,15 +128,16 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list[dict]) ->
         for batch in batches:
             for m in batch.to_pylist():
                 ids, ends, docs = (store.mapped(f"{x}-{m['shard']}.bin", t) for x, t in (("ids", f"<u{m['width']}"), ("ends", "<u8"), ("docs", "<i8")))
-                for a in range(0, len(docs), 4096):
-                    z = min(a + 4096, len(docs))
+                for a in range(0, len(docs), 1024):
+                    z = min(a + 1024, len(docs))
                     at = ends[a : z + 1].astype(np.int64)
+                    own = ids[int(at[0]) : int(at[-1])]
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array(docs[a:z], pa.int64(), mask=np.asarray(docs[a:z]) == NO_ID),
                             "start": pa.array(at[:-1] + m["base"]),
                             "n_tokens": pa.array(np.diff(at)),
-                            "ids_crc32": pa.array([zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1], at[1:])], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(own[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1] - at[0], at[1:] - at[0])], pa.int64()),
                         }
                     )
 

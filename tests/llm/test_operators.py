@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandwork.llm import exact_dedup, language, neighbours, packing, pieces, pii, repeats, simhash, token_files, word_model
-from strandwork.llm.queries import TOKENIZERS
+from strandwork.llm.queries import BYTE_BPE, PIECE_BPE, WORD_BPE
 
 BASE = "the river ran past an old mill where nobody had worked since the long war ended. " * 6
 LONG = " ".join(f"word{i % 977} of{i}" for i in range(6000))
@@ -48,8 +48,8 @@ def test_simhash(docs, none):
         h = [xxhash.xxh64_intdigest(s, seed=42) for s in sh]
         return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64)) if h else 0
 
-    for direct in (4096, 1):
-        got = rows_of(simhash.near_groups(docs, direct=direct))
+    for dense in (4096, 1, 0):
+        got = rows_of(simhash.near_groups(docs, dense=dense))
         assert len(got) == len(ROWS)
         own = [(r[0], fp(r[1])) for r in ROWS]
         label = list(range(len(own)))
@@ -73,8 +73,8 @@ def test_anchor_cover_links_every_near_pair(spark):
         for n in (1, 2, 3, 4):
             fps.append(int(b) ^ int(sum(1 << int(k) for k in rng.choice(64, n, replace=False))))
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    for direct in (4096, 0):
-        links = [(r.a, r.b) for r in simhash.fingerprint_links(df, direct=direct).collect()]
+    for dense in (4096, 2, 0):
+        links = [(r.a, r.b) for r in simhash.fingerprint_links(df, dense=dense).collect()]
         parent = {f: f for f in {int(np.uint64(f).view(np.int64)) for f in fps}}
 
         def find(x):
@@ -95,9 +95,9 @@ def test_simhash_serves_up_to_three_bits_and_refuses_more(spark, docs):
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     for bits in range(4):
         want = {frozenset((a, b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= bits}
-        for direct in (4096, 0):
+        for dense in (4096, 0):
             label = {f: f for f in fps}
-            for links, found in (([tuple(w) for w in want], {f: f for f in fps}), ([(r.a, r.b) for r in simhash.fingerprint_links(df, bits, direct).collect()], label)):
+            for links, found in (([tuple(w) for w in want], {f: f for f in fps}), ([(r.a, r.b) for r in simhash.fingerprint_links(df, bits, dense).collect()], label)):
                 for _ in fps:
                     for a, b in links:
                         found[a] = found[b] = min(found[a], found[b])
@@ -132,17 +132,16 @@ def test_exact_dedup_with_hot_texts(spark, monkeypatch):
     assert all(r["keep_id"] == 199 for r in got if r["doc_id"] % 3)
 
 
-def plain_ids(name):
+def plain_ids(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(f"{TOKENIZERS}/{name}")
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_token_files(spark, docs, none, tmp_path):
-    encode = plain_ids("word_bpe_49k.json")
-    manifest = token_files.write_token_files(docs, f"file://{tmp_path}/f", f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, spaced=False)
+    encode = plain_ids(WORD_BPE)
+    manifest = token_files.write_token_files(docs, f"file://{tmp_path}/f", WORD_BPE, end_id=2, spaced=False)
     got = sorted(rows_of(token_files.read_token_files(spark, f"file://{tmp_path}/f", manifest)), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in ROWS), key=lambda x: (x is not None, x))
     at, want = 0, collections.Counter((r[0], zlib.crc32(np.array([*encode(r[1]), 2], "<u4").tobytes())) for r in ROWS)
@@ -150,29 +149,36 @@ def test_token_files(spark, docs, none, tmp_path):
         assert r["start"] == at
         at += r["n_tokens"]
     assert collections.Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
-    assert token_files.read_token_files(spark, str(tmp_path), token_files.write_token_files(none, f"{tmp_path}/g", f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, spaced=False)).count() == 0
+    assert token_files.read_token_files(spark, str(tmp_path), token_files.write_token_files(none, f"{tmp_path}/g", WORD_BPE, end_id=2, spaced=False)).count() == 0
 
 
 def test_packing(docs, none):
-    encode = plain_ids("byte_bpe_50k.json")
-    for level in (True, False):
-        got = rows_of(packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", level=level))
-        full = collections.Counter((r[0], len(encode(r[1])) + 1) for r in ROWS)
-        assert collections.Counter((r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0) == full
-        own = {r[0]: np.array([*encode(r[1]), 0], "<u4") for r in ROWS if r[0] not in (5, None)}
-        sequences = collections.defaultdict(list)
-        for r in got:
-            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
-            if r["doc_id"] in own:
-                assert r["ids_crc32"] == zlib.crc32(own[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
-        for pieces_ in sequences.values():
-            at = 0
-            for offset, length in sorted(pieces_):
-                assert offset == at and length > 0
-                at += length
-            assert at <= 1024
-        assert sum(r["length"] for r in got) == sum(n * c for (_, n), c in full.items())
-    assert packing.pack(none, f"{TOKENIZERS}/byte_bpe_50k.json").count() == 0
+    encode = plain_ids(BYTE_BPE)
+    got = rows_of(packing.pack(docs, BYTE_BPE))
+    full = collections.Counter((r[0], len(encode(r[1])) + 1) for r in ROWS)
+    assert collections.Counter((r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0) == full
+    own = {r[0]: np.array([*encode(r[1]), 0], "<u4") for r in ROWS if r[0] not in (5, None)}
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        if r["doc_id"] in own:
+            assert r["ids_crc32"] == zlib.crc32(own[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+    for pieces_ in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces_):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 1024
+    assert sum(r["length"] for r in got) == sum(n * c for (_, n), c in full.items())
+    assert packing.pack(none, BYTE_BPE).count() == 0
+
+
+def test_packing_pads_little(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["word"] * int(n))) for i, n in enumerate(rng.lognormal(5.5, 1, 3000))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), BYTE_BPE).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    padded = sum(0 if r.n & (r.n - 1) == 0 else 1024 - r.n for r in got)
+    assert padded < 0.03 * sum(r.n for r in got)
 
 
 def test_differencing():
@@ -258,7 +264,7 @@ def test_language(spark, none):
 def test_pieces(docs, none):
     import sentencepiece
 
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = PIECE_BPE
     plain = sentencepiece.SentencePieceProcessor(model_file=model)
     fst = pieces.transducer_of(model)
     rng = np.random.default_rng(3)
