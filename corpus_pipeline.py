@@ -41,7 +41,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(docs, queries.BYTE_BPE)
 
 
 STAGES = [("language", language_stage), ("exact-dedup", exact_stage), ("near-dedup", near_stage), ("pii", pii_stage), ("packing", packing_stage)]
