@@ -125,11 +125,16 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.drop_exact_copies(docs).columns == docs.columns
 
 
-def test_exact_dedup_with_hot_texts(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_COPIES", 10)
-    got = rows_of(exact_dedup.exact_dedup(spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text")), keep="largest"))
+def test_exact_dedup_with_hot_texts(spark):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"), F.lit("x").alias("kept"), F.lit(1).alias("_run"))
+    got = rows_of(exact_dedup.exact_dedup(rows, keep="largest", few=10))
     assert sum(r["kept"] for r in got) == 1 + 67 and {r["group_size"] for r in got} == {1, 133}
     assert all(r["keep_id"] == 199 for r in got if r["doc_id"] % 3)
+    assert exact_dedup.hot_digests(rows.select(F.xxhash64("text").alias("_h"), F.length("text").alias("_chars")), 4, few=10).first()["_slices"] > 10
+    out = rows_of(exact_dedup.drop_exact_copies(rows, few=10))
+    assert len(out) == 68 and {r["kept"] for r in out} == {"x"} and list(out[0]) == rows.columns
+    nulls = spark.range(90).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    assert sum(r["kept"] for r in rows_of(exact_dedup.exact_dedup(nulls, few=10))) == 1
 
 
 def plain_ids(path):
