@@ -54,7 +54,7 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_spans(table(spark, sf_dir, "documents"), min_line=1)
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"))
 
 
 def op10_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:

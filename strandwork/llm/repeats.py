@@ -1,22 +1,25 @@
-"""Substring dedup by hashing of lines and of passages between cuts.
+"""Substring dedup by hashing of lines and of passages between them.
 
-Two kinds of units are hashed. Each line with a word is one. The others are passages of ``LEAST`` words or more from a cut to
-the next cut far enough, so they overlap and may go over line breaks. A cut stands after a word that ends a
-sentence, and after the last of the least hashes of two words in a row in each ``WINDOW`` of them that holds no such end; so whether a place is
-cut depends on no word more than ``WINDOW`` away, and cuts are at most ``WINDOW`` words apart. A passage of 51 words that stands
-between other neighbours has thus a unit in common with its copy for certain: cuts 11 or more words from its ends are the same.
+Units are normalised (words between white space, ASCII letters in lower case; in scripts without spaces each character is a word),
+known by a 128-bit polynomial of their words' hashes, and grouped globally; the occurrence of lowest rank (id, then place) stays. Two kinds of units are hashed:
 
-Words stand between white space; in scripts without spaces each character is a word. A unit is known by a 128-bit
-polynomial of its words' hashes (ASCII letters in lower case); the occurrence of lowest rank (id, then offset) is kept.
-Later ones that touch or overlap form a run. Runs of ``min_words`` words or more are removed, and those that hold a whole
-line of ``min_line`` words. Offsets are those of the original text, in code points.
+* each line that has a word; every later occurrence is removed, however short the line (``min_line`` asks for more words);
+* for passages that stand within longer lines or go over line breaks, ``GRAM`` words in a row at chosen places: the place of the
+  least hash in each ``WINDOW`` of such places. What is chosen depends on nothing but the words of the window, so a passage of
+  ``GRAM + WINDOW - 1`` = 23 words has a chosen place in common with its copy for certain, and at most ``WINDOW`` - 1 = 15 words at each of its ends lie
+  outside of the chosen ones. A unit also has a digest of the words since the chosen place before it; where that equals the kept occurrence's, these
+  are repeated too, so the whole between two common places is compared and not guessed.
+
+Repeated passages that touch or overlap form a run; runs of ``min_run`` words or more are removed. A passage of over 50 words
+shows at least 51 - 2 x 15 = 21 of its words, hence the default. Offsets are those of the original text, in code points.
 
 Only digests that occur more than once go on to the join, and both the grouping (partial sums) and
 the join (skewed partitions are split by adaptive execution) bear a unit that very many documents
 share. A document is known by its place in the written table of units, so repeated ids don't mix.
 
-Defined results: null and empty texts have no units; null ids rank last; repeated rows are
-copies like any others; what overlaps its kept occurrence stays; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have no units and lose nothing; null ids rank last; repeated rows are
+copies like any others; what overlaps its kept occurrence stays; an empty table gives an empty result; other columns are ignored, or with
+``drop_repeats`` kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import settle, small_batches
+from .scratch import discard, release, settle, small_batches
 
-LEAST, WINDOW = 8, 10
-MIN_WORDS = 8
+GRAM, WINDOW = 8, 16
+#: Words of a run of passages that is removed.
+MIN_RUN = 51 - 2 * (WINDOW - 1)
+#: Words whose hashes a cutter remembers at most.
+REMEMBER = 200_000
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01\uff0c\uff1f\U00020000-\U0003ffff"
 _WORD = re.compile(r"\S+")
 _TOKEN = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
@@ -44,21 +50,20 @@ _HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _LINE = np.uint64(0x5851F42D4C957F2D)  # tells lines from passages
-UNITS = "row long, doc_id long, unit int, start int, end int, words int, line boolean, high long, low long"
+UNITS = "row long, doc_id long, word int, words int, start int, end int, from_word int, from_start int, line boolean, high long, low long, gap long"
 
 
 class _Words(dict):
-    """The number of each word seen; its two hashes and whether it ends a sentence stand at that number."""
+    """The number of each word seen; its two hashes stand at that number."""
 
     def __init__(self) -> None:
-        self.high, self.low, self.ends = array("Q"), array("Q"), array("b")
+        self.high, self.low = array("Q"), array("Q")
 
     def __missing__(self, word: str) -> int:
         plain = word.encode("utf-8", "replace").translate(_LOWER)
         self[word] = number = len(self.high)
         self.high.append(xxhash.xxh3_64_intdigest(plain, 1))
         self.low.append(xxhash.xxh3_64_intdigest(plain, 2))
-        self.ends.append(word.rstrip("\"')]”’»")[-1:] in (".", "!", "?", "。", "！", "？", "…", "।", "؟"))
         return number
 
 
@@ -81,11 +86,11 @@ class UnitCutter:
     def __init__(self) -> None:
         self.known = _Words()
 
-    def cut(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """text, first word, start, end, words, line, high and low of each unit."""
-        if len(self.known) > 400_000:
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The words of each text, and of each unit: text, word, words, start, end, from_word, from_start, line, high, low, gap."""
+        if len(self.known) > REMEMBER:
             self.known = _Words()
-        words, starts, lines = [], [], []
+        words, starts, lines = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         first = np.zeros(len(texts) + 1, np.int64)  # each text's first word
         for i, text in enumerate(texts):
             own, at = _placed(text)
@@ -96,46 +101,57 @@ class UnitCutter:
                 lines.append(np.unique(np.searchsorted(at, breaks)) + first[i])
             first[i + 1] = first[i] + len(own)
         n = len(words)
-        if not n:
-            return (np.zeros(0, np.int64),) * 5 + (np.zeros(0, bool),) + (np.zeros(0, np.uint64),) * 2
         owner, start = np.repeat(np.arange(len(texts)), np.diff(first)), np.concatenate(starts)
         end = start + np.fromiter(map(len, words), np.int64, n)
         codes = np.fromiter(map(self.known.__getitem__, words), np.int64, n)
-        high, low = (np.array(h, np.uint64)[codes] for h in (self.known.high, self.known.low))
-
-        cut = np.array(self.known.ends, bool)[codes]  # after this word
-        if n > WINDOW:
-            pair = np.where(cut[:-1], np.uint64(0), (high[:-1] * np.uint64(_BASE) + low[1:]) >> np.uint64(20))  # a sentence's end goes first
-            windows = np.lib.stride_tricks.sliding_window_view(pair, WINDOW)
-            whole = np.flatnonzero(owner[:-WINDOW] == owner[WINDOW:])
-            cut[whole + WINDOW - 1 - windows[whole, ::-1].argmin(axis=1)] = True
-        cuts = np.flatnonzero(cut) + 1
-        cuts = cuts[cuts < n]
-        to = np.searchsorted(cuts, cuts + LEAST)
-        ok = to < len(cuts)
-        a, z = cuts[ok], cuts[to[ok]]
-        inside = owner[a] == owner[z - 1]
-        a, z = a[inside], z[inside]
-        bounds = np.concatenate(lines)
-        bounds = bounds[np.concatenate([[True], np.diff(bounds) > 0])]
-        line = np.repeat([False, True], [len(a), len(bounds) - 1])
-        a, z = np.concatenate([a, bounds[:-1]]), np.concatenate([z, bounds[1:]])
-
         power = np.full(n + 1, _BASE, np.uint64)
         back = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
         power[0] = back[0] = 1
         power, back = np.cumprod(power), np.cumprod(back)
-        digest = []
-        for h in (high, low):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
-            digest.append((sums[z] - sums[a]) * back[a])
-        digest[1] ^= np.where(line, _LINE, np.uint64(0))
-        return owner[a], a - first[owner[a]], start[a], end[z - 1], z - a, line, *digest
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(h, np.uint64)[codes] * power[:-1])]) for h in (self.known.high, self.known.low)]
+
+        def digest(which: int, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+            return (sums[which][z] - sums[which][a]) * back[a]
+
+        chosen = self._chosen(first, lambda a: digest(0, a, a + GRAM))
+        before = np.append(-1, chosen[:-1]) if len(chosen) else chosen
+        since = np.maximum(before, first[owner[chosen]]) if len(chosen) else chosen  # the chosen place before, or the text's start
+        bounds = np.concatenate(lines)
+        bounds = bounds[np.append(True, np.diff(bounds) > 0)] if len(bounds) else np.zeros(1, np.int64)
+        a, z = np.concatenate([chosen, bounds[:-1]]), np.concatenate([chosen + GRAM, bounds[1:]])
+        line = np.repeat([False, True], [len(chosen), len(bounds) - 1])
+        since = np.concatenate([since, bounds[:-1]])
+        of = owner[a] if n else np.zeros(0, np.int64)
+        return np.diff(first), {
+            "text": of, "word": a - first[of], "words": z - a, "start": start[a], "end": end[z - 1], "from_word": since - first[of], "from_start": start[since],
+            "line": line, "high": digest(0, a, z), "low": digest(1, a, z) ^ np.where(line, _LINE, np.uint64(0)), "gap": digest(1, since, a),
+        }
+
+    @staticmethod
+    def _chosen(first: np.ndarray, digest) -> np.ndarray:
+        """First words of the chosen grams of all texts; where a text has fewer grams than a window, its least."""
+        grams = np.maximum(np.diff(first) - GRAM + 1, 0)
+        if not grams.any():
+            return np.zeros(0, np.int64)
+        base = np.concatenate([[0], np.cumsum(grams)])
+        owner = np.repeat(np.arange(len(grams)), grams)
+        place = np.arange(base[-1]) - base[owner] + first[owner]
+        order = digest(place)
+        order = (order ^ order >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)
+        found = [base[i] + int(order[base[i] : base[i + 1]].argmin()) for i in np.flatnonzero((grams > 0) & (grams < WINDOW)).tolist()]
+        if len(order) >= WINDOW:
+            windows = np.lib.stride_tricks.sliding_window_view(order, WINDOW)
+            whole = np.flatnonzero(owner[: len(windows)] == owner[WINDOW - 1 :])
+            for i in range(0, len(whole), 1 << 16):
+                part = whole[i : i + (1 << 16)]
+                found.extend(np.unique(part + windows[part].argmin(axis=1)).tolist())
+        return place[np.unique(np.array(found, np.int64))]
 
 
 def units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per unit: the document's row number and id, the unit's first word, offsets, words, whether a line, and digest."""
+    """A row per unit, and one per document without a digest, whose ``words`` are all of its words."""
     small_batches(docs.sparkSession)
+    names = [x.split()[0] for x in UNITS.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, row = UnitCutter(), TaskContext.get().partitionId() << 33
@@ -146,45 +162,86 @@ def units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 while z < len(texts) and (z == a or size + len(texts[z]) < 1 << 20):
                     size += len(texts[z])
                     z += 1
-                owner, unit, start, end, words, line, high, low = cutter.cut(texts[a:z])
-                ids = batch.column(0).slice(a, z - a).take(pa.array(owner))
-                ints = [pa.array(x.astype(np.int32)) for x in (unit, start, end, words)]
-                yield pa.RecordBatch.from_arrays([pa.array(owner + row), ids, *ints, pa.array(line), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))], names=[x.split()[0] for x in UNITS.split(", ")])
+                many, found = cutter.cut(texts[a:z])
+                ids, of, zero = batch.column(0).slice(a, z - a), found.pop("text"), np.zeros(z - a, np.int32)
+                for own, where, x in ((ids, np.arange(z - a), {"words": many} | dict.fromkeys(("word", "start", "end", "from_word", "from_start"), zero)), (ids.take(pa.array(of)), of, found)):
+                    ints = {k: pa.array(x[k].astype(np.int32)) for k in ("word", "words", "start", "end", "from_word", "from_start")}
+                    digests = {k: pa.array(x[k].view(np.int64)) if k in x else pa.nulls(len(where), pa.int64()) for k in ("high", "low", "gap")}
+                    all_ = {"row": pa.array(where + row), "doc_id": own, "line": pa.array(x["line"]) if "line" in x else pa.nulls(len(where), pa.bool_())} | ints | digests
+                    yield pa.RecordBatch.from_arrays([all_[k] for k in names], names=names)
                 row += z - a
                 a = z
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, UNITS)
 
 
-def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, min_line: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per span to remove: doc_id, start, end, n_words, n_units, and the kept occurrence of its first unit; and ``row``.
+def _runs(intervals: DataFrame) -> DataFrame:
+    """``intervals (row, a, z, start, end, ...)`` that touch or overlap as one: row, a, z, start, end."""
+    own = Window.partitionBy("row").orderBy("a", "z")
+    reach = F.max("z").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = intervals.withColumn("fresh", F.when(F.col("a") <= reach, 0).otherwise(1))
+    runs = fresh.withColumn("run", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("row", "run").agg(*[f(c).alias(c) for f, c in ((F.min, "a"), (F.max, "z"), (F.min, "start"), (F.max, "end"))]).drop("run")
 
-    ``min_line``: words of a line that is removed though its run is shorter than ``min_words``; 1 removes each repeated line.
-    """
+
+def _repeats(docs: DataFrame, min_run: int, min_line: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents by row: row, doc_id, n_words; later lines; removed runs of passages; all removed spans), the last three as (row, a, z, start, end)."""
     found = settle(units(docs, id_col=id_col, text_col=text_col), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "unit", "start")
-    # Written, so that the join deals both sides anew and adaptive execution may split a unit that is everywhere.
-    known = settle(found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where("n > 1"), "repeated-units")
-    apart = (F.col("row") != F.col("kept.row")) | (F.col("unit") >= F.col("kept.unit") + F.col("words"))
-    later = found.join(known, ["high", "low"]).where(apart).select("row", "doc_id", "unit", "start", "end", "words", "line", "kept")
-    own = Window.partitionBy("row").orderBy("unit", "words", "line")
-    reach = F.max(F.col("unit") + F.col("words")).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    runs = later.withColumn("fresh", F.when(F.col("unit") <= reach, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("row", "doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("unit") + F.col("words")) - F.min("unit")).cast("long").alias("n_words"), F.count("*").alias("n_units"),
-        F.min_by("kept", F.struct("unit", "words", "line")).alias("kept"), F.max(F.when(F.col("line"), F.col("words")).otherwise(0)).alias("longest"),
+    some = found.where(F.col("high").isNotNull())
+    often = some.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
+    # Written, so that the next join deals both sides anew and adaptive execution may split a unit that is everywhere.
+    shared = settle(some.join(often, ["high", "low"], "left_semi"), "shared-units")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "word", F.col("gap").alias("gap"))
+    kept = settle(shared.groupBy("high", "low").agg(F.min(rank).alias("kept")), "kept-units")
+    apart = (F.col("row") != F.col("kept.row")) | (F.col("word") >= F.col("kept.word") + F.col("words"))
+    more = F.col("gap") == F.col("kept.gap")
+    later = shared.join(kept, ["high", "low"]).where(apart).select(
+        "row", "line", F.when(more, F.col("from_word")).otherwise(F.col("word")).alias("a"), (F.col("word") + F.col("words")).alias("z"),
+        F.when(more, F.col("from_start")).otherwise(F.col("start")).alias("start"), "end",
+    )
+    later = settle(later, "later-units")
+    discard(shared, kept)
+    lines = later.where(F.col("line") & (F.col("z") - F.col("a") >= min_line)).drop("line")
+    passages = _runs(later.where(~F.col("line")).drop("line")).where(F.col("z") - F.col("a") >= min_run)
+    columns = ["row", "a", "z", "start", "end"]
+    return found.where(F.col("high").isNull()).select("row", "doc_id", F.col("words").alias("n_words")), lines, passages, _runs(lines.select(columns).union(passages.select(columns)))
+
+
+def repeated_spans(docs: DataFrame, *, min_run: int = MIN_RUN, min_line: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per span to remove: doc_id, start, end, n_words; and ``row``, which tells documents of one id apart."""
+    rows, _, _, spans = _repeats(docs, min_run, min_line, id_col, text_col)
+    return spans.join(rows, "row").select("doc_id", "start", "end", (F.col("z") - F.col("a")).cast("long").alias("n_words"), "row")
+
+
+def repeat_digests(docs: DataFrame, *, min_run: int = MIN_RUN, min_line: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, n_words, n_lines and n_passages (later lines, and runs of later passages), removed_words, and all spans to remove as start:end, in order."""
+    rows, lines, passages, spans = _repeats(docs, min_run, min_line, id_col, text_col)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    by = lambda df, *aggs: df.groupBy("row").agg(*aggs)
+    text = F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"))
+    joined = rows.join(by(lines, F.count("*").alias("lines")), "row", "left").join(by(passages, F.count("*").alias("passages")), "row", "left")
+    joined = joined.join(by(spans, F.sum(F.col("z") - F.col("a")).cast("long").alias("words"), F.array_sort(F.collect_list(F.struct("start", text.alias("x")))).alias("x")), "row", "left")
+    return joined.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), zero("lines").alias("n_lines"), zero("passages").alias("n_passages"), zero("words").alias("removed_words"),
+        F.coalesce(F.array_join(F.transform("x", lambda x: x["x"]), ","), F.lit("")).alias("spans"),
     )
-    enough = (F.col("n_words") >= min_words) | (F.col("longest") >= (min_words if min_line is None else min_line))
-    return spans.where(enough).select("doc_id", "start", "end", "n_words", "n_units", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), "row")
-
-
-def drop_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, min_line: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without their repeated spans, and ``removed``: their original offsets. Ids have to be distinct."""
-    spans = repeated_spans(docs, min_words=min_words, min_line=min_line, id_col=id_col, text_col=text_col)
-    each = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    text = F.col(text_col)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    step = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]))).alias("parts"))
-    rest = F.aggregate("removed", first, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
-    joined = docs.join(each, docs[id_col] == F.col("_id"), "left")
-    return joined.select(*[F.when(F.col("removed").isNotNull(), rest).otherwise(text).alias(c) if c == text_col else docs[c] for c in docs.columns], "removed")
+
+
+def drop_repeats(docs: DataFrame, *, min_run: int = MIN_RUN, min_line: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without their repeated spans, with a last column ``removed``: their original offsets, null where there are none.
+
+    Rows are numbered in the order of (id, place) first, so that repeated ids don't mix.
+    """
+    safe = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own, id_, text = docs.select(*[F.col(c).alias(new) for c, new in safe.items()]), safe[id_col], F.col(safe[text_col])
+    ranged = own.repartitionByRange(id_).sortWithinPartitions(F.col(id_).asc_nulls_last())
+    numbered = settle(ranged.withColumn("key", F.col(id_).isNull().cast("long") * F.lit(1 << 62) + F.monotonically_increasing_id()), "numbered")
+    spans = repeated_spans(numbered, min_run=min_run, min_line=min_line, id_col="key", text_col=safe[text_col])
+    each = spans.groupBy(F.col("doc_id").alias("key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    # What stays is what lies between the spans: from each one's end (the text's start before the first) to the next one's start.
+    begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda x: x["end"]))
+    stops = F.concat(F.transform("removed", lambda x: x["start"]), F.array(F.length(text)))
+    rest = F.array_join(F.zip_with(begins, stops, lambda a, z: F.substr(text, a + 1, z - a)), "")
+    joined = numbered.join(each, "key", "left")
+    return joined.select(*[(F.when(F.col("removed").isNotNull(), rest).otherwise(text) if c == text_col else F.col(new)).alias(c) for c, new in safe.items()], "removed")

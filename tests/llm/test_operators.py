@@ -309,26 +309,75 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few.collect()) == [1, 2]
 
 
-def test_repeats(spark, docs, none):
+def brute_repeats(rows):
+    """Rows of (id, text) with distinct ids in ascending order: the spans to remove of each, by comparing all lines and all runs of words."""
+    chosen = repeats.UnitCutter()
+    words = [[(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\S+", t or "")] for _, t in rows]
+    seen, out = {}, {}
+    for r, (_, text) in enumerate(rows):
+        own, spans = words[r], []
+        line_of, at = [], 0
+        for line in (text or "").split("\n"):
+            line_of.append([i for i, w in enumerate(own) if at <= w[0] < at + len(line) + 1])
+            at += len(line) + 1
+        for part in filter(None, line_of):
+            key_ = ("line", *[own[i][2] for i in part])
+            if key_ in seen:
+                spans.append((part[0], part[-1] + 1))
+            else:
+                seen[key_] = (r, part[0])
+        many, found = chosen.cut([text or ""])
+        assert many[0] == len(own)
+        passages = []
+        for k in np.flatnonzero(~found["line"]):
+            a, f = int(found["word"][k]), int(found["from_word"][k])
+            key_ = tuple(w[2] for w in own[a : a + repeats.GRAM])
+            gap = tuple(w[2] for w in own[f:a])
+            if key_ not in seen:
+                seen[key_] = (r, a, gap)
+            elif seen[key_][0] != r or a >= seen[key_][1] + repeats.GRAM:
+                passages.append((f if seen[key_][2] == gap else a, a + repeats.GRAM))
+        spans += [x for x in joined_runs(passages) if x[1] - x[0] >= repeats.MIN_RUN]
+        out[r] = [(own[a][0], own[z - 1][1]) for a, z in joined_runs(spans)]
+    return out
+
+
+def joined_runs(spans):
+    out = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def test_repeats_equal_brute_force(spark, docs, none):
     rng = np.random.default_rng(6)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
-    text = lambda n: " ".join(word() + "." * (i % 9 == 8) for i in range(n))
-    passage = text(80)
-    rows = [(1, f"{text(30)} {passage} {text(20)}"), (2, f"{text(11)} {passage} {text(9)}"), (3, text(200)), (4, passage), (5, "Short line.\nShort line."), (6, f"é 😀 {passage}")]
-    got = rows_of(repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")))
-    covered = collections.Counter()
-    for r in got:
-        own, kept = dict(rows)[r["doc_id"]], dict(rows)[r["kept_doc_id"]]
-        covered[r["doc_id"]] += r["n_words"]
-        cut = own[r["start"] : r["end"]]
-        assert kept[r["kept_start"] :].startswith(cut[:20]) and len(cut.split()) == r["n_words"]
-    assert set(covered) == {2, 4, 6} and all(50 <= n <= 80 for n in covered.values())
-    out = {r["doc_id"]: r for r in rows_of(repeats.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")))}
-    assert out[3]["text"] == rows[2][1] and out[3]["removed"] is None and len(out[2]["text"]) < len(rows[1][1]) - 300
-    assert repeats.repeated_spans(docs).where("doc_id in (10)").count() == 1 and repeats.repeated_spans(none).count() == 0
-
-
-def test_repeats_catches_every_passage_of_over_50_words():
+    text = lambda n: " ".join(f"w{x}" + "." * int(x % 9 == 8) for x in rng.integers(0, 4000, n))
+    passage, line = text(80), text(12)
+    rows = [
+        (1, f"{text(30)} {passage} {text(20)}\n{line}"), (2, f"{text(11)} {passage} {text(9)}"), (3, text(200)), (4, passage), (5, "Short line.\nShort line."), (6, f"é 😀 {passage}"), (7, None), (8, ""),
+        (9, f"{line.upper()}\n\n  {line}  x"), (10, f"{text(40)}\n{passage[:200]}\n{text(40)}"), (11, " ".join(["x"] * 100)), (12, "x " * 60 + text(30) + " x" * 60), (13, "\n".join([line, text(7), line])),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows)
+    got = {r["doc_id"]: r for r in rows_of(repeats.repeat_digests(df.repartition(3)))}
+    assert {i: ",".join(f"{a}:{z}" for a, z in want[r]) for r, (i, _) in enumerate(rows)} == {i: r["spans"] for i, r in got.items()}
+    assert got[2]["n_passages"] == got[6]["n_passages"] == 1 and got[3]["n_passages"] == got[3]["n_lines"] == 0 and got[5]["n_lines"] == 1 and got[7]["n_words"] == 0
+    assert got[4]["removed_words"] >= 80 - 30
+    out = {r["doc_id"]: r for r in rows_of(repeats.drop_repeats(df))}
+    for r, (i, t) in enumerate(rows):
+        left, at = "", 0
+        for a, z in want[r]:
+            left, at = left + t[at:a], z
+        assert out[i]["text"] == (None if t is None else left + t[at:]) and (out[i]["removed"] is None) == (not want[r])
+    whole = rows_of(repeats.drop_repeats(docs))
+    assert len(whole) == len(ROWS) and list(whole[0]) == [*docs.columns, "removed"]
+    assert sum(r["text"] == BASE for r in whole) == 1 and repeats.repeat_digests(none).count() == 0 and repeats.drop_repeats(none).count() == 0
+
+
+def test_repeats_covers_all_but_the_ends_of_passages_of_over_50_words():
     rng = np.random.default_rng(8)
     text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
     han = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x6000, n)))
@@ -336,24 +385,28 @@ def test_repeats_catches_every_passage_of_over_50_words():
     for i in range(600):
         make, gap = (text, " ") if i % 4 else (han, "")
         passage = make(51)
-        sides = [gap.join([make(int(rng.integers(1, 60))), passage, make(int(rng.integers(1, 60)))]) for _ in range(2)]
-        units = [list(zip(*(x.tolist() for x in cutter.cut([t])), strict=True)) for t in sides]
-        first, second = ({u[6:]: u for u in of} for of in units)
-        shared = [second[d] for d in first.keys() & second.keys() if not second[d][5]]
-        at = sides[1].index(passage)
-        assert shared and all(at <= u[2] and u[3] <= at + len(passage) for u in shared)
-        covered.append(len({w for u in shared for w in range(u[1], u[1] + u[4])}) / 51)
-    assert np.mean(covered) > 0.7
-
-
-# In lines of fewer words than a passage has, and in scripts without spaces.
+        sides = [(n := int(rng.integers(1, 60)), gap.join([make(n), passage, make(int(rng.integers(1, 60)))])) for _ in range(2)]
+        (_, one), (_, two) = (cutter.cut([t]) for _, t in sides)
+        places = lambda x: {(h, g): (f, a) for h, g, f, a, line in zip(x["high"].tolist(), x["gap"].tolist(), x["from_word"].tolist(), x["word"].tolist(), x["line"].tolist()) if not line}
+        first, second = {h: g for h, g in places(one)}, places(two)
+        shared = set()
+        for (h, g), (f, a) in second.items():
+            if h in first:
+                shared |= set(range(f if first[h] == g else a, a + repeats.GRAM))
+        n = sides[1][0]
+        assert shared >= set(range(n + 15, n + 51 - 15)) and shared <= set(range(n, n + 51))
+        covered.append(len(shared) / 51)
+    assert np.mean(covered) > 0.6
+
+
+# In lines of few words, and in scripts without spaces.
 def test_repeats_removes_every_later_line(spark):
-    rows = [(1, "own one\nLicensed under the Apache License, Version 2.0.\nown two"), (2, "other\nlicensed under the  Apache License, Version 2.0.\nwords"), (3, "Next page"), (4, "own three\nNext page\nown four"), (5, "这是一个没有空格的段落"), (6, "这是一个没有空格的段落"), (7, " ".join(["x"] * 100))]
+    rows = [(1, "own one\nLicensed under the Apache License, Version 2.0.\nown two"), (2, "other\nlicensed under the  Apache License, Version 2.0.\nwords"), (3, "Next page"), (4, "own three\nNext page\nown four"), (5, "这是一个没有空格的段落"), (6, "这是一个没有空格的段落")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in rows_of(repeats.drop_repeats(df, min_line=1))}
+    out = {r["doc_id"]: r["text"] for r in rows_of(repeats.drop_repeats(df))}
     assert [out[i] for i in (1, 3, 5)] == [rows[0][1], rows[2][1], rows[4][1]]
-    assert [out[i] for i in (2, 4, 6)] == ["other\n\nwords", "own three\n\nown four", ""] and 8 <= len(out[7].split()) < 100
-    assert {r["doc_id"] for r in rows_of(repeats.repeated_spans(df))} == {6, 7}
+    assert [out[i] for i in (2, 4, 6)] == ["other\n\nwords", "own three\n\nown four", ""]
+    assert {r["doc_id"] for r in rows_of(repeats.repeated_spans(df, min_line=8))} == {6}
 
 
 def test_word_model(docs, none):
