@@ -12,7 +12,7 @@ that very many rows share costs as much as any other. A leaf is ranked in blocks
 members, which are held while its queries stream past; only the best few of each block leave the task.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length from the
-commonest length take no part; null ids take no part; of repeated (id, vector) rows one counts; ties go to the smaller id;
+commonest length take no part; null ids take no part; of repeated (id, vector) rows one counts; scores that agree in DIGITS decimals tie, and ties go to the smaller id;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,6 +33,8 @@ from .scratch import settle, shuffle_partitions
 TREES, LEAF, SAMPLE, BLOCK = 12, 96, 32_768, 4096
 #: Vectors whose true neighbours are found by brute force, and the share of these that the search has to meet.
 PROBES, TARGET = 64, 0.95
+#: Decimals of a score that count for its rank; what agrees in them ties.
+DIGITS = 12
 #: Rows of results that a task gathers before it sifts them.
 GATHER = 400_000
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -91,15 +93,28 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
+def _first(query: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query without repeats of (query, found): by score to DIGITS decimals, ties to the smaller id."""
+    order = np.lexsort((found, -np.round(score, DIGITS), query))
+    query, found, score = query[order], found[order], score[order]
+    fresh = np.append(True, (np.diff(query) != 0) | (np.diff(found) != 0))  # the same pair has the same score, so it is adjacent
+    query, found, score = query[fresh], found[fresh], score[fresh]
+    first = np.maximum.accumulate(np.where(np.append(True, np.diff(query) != 0), np.arange(len(query)), 0))
+    few = np.arange(len(query)) - first < k
+    return query[few], found[few], score[few]
+
+
 def _best(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, id, exact score) of the k best members of each query, and a few more against rounding."""
+    """(query place, place of the member, exact score) of the k best members of each query; all that tie with the k-th are scored exactly."""
     unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
     near = unit @ (members / np.linalg.norm(members, axis=1, keepdims=True)).T
-    keep = min(k + 2, len(ids))
-    top = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
-    at = np.repeat(np.arange(len(queries)), keep)
-    which = top.ravel()
-    return at, ids[which], _exact(queries[at], members[which])
+    least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if k < len(ids) else np.full(len(queries), -2.0)
+    at, which = np.nonzero(near >= least[:, None] - 1e-9)
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
+    at, found, score = _first(at, rank[which], _exact(queries[at], members[which]), k)
+    return at, by_id[found], score
 
 
 def classes(vectors: DataFrame, k: int, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -123,7 +138,7 @@ def brute_force(vectors: DataFrame, probes: np.ndarray, dims: int, k: int) -> pd
         for batch in batches:
             if batch.num_rows:
                 members = _array(batch.column(1), dims)
-                at, ids, score = _best(probes, members, np.arange(len(members)), k)
+                at, ids, score = _best(probes, members, batch.column(0).to_numpy(zero_copy_only=False), k)
                 yield pa.RecordBatch.from_pydict({"probe": pa.array(at, pa.int32()), "id": batch.column(0).take(pa.array(ids)), "score": pa.array(score), "vector": pa.array(list(members[ids]), pa.list_(pa.float64()))})
 
     found = vectors.select("id", "vector").mapInArrow(each, "probe int, id long, score double, vector array<double>")
@@ -150,15 +165,7 @@ def _ranked(k: int, dims: int):
     """From rows in order of (leaf, block, members first): (query, class, score) of the best of a task's blocks, k of each query."""
 
     def best(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Without repeats of (query, class), k of each query."""
-        query, found, score = map(np.concatenate, zip(*parts))
-        order = np.lexsort((found, -score, query))
-        query, found, score = query[order], found[order], score[order]
-        fresh = np.append(True, (np.diff(query) != 0) | (np.diff(found) != 0))  # the same pair has the same score, so it is adjacent
-        query, found, score = query[fresh], found[fresh], score[fresh]
-        first = np.maximum.accumulate(np.where(np.append(True, np.diff(query) != 0), np.arange(len(query)), 0))
-        few = np.arange(len(query)) - first < k
-        return query[few], found[few], score[few]
+        return _first(*map(np.concatenate, zip(*parts)), k)
 
     def batch_of(parts: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in best(parts)], names=["query", "class", "score"])
@@ -179,8 +186,9 @@ def _ranked(k: int, dims: int):
                     ids.append(own[a:z])
                     held.append(vectors[a:z])
                 elif ids:
-                    at, found, score = _best(vectors[a:z], np.concatenate(held), np.concatenate(ids), k)
-                    kept.append((own[a:z][at], found, score))
+                    members = np.concatenate(ids)
+                    at, found, score = _best(vectors[a:z], np.concatenate(held), members, k)
+                    kept.append((own[a:z][at], members[found], score))
                     rows += len(found)
             if rows > GATHER:
                 kept = [best(kept)]
@@ -244,9 +252,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, trees: int = TR
     asks = asks.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "vector")
     dealt = members.union(asks).repartition(shuffle_partitions(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "asks")
     scored = dealt.mapInArrow(_ranked(k + 1, dims), "query long, class long, score double").groupBy("query", "class").agg(F.max("score").alias("score"))
-    near = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(F.col("n") <= k + 1)
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    near = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", DIGITS)), "class"))).where(F.col("n") <= k + 1)
+    best = Window.partitionBy("query").orderBy(F.desc(F.round("score", DIGITS)), "vec_id")
     rows = near.join(few.select("class", "vec_id"), "class").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select(F.col("query").alias("id"), "vec_id", "score")
-    own = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("near"))  # k + 1 each
+    own = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", DIGITS)).alias("less"), "vec_id", "score"))).alias("near"))  # k + 1 each
     others = asked.join(own, "id").withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
-    return others.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.less")).alias("score"))
+    return others.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

@@ -4,14 +4,17 @@ Counts are exact and cover the whole training fold: words are counted in each ta
 written as a table. The base is the add-0.1 unigram of these counts. The model's symbols are the end, the ``SYMBOLS`` - 2
 most frequent words and one symbol for all others; a word behind that last symbol is weighed by its smoothed count among
 those others, so the whole is a proper distribution over all words. The network has one gated recurrent layer and an output
-softmax factored into the class of a symbol and the symbol within its class. It is trained in numpy by backpropagation
-truncated to ``WINDOW`` steps, on a bounded sample of the training fold: about ``SAMPLE`` documents, picked by a hash of
-the id, of each the first ``HEAD`` characters. Scoring reads every word of every text; the state is carried from window to
+softmax factored into the class of a symbol and the symbol within its class.
+
+It is trained in numpy by backpropagation truncated to ``WINDOW`` steps, on every word of every document of the training fold, once.
+In each of ``ROUNDS`` rounds every task goes on from the same network over its share of the fold, and the networks
+are averaged by the words they saw: first by groups of tasks, so that the driver gets as many as the root of the shuffle partitions.
+Scoring reads every word of every text; the state is carried from window to
 window, and documents stand one after another in ``LANES`` lanes with the state cleared between them.
 
-Words among the ``FREQUENT`` most frequent are looked up in a table of bounded size that goes to all
-tasks; what is rarer leaves the task once per document and word, and is joined with the counts by a
-shuffle. A word in very many documents is among the frequent ones, so no key of that join is hot.
+Words among the most frequent are looked up in a table that goes to all tasks and is bounded in words (``FREQUENT``) and bytes (``FREQUENT_BYTES``);
+what is rarer or longer leaves the task once per document and word, and is joined with the counts by a
+shuffle, in which adaptive execution may split what is skewed.
 
 Defined results: null and empty texts are one end; null ids are learned from; repeated rows are scored one by one and counted
 each; with nothing to learn from all counts are zero and the network is as drawn; an empty table gives an empty result;
@@ -30,12 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import settle, small_batches
+from .scratch import release, settle, shuffle_partitions, small_batches
 
 END, SMOOTH = "\n", 0.1  # no word holds a line break
-FREQUENT = 262_144
-SYMBOLS, CLASSES, HIDDEN, WINDOW, LANES = 1024, 32, 16, 32, 1024
-SAMPLE, HEAD = 1200, 8192
+#: Words, and bytes of them all and of the longest, of the table that goes to all tasks.
+FREQUENT, FREQUENT_BYTES, LONGEST = 262_144, 4 << 20, 128
+SYMBOLS, CLASSES, HIDDEN, WINDOW, LANES = 2048, 64, 16, 32, 1024
+ROUNDS, RATE = 4, 0.01
+#: Symbols that a task gathers before it trains on them, and steps of training that so many are to give at least.
+GATHERED, STEPS = 1 << 20, 128
 _END, _RARE = 0, 1
 
 
@@ -48,6 +54,11 @@ class WordModel:
         draw = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
         self.w = {"x": draw(3 * h, self.size * classes, by=0.3), "u": draw(3 * h, h, by=h**-0.5), "c": draw(classes, h + 1, by=0.05), "w": draw(classes, self.size, h + 1, by=0.05)}
 
+    def copy(self) -> WordModel:
+        out = object.__new__(WordModel)
+        out.hidden, out.size, out.w = self.hidden, self.size, {k: v.copy() for k, v in self.w.items()}
+        return out
+
     def states(self, before: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
         """(time, h + 1, lanes) after each of the symbols ``before`` (time, lanes); an end clears the state that comes before it."""
         h, (time, lanes) = self.hidden, before.shape
@@ -102,41 +113,56 @@ class WordModel:
         d = softmax(w["c"] @ flat, of)
         grad = {"c": d @ flat.T, "w": np.zeros_like(w["w"])}
         back = w["c"].T @ d
-        for k in np.unique(of):
-            own = at[of == k]
-            d = softmax(w["w"][k] @ flat[:, own], within[own])
-            grad["w"][k] = d @ flat[:, own].T
-            back[:, own] += w["w"][k].T @ d
+        order = np.argsort(of, kind="stable")
+        by_class, within, inner = flat[:, order], within[order], np.empty_like(back)
+        bounds = np.searchsorted(of[order], np.arange(len(w["c"]) + 1)).tolist()
+        for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:])):
+            if z > a:
+                d = softmax(w["w"][k] @ by_class[:, a:z], within[a:z])
+                grad["w"][k] = d @ by_class[:, a:z].T
+                inner[:, a:z] = w["w"][k].T @ d
+        back[:, order] += inner
         into = back[:h].reshape(h, *before.shape)
-        gx, gu, later = np.zeros((w["x"].shape[1], 3 * h), np.float32), np.zeros_like(w["u"]), np.zeros_like(state)
+        deltas, gu, later = np.empty((len(before), 3 * h, before.shape[1]), back.dtype), np.zeros_like(w["u"]), np.zeros_like(state)
         for t in range(len(before) - 1, -1, -1):
             symbol, going, was, z, q, r, n = kept[t]
             g = into[:, t] + later
             dn = g * (1 - z) * (1 - n * n)
-            dz, dq = g * (was - n) * z * (1 - z), dn * r * q * (1 - q)
-            np.add.at(gx, symbol, np.concatenate([dz, dq, dn]).T)
-            dr = np.concatenate([dz, dq, dn * q])
+            dq = dn * r * q * (1 - q)
+            deltas[t, :h], deltas[t, h : 2 * h], deltas[t, 2 * h :] = g * (was - n) * z * (1 - z), dq, dn
+            dr = deltas[t].copy()
+            dr[2 * h :] *= q
             gu += dr @ was.T
             later = (g * z + w["u"].T @ dr) * going
-        grad |= {"x": gx.T, "u": gu}
+        # one sum for each symbol that occurs
+        symbols = before.ravel()
+        order = np.argsort(symbols, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(symbols[order]) != 0))
+        gx = np.zeros_like(w["x"])
+        gx[:, symbols[order[starts]]] = np.add.reduceat(deltas.transpose(1, 0, 2).reshape(3 * h, -1)[:, order], starts, axis=1)
+        grad |= {"x": gx, "u": gu}
         return loss, grad, states[-1, :h]
 
-    def fit(self, docs: list[np.ndarray], lanes: int = 64, epochs: int = 2, rate: float = 0.01) -> float:
-        """Adam over windows of a stream that is cut into lanes; the last epoch's mean loss in nats."""
+    def fit(self, docs: list[np.ndarray], lanes: int | None = None, epochs: int = 1, rate: float = RATE, moments: dict | None = None) -> float:
+        """Adam over windows of a stream that is cut into lanes; the last epoch's mean loss in nats. ``moments`` carries Adam's state from call to call."""
         stream = np.concatenate([np.zeros(1, np.int64), *docs])
-        time = (len(stream) - 1) // lanes
-        m, s, step, loss = {k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}, 0, float("nan")
-        if not time:
+        lanes = lanes or int(np.clip(len(stream) // (WINDOW * STEPS), 8, 256))
+        time, loss = -(-(len(stream) - 1) // lanes), float("nan")
+        if not time or len(stream) < 2:
             return loss
+        moments = {} if moments is None else moments
+        if not moments:
+            moments |= {"step": 0, "m": {k: np.zeros_like(v) for k, v in self.w.items()}, "s": {k: np.zeros_like(v) for k, v in self.w.items()}}
+        m, s = moments["m"], moments["s"]
+        stream = np.concatenate([stream, np.zeros(time * lanes + 1 - len(stream), np.int64)])  # the last lanes end in ends
         before, target = (stream[i : i + time * lanes].reshape(lanes, time).T for i in (0, 1))
-        steps = epochs * -(-time // WINDOW)
         for _ in range(epochs):
             losses, state = [], np.zeros((self.hidden, lanes), np.float32)
             for a in range(0, time, WINDOW):
                 one, grad, state = self.gradients(before[a : a + WINDOW], target[a : a + WINDOW], state)
                 losses.append(one)
-                step += 1
-                now = rate * (1 - 0.9 * step / steps)
+                moments["step"] += 1
+                now, step = rate * min(1.0, moments["step"] / 10), moments["step"]
                 for k, g in grad.items():
                     m[k] += 0.1 * (g - m[k])
                     s[k] += 0.005 * (g * g - s[k])
@@ -203,11 +229,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
             n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
             held.append(pa.table({"word": pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())]), "n": pa.array(np.append(n, batch.num_rows), pa.int64())}))
             rows += held[-1].num_rows
-            if rows > 1_000_000:
+            if rows > 300_000:
                 yield summed()
                 rows = 0
         if held:
             yield summed()
+        release()
 
     return texts.select("text").mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -224,7 +251,76 @@ def _symbols(texts: pa.Array, symbol: np.ndarray, frequent: pa.Array) -> tuple[l
 SCORED = "row long, doc_id long, n_tokens long, n_known long, logs double, model double, words array<string>, times array<long>"
 
 
-def score_documents(docs: DataFrame, held_out: Column, *, frequent: int = FREQUENT, symbols: int = SYMBOLS, classes: int = CLASSES, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def frequent_words(counts: DataFrame, words: int = FREQUENT, bytes_: int = FREQUENT_BYTES) -> tuple[pa.Array, np.ndarray]:
+    """The most frequent words of ``counts (word, c)``, most frequent first, and their counts; at most so many words and bytes.
+
+    They are those of the highest sizes, 16 to a doubling, that fit the bounds: a table of sizes has under 1,024 rows.
+    """
+    size, length = F.floor(F.log2("c") * 16), F.octet_length("word")
+    common = counts.where((F.col("word") != END) & (length <= LONGEST))
+    n = held = 0
+    for r in sorted(common.groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.sum(length).alias("bytes")).collect(), reverse=True):
+        n, held = n + r["n"], held + r["bytes"]
+        if n > words or held > bytes_:
+            common = common.where(size > r["size"])
+            break
+    found = common.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    return found["word"].combine_chunks().cast(pa.large_string()), found["c"].to_numpy().astype(np.float64)
+
+
+def train_rounds(texts: DataFrame, model: WordModel, symbol: np.ndarray, words: pa.Array, rounds: int = ROUNDS, rate: float = RATE) -> WordModel:
+    """``model`` trained on every row of ``texts (doc_id, text)`` once, by averaged rounds."""
+    spark = texts.sparkSession
+    groups = int(np.ceil(shuffle_partitions(spark) ** 0.5))
+    schema = "slot int, seen long, weights binary"
+
+    def flat(w: dict[str, np.ndarray]) -> np.ndarray:
+        return np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float32)
+
+    def one(slot: int, seen: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "seen": pa.array([seen], pa.int64()), "weights": pa.array([total.astype(np.float64).tobytes()], pa.binary())})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = 0, None
+        for batch in batches:
+            for n, weights in zip(batch["seen"].to_pylist(), batch["weights"], strict=True):
+                own = np.frombuffer(weights.as_buffer(), np.float64)
+                seen, total = seen + n, own if total is None else total + own
+        if seen:
+            yield one(0, seen, total)
+
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast((model, symbol, words))
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, now=rate * (1 - r / rounds)) -> Iterator[pa.RecordBatch]:
+            start, symbol, words = shared.value
+            own, moments, seen, gathered, size = start.copy(), {}, 0, [], 0
+            for batch in batches:
+                more = _symbols(batch.column(0), symbol, words)[0]
+                gathered, size = gathered + more, size + sum(map(len, more))
+                if size > GATHERED:
+                    own.fit(gathered, rate=now, moments=moments)
+                    seen, gathered, size = seen + size, [], 0
+            if gathered:
+                own.fit(gathered, rate=now, moments=moments)
+                seen += size
+            if seen:
+                yield one(TaskContext.get().partitionId() % groups, seen, flat(own.w) * float(seen))
+            release()
+
+        part = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text").mapInArrow(learn, schema)
+        found = part.repartition(groups, "slot").mapInArrow(summed, schema).collect()
+        if seen := sum(x["seen"] for x in found):
+            mean, at, model = sum(np.frombuffer(x["weights"], np.float64) for x in found) / seen, 0, model.copy()
+            for k in sorted(model.w):
+                size = model.w[k].size
+                model.w[k] = mean[at : at + size].reshape(model.w[k].shape).astype(np.float32)
+                at += size
+        shared.unpersist()
+    return model
+
+
+def score_documents(docs: DataFrame, held_out: Column, *, frequent: int = FREQUENT, symbols: int = SYMBOLS, classes: int = CLASSES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned where ``held_out`` (over the id, named doc_id) is false."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -234,24 +330,11 @@ def score_documents(docs: DataFrame, held_out: Column, *, frequent: int = FREQUE
     counts = settle(word_counts(train), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
     n, v = totals["n"], totals["v"]
-    # The most frequent words are those of the highest sizes, 16 to a doubling, that fit the bound: a table of sizes has under 1,024 rows.
-    size = F.floor(F.log2("c") * 16)
-    common, least = counts.where(F.col("word") != END), 0
-    for r in sorted(common.groupBy(size.alias("size")).count().collect(), reverse=True):
-        if (least := least + r["count"]) > frequent:
-            common = common.where(size > r["size"])
-            break
-    common = common.toArrow().to_pandas().sort_values(["c", "word"], ascending=[False, True])  # at most ``frequent``; what is rarer is joined below
-    c = common["c"].to_numpy(dtype=np.float64)
+    common_words, c = frequent_words(counts, frequent)
     known = min(len(c), symbols - 2)
     symbol = np.concatenate([np.arange(2, 2 + known), np.full(len(c) - known + 1, _RARE)]).astype(np.int64)  # the last for place -1
     rest = float(n - totals["ends"] - c[:known].sum()) + SMOOTH * (v - known - bool(totals["ends"]) + 1)
-    common_words = pa.array(common["word"], pa.large_string())
-
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("drawn")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = train.where(unit < min(1.0, sample / max(1, totals["ends"]))).orderBy("doc_id", "text").select(F.substring("text", 1, HEAD).alias("text")).toPandas()
-    model = WordModel(symbols, classes)
-    model.fit(_symbols(pa.array(drawn["text"], pa.string()), symbol, common_words)[0])
+    model = train_rounds(train, WordModel(symbols, classes), symbol, common_words, rounds)
     shared = spark.sparkContext.broadcast((model, common_words, c, symbol))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +364,7 @@ def score_documents(docs: DataFrame, held_out: Column, *, frequent: int = FREQUE
                 names=[x.split()[0] for x in SCORED.split(", ")],
             )
             row += size
+        release()
 
     scored = settle(rows.mapInArrow(each, SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))

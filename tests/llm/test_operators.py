@@ -305,6 +305,8 @@ def test_neighbours(spark):
     assert set(got) == set(range(0, 1500, 50)) and found >= 0.9 * 5 * 30
     assert [v for v, _ in got[300]] == [100, 301, 302, 303, 304]
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    multiples = spark.createDataFrame([(i, [float(v) * (i + 1) for v in (0.3, -1.7, 2.9)]) for i in range(21)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in neighbours.nearest(multiples, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
     few = neighbours.nearest(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0)
     assert sorted(r.vec_id for r in few.collect()) == [1, 2]
 
@@ -418,13 +420,31 @@ def test_word_model(docs, none):
     want = sorted(key((r[0], len(words(r[1])), sum(c[w] > 0 for w in words(r[1])), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words(r[1])), 5))) for r in ROWS)
     scores = []
     for frequent in (1 << 18, 3):
-        got = rows_of(word_model.score_documents(docs, held, frequent=frequent, symbols=32, classes=4))
+        got = rows_of(word_model.score_documents(docs, held, frequent=frequent, symbols=32, classes=4, rounds=2))
         assert sorted(key((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5))) for r in got) == want
         scores.append(got)
     assert word_model.score_documents(none, held).count() == 0
     assert word_model.score_documents(docs, F.lit(True)).where("train_tokens = 0 and score < 0").count() == len(ROWS)
 
 
+def test_word_model_scores_end_to_end(docs, monkeypatch):
+    """The score of each text, word by word, by a network as drawn."""
+    monkeypatch.setattr(word_model, "train_rounds", lambda texts, model, *rest: model)
+    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w]
+    c = collections.Counter(w for r in ROWS for w in words(r[1]))
+    order = sorted(c, key=lambda w: (-c[w], w.encode()))
+    known = {w: i + 2 for i, w in enumerate(order[:30])}
+    rest = sum(c[w] for w in order[30:]) + 0.1 * (len(order) - 30 + 1)
+    model = word_model.WordModel(32, 4)
+    want = []
+    for r in ROWS:
+        ids = np.array([known.get(w, 1) for w in words(r[1])] + [0])
+        states = model.states(np.append(0, ids[:-1])[:, None], np.zeros((model.hidden, 1), np.float32))
+        want.append(float(model.log10(states, ids[:, None]).sum()) + sum(math.log10((c[w] + 0.1) / rest) for w in words(r[1]) if w not in known))
+    got = rows_of(word_model.score_documents(docs, F.lit(False), symbols=32, classes=4))
+    assert np.allclose(sorted(r["score"] for r in got), sorted(want), rtol=1e-4)
+
+
 def test_word_model_is_a_distribution_and_carries_its_state():
     model = word_model.WordModel(symbols=20, classes=4, hidden=6)
     rng = np.random.default_rng(1)
