@@ -5,9 +5,9 @@ layer runs forward and one backward, a softmax labels every byte position, and t
 document's probabilities are the mean over all its positions. The windows keep memory bounded and let
 many positions run at once, whatever the length of a text.
 
-The network is trained in numpy by backpropagation through time over windows that are drawn
-from a bounded sample of labelled documents: about ``SAMPLE`` per language, picked by a hash of
-the id, and up to ``DRAWN`` windows of each, spread over the whole text. Both are parameters.
+The network is trained in numpy by backpropagation through time over all windows of the texts of
+a bounded sample of labelled documents: about ``SAMPLE`` per language, picked by a hash of
+the id, for the ``LANGUAGES`` most frequent languages. Both bounds are parameters.
 
 Defined results: ``und`` with score 0 for null texts and for those without a letter, and for
 all if nothing can be learned; null ids count as not held out and are not learned from; repeated
@@ -17,7 +17,6 @@ language are ignored, and the prediction itself sees the text alone.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import release, small_batches
 
 WINDOW = 48
 HIDDEN = 8
-SAMPLE = 400
-DRAWN = 6
+SAMPLE, LANGUAGES = 128, 256
+#: Steps of training at least.
+STEPS = 128
 #: Windows that run at once.
 LANES = 2048
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _PAD = 256
 
 
@@ -127,8 +126,9 @@ class ByteTagger:
             grad[f"{d}x"], grad[f"{d}u"] = gx.T, gu
         return loss, grad
 
-    def fit(self, bytes_: np.ndarray, label: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.02, seed: int = 3) -> float:
-        """Adam over shuffled batches of windows (lanes, time); the last epoch's mean loss."""
+    def fit(self, bytes_: np.ndarray, label: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 0.02, seed: int = 3) -> float:
+        """Adam over shuffled batches of windows (lanes, time), in as many epochs or so many more that there are ``STEPS`` steps; the last epoch's mean loss."""
+        epochs = max(epochs, STEPS // max(1, -(-len(label) // batch)))
         rng, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -158,11 +158,11 @@ def windows_of(text: bytes, window: int) -> np.ndarray:
     return out.reshape(count, window)
 
 
-def train(docs: DataFrame, learnable, *, sample: int = SAMPLE, drawn: int = DRAWN, window: int = WINDOW, hidden: int = HIDDEN, epochs: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteTagger | None:
+def train(docs: DataFrame, learnable, *, sample: int = SAMPLE, languages: int = LANGUAGES, window: int = WINDOW, hidden: int = HIDDEN, epochs: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteTagger | None:
     """The network learned from the rows of ``docs`` for which the column ``learnable`` is true; None if there are none."""
     spark = docs.sparkSession
     known = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # a row per language
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()}
     if not counts:
         return None
     labels = sorted(counts)
@@ -174,9 +174,7 @@ def train(docs: DataFrame, learnable, *, sample: int = SAMPLE, drawn: int = DRAW
         for pdf in pdfs:
             out = []
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                cut = windows_of(text.encode(), window)
-                for i in sorted({*np.linspace(0, len(cut) - 1, drawn).astype(int)}):
-                    out.append((lang, cut[i].tobytes()))
+                out.extend((lang, part.tobytes()) for part in windows_of(text.encode(), window))
             yield pd.DataFrame(out, columns=["lang", "bytes"])
 
     picked = known.where(unit < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -231,13 +229,14 @@ def identify(docs: DataFrame, tagger: ByteTagger | None, *, window: int = WINDOW
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            own = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if tagger else []
+            own = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if tagger else []
             label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if own:
                 p = document_probabilities(tagger, [texts[i].encode() for i in own], window)
                 for i, best, top in zip(own, p.argmax(axis=1), p.max(axis=1), strict=True):
                     label[i], score[i] = tagger.labels[best], min(1.0, max(0.0, float(top)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(label, pa.string()), pa.array(score)], names=names)
+        release()
 
     return rows.mapInArrow(predict, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("lang_pred").alias(scored[0]), F.col("score").alias(scored[1]))
 

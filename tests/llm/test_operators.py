@@ -280,7 +280,7 @@ def test_boosted_trees_and_thresholds():
 def test_language(spark, none):
     words = {"aa": ["kata", "mira", "tolo"], "bb": ["xyz", "wrk", "qqp"]}
     rng = np.random.default_rng(0)
-    rows = [(i, " ".join(rng.choice(words[k], 30)), k, "s", 0) for i, k in enumerate(["aa", "bb"] * 60)] + [(500, None, "aa", "s", 0), (501, "123 !", "bb", "s", 0), (502, "kata mira", None, "s", 0), (None, "wrk xyz", "bb", "s", 0)]
+    rows = [(i, " ".join(rng.choice(words[k], 30)), k, "s", 0) for i, k in enumerate(["aa", "bb"] * 60)] + [(500, None, "aa", "s", 0), (501, "123 ! ½²Ⅷ", "bb", "s", 0), (502, "kata mira", None, "s", 0), (None, "wrk xyz", "bb", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int")
     got = rows_of(language.predict_languages(docs))
     by = {r["doc_id"]: r for r in got}
@@ -507,6 +507,34 @@ def test_gradients_of_both_networks():
             assert abs((high - low) / 2e-3 - grad[k][at]) < 1e-3 + 0.02 * abs(grad[k][at]), k
 
 
+def test_language_equals_a_plain_recurrence():
+    """Byte by byte, with the sigmoid as it is written in books."""
+    tagger, window = language.ByteTagger(["a", "b", "c"], hidden=3), 10
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def plain(text):
+        total = np.zeros(3)
+        for a in range(0, len(text), window):
+            part = list(text[a : a + window]) + [256] * (window - len(text[a : a + window]))
+            states = {}
+            for d in "fb":
+                x, u, h, seen = tagger.w[d + "x"], tagger.w[d + "u"], np.zeros(3), []
+                for byte in part if d == "f" else part[::-1]:
+                    r = u @ h
+                    z, q = sigmoid(x[:3, byte] + r[:3]), sigmoid(x[3:6, byte] + r[3:6])
+                    n = np.tanh(x[6:, byte] + q * r[6:])
+                    h = z * h + (1 - z) * n
+                    seen.append(h)
+                states[d] = seen if d == "f" else seen[::-1]
+            for i in range(len(text[a : a + window])):
+                score = tagger.w["out"] @ np.concatenate([states["f"][i], states["b"][i], [1]])
+                total += np.exp(score) / np.exp(score).sum()
+        return total / len(text)
+
+    texts = ["é 😀 some text of several windows".encode(), b"x", b"exactly ten", b"0123456789"]
+    assert np.allclose(language.document_probabilities(tagger, texts, window, lanes=3), [plain(t) for t in texts], atol=1e-4)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
@@ -515,3 +543,21 @@ def test_pipeline(spark, docs, tmp_path):
     got = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
     kept = {r["doc_id"] for r in got}
     assert not kept & {0, 1, 2, 6, 8, 10, 13} and 9 in kept
+    assert len(got) == sum(r["start"] == 0 for r in got) + sum(r["start"] > 0 for r in got)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Empty, null, repeated and clashing input through each stage."""
+    import corpus_pipeline
+
+    rows = [(i, t, "en" if i % 2 else "fr", "s", len(t or ""), "x", 1.0, True) for i, t in enumerate(TEXTS)] + [(5, BASE, "en", "s", 1, "y", 2.0, False), (None, BASE + "no id", "en", "s", 1, "y", 2.0, False)] * 2
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred0 string, score0 double, kept boolean").repartition(2)
+    for table in (odd, odd.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, "")
+            assert out.columns == now.columns, name
+            kept = out.count()
+            assert kept <= now.count() and (kept > 0 or table is not odd)
+            now = spark.createDataFrame(out.collect(), out.schema)
+        assert (corpus_pipeline.STAGES[-1][1](spark, now, "").count() > 0) == (table is odd)
