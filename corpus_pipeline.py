@@ -1,8 +1,11 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a driver writes it as Parquet and
-hands the reread table to the next. All but the last keep the columns of documents. ``run`` does
-so below the shared folder. The stages read nothing but ``docs``.
+hands the reread table to the next. All but the last keep the columns of documents, whatever further ones there are and
+however they are named. ``run`` does so below the shared folder. The stages read nothing but ``docs``.
+
+Defined results: null and letterless texts go in the first stage, as they have no language; rows with null ids pass
+through (near dedup keeps them all); of repeated rows one stays from exact dedup on; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ LEAST_SCORE = 0.4
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from this table; documents without a letter or a likely language go."""
     tagger = language.train(docs, ~language.held_out())
-    found = language.identify(docs, tagger, carry=tuple(docs.columns), scored=("_lang_pred", "_score"))
-    return found.where((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = (next(n for n in (f"{name}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("lang_pred", "score"))
+    found = language.identify(docs, tagger, carry=tuple(docs.columns), scored=(lang, score))
+    return found.where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
