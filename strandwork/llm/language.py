@@ -29,7 +29,7 @@ from .scratch import release, small_batches
 
 WINDOW = 48
 HIDDEN = 8
-SAMPLE, LANGUAGES = 128, 256
+SAMPLE, LANGUAGES = 64, 256
 #: Steps of training at least.
 STEPS = 128
 #: Windows that run at once.
