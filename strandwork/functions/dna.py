@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bases of a seed, of a long seed, and between two sampled positions.
-SEED, LONG, STEP = 12, 15, 4
+#: Bases of a seed unless told otherwise, between two sampled positions, of a long seed beyond a seed, and of a seed at most.
+SEED, STEP, FURTHER, MOST_SEED = 12, 4, 3, 31
 #: Stands for a base beyond an edge of a contig; equals none.
 EDGE = "-"
 

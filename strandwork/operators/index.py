@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.dna import EDGE, SEED, STEP, genome, seed_code
+from ..functions.dna import EDGE, MOST_SEED, SEED, STEP, genome, seed_code
 
 TILE, OVERLAP = 1024, 512
 WORD = 32
+#: Bases of the parts of a tile in which seeds are cut, so that no cut walks a whole tile.
+PART = 64
 
 
 def contigs(sequences: DataFrame) -> DataFrame:
@@ -25,14 +27,15 @@ def contigs(sequences: DataFrame) -> DataFrame:
     return _with_prefix(lengths, "contig_id", "length", "g_start")
 
 
-def _with_prefix(rows: DataFrame, key: str, value: str, out: str, span: int = 4096) -> DataFrame:
-    """``rows`` with the sum of ``value`` over all smaller keys: within ranges of keys, plus the subtotals of earlier ranges."""
-    ranged = rows.withColumn("_range", F.floor(F.col(key) / span))
+def _with_prefix(rows: DataFrame, key: str, value: str, out: str, ranges: int = 256) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all smaller keys: within ranges of about equal counts of keys, plus the subtotals of earlier ranges."""
+    cuts = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]  # a number per range
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or ()))]).cast("array<long>")
+    ranged = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(key))))
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    # a row per range: 4^12 / 4096 for seeds
     before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     own = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(before, "_range").withColumn(out, (F.col("_before") + own).cast("long")).drop("_range", "_before")
+    return ranged.join(F.broadcast(before), "_range").withColumn(out, (F.col("_before") + own).cast("long")).drop("_range", "_before")
 
 
 def tiles(sequences: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataFrame:
@@ -53,13 +56,22 @@ def tiles(sequences: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> Dat
     )
 
 
-def seed_positions(tiled: DataFrame, step: int = STEP) -> DataFrame:
-    """seed, contig_id, pos, left3, right3 of every ``step``-th window of 12 bases that holds no N."""
-    text = F.concat(F.lpad("before", 3, EDGE), "body", F.left("after", F.lit(SEED + 2)), F.lit(EDGE * 3))
-    last = F.col("size") + F.length(F.left("after", F.lit(SEED - 1))) - SEED  # last place of a whole window
-    rows = tiled.withColumn("text", text).withColumn("last", F.least(last, F.col("size") - 1)).where("last >= 0")
-    placed = rows.select("contig_id", "start", "text", F.explode(F.sequence(F.lit(0), "last", F.lit(step))).alias("at"))
-    cut = placed.select("contig_id", (F.col("start") + F.col("at")).alias("pos"), *[F.substr("text", F.col("at") + F.lit(a), F.lit(n)).alias(c) for c, a, n in (("left3", 1, 3), ("kmer", 4, SEED), ("right3", 4 + SEED, 3))])
+def _checked(seed: int, step: int) -> None:
+    if not 1 <= seed <= MOST_SEED:
+        raise ValueError(f"a seed has 1 to {MOST_SEED} bases, not {seed}")
+    if step not in (1, 2, 4):
+        raise ValueError(f"the four windows of a long seed meet every sampled place for steps of 1, 2 or 4, not {step}")
+
+
+def seed_positions(tiled: DataFrame, step: int = STEP, seed: int = SEED) -> DataFrame:
+    """seed, contig_id, pos, left3, right3 of every ``step``-th window of ``seed`` bases that holds no N."""
+    _checked(seed, step)
+    text = F.concat(F.lpad("before", 3, EDGE), "body", F.left("after", F.lit(seed + 2)), F.lit(EDGE * 3))
+    last = F.col("size") + F.length(F.left("after", F.lit(seed - 1))) - seed  # last place of a whole window
+    rows = tiled.withColumn("last", F.least(last, F.col("size") - 1)).where("last >= 0").select("contig_id", "start", "last", text.alias("text"), F.explode(F.sequence(F.lit(0), "last", F.lit(PART))).alias("from"))
+    parts = rows.select("contig_id", (F.col("start") + F.col("from")).alias("start"), F.least(F.col("last") - F.col("from"), F.lit(PART - 1)).alias("last"), F.substr("text", F.col("from") + 1, F.lit(PART + seed + 6)).alias("part"))
+    placed = parts.select("contig_id", "start", "part", F.explode(F.sequence(F.lit(0), "last", F.lit(step))).alias("at"))
+    cut = placed.select("contig_id", (F.col("start") + F.col("at")).alias("pos"), *[F.substr("part", F.col("at") + F.lit(a), F.lit(n)).alias(c) for c, a, n in (("left3", 1, 3), ("kmer", 4, seed), ("right3", 4 + seed, 3))])
     return cut.where(F.instr("kmer", "N") == 0).select(seed_code(F.col("kmer")).alias("seed"), "contig_id", "pos", "left3", "right3")
 
 
@@ -83,26 +95,36 @@ def base_words(tiled: DataFrame) -> DataFrame:
     return rows.select("contig_id", (F.col("start") / WORD + F.col("k")).cast("int").alias("w"), bit("CT").alias("lo"), bit("GT").alias("hi"), bit("N").alias("nmask"))
 
 
-def write_index(sequences: DataFrame, path: str, step: int = STEP) -> None:
-    """The tables contigs, tiles, seed_pos (sorted by ranges of seeds), seed_count and meta below ``path``."""
+def unpacked(words: DataFrame, lengths: DataFrame) -> DataFrame:
+    """contig_id, w, bases: the bases of ``base_words`` rows again; the last word of a contig is cut to its length."""
+    bit = lambda c, k: F.call_function("shiftright", F.col(c), k).bitwiseAND(F.lit(1))
+    letter = lambda k: F.when(bit("nmask", k) == 1, "N").otherwise(F.substr(F.lit("ACGT"), (bit("lo", k) + 2 * bit("hi", k) + 1).cast("int"), F.lit(1)))
+    many = F.least(F.lit(WORD), F.col("length") - F.col("w") * WORD).cast("int")
+    rows = words.join(lengths.select("contig_id", "length"), "contig_id")
+    return rows.select("contig_id", "w", F.array_join(F.transform(F.sequence(F.lit(0), many - 1), letter), "").alias("bases"))
+
+
+def write_index(sequences: DataFrame, path: str, step: int = STEP, seed: int = SEED) -> None:
+    """The tables contigs, tiles, seed_pos (sorted by ranges of seeds), seed_count and meta below ``path``; meta comes last."""
+    _checked(seed, step)
     spark = sequences.sparkSession
     contigs(sequences).write.parquet(f"{path}/contigs")
-    tiles(sequences).write.parquet(f"{path}/tiles")
-    seed_positions(spark.read.parquet(f"{path}/tiles"), step).repartitionByRange("seed", "contig_id").sortWithinPartitions("seed", "contig_id", "pos").write.parquet(f"{path}/seed_pos")
+    tiles(sequences).repartition("contig_id", "tile").write.parquet(f"{path}/tiles")
+    seed_positions(spark.read.parquet(f"{path}/tiles"), step, seed).repartitionByRange("seed", "contig_id").sortWithinPartitions("seed", "contig_id", "pos").write.parquet(f"{path}/seed_pos")
     seed_counts(spark.read.parquet(f"{path}/seed_pos")).write.parquet(f"{path}/seed_count")
-    spark.createDataFrame([(SEED, step, 1)], "seed_length int, step int, format_version int").write.parquet(f"{path}/meta")
+    spark.createDataFrame([(seed, step, 1)], "seed_length int, step int, format_version int").write.parquet(f"{path}/meta")
 
 
-def read_index(spark, path: str) -> dict[str, DataFrame]:
+def read_index(spark, path: str, seed: int = SEED) -> dict[str, DataFrame]:
     """The tables that ``write_index`` wrote; refuses an index of another seed length or format."""
     meta = spark.read.parquet(f"{path}/meta").first()
-    if (meta["seed_length"], meta["format_version"]) != (SEED, 1):
+    if (meta["seed_length"], meta["format_version"]) != (seed, 1):
         raise ValueError(f"the index has seeds of {meta['seed_length']} bases in format {meta['format_version']}")
     return {t: spark.read.parquet(f"{path}/{t}") for t in ("contigs", "tiles", "seed_pos", "seed_count")}
 
 
-def index_of(sequences: DataFrame, step: int = STEP) -> dict[str, DataFrame]:
+def index_of(sequences: DataFrame, step: int = STEP, seed: int = SEED) -> dict[str, DataFrame]:
     """The same tables, planned and not written."""
     tiled = tiles(sequences)
-    positions = seed_positions(tiled, step)
+    positions = seed_positions(tiled, step, seed)
     return {"contigs": contigs(sequences), "tiles": tiled, "seed_pos": positions, "seed_count": seed_counts(positions)}

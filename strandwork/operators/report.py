@@ -34,10 +34,10 @@ def sam_records(alignments: DataFrame, reads: DataFrame, strands: DataFrame, con
     return mapped.unionByName(others)
 
 
-def sam_lines(records: DataFrame) -> DataFrame:
-    """One text column: tab-separated fields with the tags NM and XM."""
+def sam_lines(records: DataFrame, *further: str) -> DataFrame:
+    """One text column, value: tab-separated fields with the tags NM and XM; and ``further`` columns."""
     tag = lambda c, name: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}:i:"), F.col(c).cast("string")))
-    return records.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in SAM], tag("nm", "NM"), tag("xm", "XM")).alias("value"))
+    return records.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in SAM], tag("nm", "NM"), tag("xm", "XM")).alias("value"), *further)
 
 
 def sam_header(contigs: DataFrame, program: str = "strandwork") -> DataFrame:
@@ -55,6 +55,14 @@ def write_sam(records: DataFrame, contigs: DataFrame, path: str) -> None:
     sam_lines(records).write.option("compression", "gzip").text(f"{path}/records")
 
 
+def write_sam_by_file(records: DataFrame, files: DataFrame, contigs: DataFrame, path: str) -> None:
+    """As ``write_sam``, with a folder of records for each input file. ``files (qname, file)`` says where a read is from."""
+    sam_header(contigs).orderBy("n").coalesce(1).select("value").write.option("compression", "gzip").text(f"{path}/header")
+    named = records.join(files.select("qname", F.regexp_extract("file", r"([^/]*)$", 1).alias("file")), "qname")
+    lines = sam_lines(named, "file")
+    lines.write.partitionBy("file").option("compression", "gzip").text(f"{path}/records")
+
+
 def locate(points: DataFrame, contigs: DataFrame, bin_size: int = 1 << 16) -> DataFrame:
     """``points (g_pos)`` with contig_id and pos. Both sides meet in bins of the global axis, so it is an equi-join."""
     spans = contigs.where("length > 0").select("contig_id", "g_start", (F.col("g_start") + F.col("length")).alias("g_end"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.dna import LONG, SEED, STEP, reverse_complement, seed_code
+from ..functions.dna import FURTHER, SEED, reverse_complement, seed_code
 
 
 def oriented(reads: DataFrame) -> DataFrame:
@@ -15,17 +15,16 @@ def oriented(reads: DataFrame) -> DataFrame:
     return reads.select("read_id", F.explode(both).alias("x")).select("read_id", "x.*")
 
 
-def long_seeds(strands: DataFrame) -> DataFrame:
-    """read_id, strand, ls, bases: disjoint seeds of 15 bases from the read's start."""
-    cut = strands.select("read_id", "strand", F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{{LONG}}}"), 0)).alias("ls", "bases"))
-    return cut
+def long_seeds(strands: DataFrame, seed: int = SEED) -> DataFrame:
+    """read_id, strand, ls, bases: disjoint seeds of three bases more than an indexed one, from the read's start."""
+    return strands.select("read_id", "strand", F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{{seed + FURTHER}}}"), 0)).alias("ls", "bases"))
 
 
-def sub_seeds(longs: DataFrame) -> DataFrame:
-    """read_id, strand, ls, j, seed, resid: the windows of 12 bases of a long seed and its 3 further bases; those with N give none."""
-    j = F.explode(F.sequence(F.lit(0), F.lit(LONG - SEED))).alias("j")
-    cut = longs.select("read_id", "strand", "ls", "bases", j).withColumn("kmer", F.substr("bases", F.col("j") + 1, F.lit(SEED)))
-    resid = F.concat(F.substr("bases", F.lit(1), F.col("j")), F.substr("bases", F.col("j") + SEED + 1, F.lit(LONG - SEED) - F.col("j")))
+def sub_seeds(longs: DataFrame, seed: int = SEED) -> DataFrame:
+    """read_id, strand, ls, j, seed, resid: the windows of ``seed`` bases of a long seed and its 3 further bases; those with N give none."""
+    j = F.explode(F.sequence(F.lit(0), F.lit(FURTHER))).alias("j")
+    cut = longs.select("read_id", "strand", "ls", "bases", j).withColumn("kmer", F.substr("bases", F.col("j") + 1, F.lit(seed)))
+    resid = F.concat(F.substr("bases", F.lit(1), F.col("j")), F.substr("bases", F.col("j") + seed + 1, F.lit(FURTHER) - F.col("j")))
     return cut.where(~F.col("kmer").rlike("[^ACGT]")).select("read_id", "strand", "ls", "j", seed_code(F.col("kmer")).alias("seed"), resid.alias("resid"))
 
 
@@ -50,18 +49,15 @@ def seed_hits(subs: DataFrame, chosen: DataFrame, seed_pos: DataFrame) -> DataFr
 
 def filtered_hits(hits: DataFrame) -> DataFrame:
     """Those whose flanks agree with the rest of the long seed."""
-    return hits.where(F.substr(F.concat("left3", "right3"), F.lit(LONG - SEED + 1) - F.col("j"), F.lit(LONG - SEED)) == F.col("resid"))
+    return hits.where(F.substr(F.concat("left3", "right3"), F.lit(FURTHER + 1) - F.col("j"), F.lit(FURTHER)) == F.col("resid"))
 
 
-def candidates(hits: DataFrame) -> DataFrame:
+def candidates(hits: DataFrame, seed: int = SEED) -> DataFrame:
     """Different (read_id, strand, contig_id, start)."""
-    start = F.greatest(F.col("pos") - (F.col("ls") * LONG + F.col("j")), F.lit(0).cast("long"))
+    start = F.greatest(F.col("pos") - (F.col("ls") * (seed + FURTHER) + F.col("j")), F.lit(0).cast("long"))
     return hits.select("read_id", "strand", "contig_id", start.alias("start")).dropDuplicates()
 
 
-def long_seed_hits(longs: DataFrame, positions15: DataFrame) -> DataFrame:
-    """The same candidates from an index of every position's 15 bases: one equi-join and no flank filter. ``positions15 (bases, contig_id, pos)``."""
-    return longs.join(positions15, "bases").select("read_id", "strand", "contig_id", F.greatest(F.col("pos") - F.col("ls") * LONG, F.lit(0).cast("long")).alias("start")).dropDuplicates()
-
-
-__all__ = ["STEP", "candidates", "filtered_hits", "long_seed_frequency", "long_seed_hits", "long_seeds", "oriented", "rare_seeds", "seed_hits", "sub_seeds"]
+def long_seed_hits(longs: DataFrame, positions: DataFrame, seed: int = SEED) -> DataFrame:
+    """The same candidates from an index of the long seed at every position: one equi-join and no flank filter. ``positions (bases, contig_id, pos)``."""
+    return longs.join(positions, "bases").select("read_id", "strand", "contig_id", F.greatest(F.col("pos") - F.col("ls") * (seed + FURTHER), F.lit(0).cast("long")).alias("start")).dropDuplicates()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,8 +81,10 @@ def verified(rows: DataFrame, errors: int) -> DataFrame:
 
 
 def hits(found: DataFrame) -> DataFrame:
-    """``verified`` rows with end (in the contig) and without repeats of (read_id, strand, contig_id, end, nm)."""
-    return found.withColumn("end", F.col("lo") + F.col("to")).dropDuplicates(["read_id", "strand", "contig_id", "end", "nm"])
+    """``verified`` rows with end (in the contig), one for each (read_id, strand, contig_id, end, nm): that of the first window."""
+    keys = ("read_id", "strand", "contig_id", "end", "nm")
+    rows = found.withColumn("end", F.col("lo") + F.col("to"))
+    return rows.groupBy(*keys).agg(F.min(F.struct("lo", "to", "win", "seq")).alias("x")).select(*keys, "x.lo", "x.to", "x.win", "x.seq")
 
 
 def mismatches(found: DataFrame) -> DataFrame:
@@ -90,45 +93,56 @@ def mismatches(found: DataFrame) -> DataFrame:
     return found.withColumn("ham", F.when(F.col("to") >= size, hamming(F.col("seq"), F.substr("win", F.col("to") - size + 1, size))))
 
 
-def traceback(read: str, win: str, to: int, errors: int) -> tuple[str, int]:
-    """(CIGAR, start in the window) of an alignment that ends at ``to``: from the end match, then mismatch, insertion, deletion."""
-    inf = len(read) + len(win)
-    table = np.full((len(read) + 1, to + 1), inf, np.int32)
-    table[0, : 2 * errors + 1] = 0
-    for i, base in enumerate(read, 1):
-        for j in range(max(0, i - errors), min(to, i + 3 * errors) + 1):
-            best = table[i - 1, j] + 1
-            if j:
-                best = min(best, table[i - 1, j - 1] + (win[j - 1] != base), table[i, j - 1] + 1)
-            table[i, j] = best
-    i, j, ops = len(read), to, []
-    while i:
-        here = table[i, j]
-        if j and table[i - 1, j - 1] + (win[j - 1] != read[i - 1]) == here:
-            i, j, op = i - 1, j - 1, "M"
-        elif table[i - 1, j] + 1 == here:
-            i, op = i - 1, "I"
-        else:
-            j, op = j - 1, "D"
-        ops.append(op)
-    text, ops = "", ops[::-1]
-    while ops:
-        run = next((k for k, op in enumerate(ops) if op != ops[0]), len(ops))
-        text += f"{run}{ops[0]}"
-        ops = ops[run:]
-    return text, j
+def traced(reads: list[str], wins: list[str], to: np.ndarray, errors: int) -> tuple[list[str], np.ndarray]:
+    """(CIGARs, starts in the windows) of alignments of reads of one length that end at ``to``: from the end match or mismatch, then insertion, then deletion.
+
+    All distances of the band (end - read position from -errors to 3 errors) are kept, and all pairs step back together.
+    """
+    e, size, many = errors, len(reads[0]), len(reads)
+    far, width = np.int16(4 * e + 4), 4 * e + 1
+    read = np.frombuffer("".join(reads).encode(), np.uint8).reshape(many, size)
+    span = size + 4 * e + 2
+    win = np.frombuffer("".join(w[:span].ljust(span, "-") for w in wins).encode(), np.uint8).reshape(many, span)
+    offsets = np.arange(-e, 3 * e + 1)
+    table = np.full((size + 1, many, width + 2), far, np.int16)  # a border on both sides
+    table[0, :, 1:-1] = np.where((offsets >= 0) & (offsets <= 2 * e) & (offsets[None] <= to[:, None]), 0, far)
+    unequal = np.ones((size + 1, many, width), bool)
+    for i in range(1, size + 1):
+        ends = i + offsets
+        fine = (ends >= 0)[None] & (ends[None] <= to[:, None])
+        unequal[i] = (win[:, np.clip(ends - 1, 0, span - 1)] != read[:, i - 1 : i]) | (ends < 1)[None]
+        now = np.minimum(table[i - 1, :, 1:-1] + unequal[i], table[i - 1, :, 2:] + 1)
+        now = np.where(fine, now, far)
+        for b in range(1, width):
+            now[:, b] = np.where(fine[:, b], np.minimum(now[:, b], now[:, b - 1] + 1), far)
+        table[i, :, 1:-1] = np.minimum(now, far)
+    row, i, at = np.arange(many), np.full(many, size), to - size + e  # the place in the band
+    ops = np.zeros((many, size + 4 * e + 1), np.uint8)
+    for step in range(ops.shape[1]):
+        live = i > 0
+        if not live.any():
+            break
+        here, above = table[i, row, at + 1], np.maximum(i - 1, 0)
+        diagonal = (i + at - e > 0) & (table[above, row, at + 1] + unequal[i, row, at] == here)
+        insertion = ~diagonal & (table[above, row, np.minimum(at + 2, width + 1)] + 1 == here)
+        ops[:, step] = np.where(live, np.where(diagonal, ord("M"), np.where(insertion, ord("I"), ord("D"))), 0)
+        i = np.where(live & (diagonal | insertion), i - 1, i)
+        at = np.where(live & insertion, at + 1, np.where(live & ~diagonal & ~insertion, at - 1, at))
+    texts = (bytes(x[x > 0][::-1]).decode() for x in ops)
+    return ["".join(f"{len(run.group())}{run.group()[0]}" for run in re.finditer(r"M+|I+|D+", t)) for t in texts], at - e
 
 
 def aligned(found: DataFrame, errors: int) -> DataFrame:
     """Hits with cigar and pos. Hits without a gap stay in the JVM; only the others are traced back in Python."""
     rows = mismatches(found)
-    plain = rows.where("ham = nm").select("read_id", "strand", "contig_id", "end", "nm", F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), (F.col("end") - F.length("seq")).alias("pos"))
+    level = F.coalesce((F.col("ham") == F.col("nm")) & (F.col("to") - F.length("seq") <= 2 * errors), F.lit(False))
+    plain = rows.where(level).select("read_id", "strand", "contig_id", "end", "nm", F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), (F.col("end") - F.length("seq")).alias("pos"))
 
     def trace(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            got = [traceback(r.seq, r.win, r.to, errors) for r in pdf.itertuples()]
-            pdf = pdf.assign(cigar=[c for c, _ in got], pos=pdf["lo"].to_numpy() + np.array([p for _, p in got], np.int64))
-            yield pdf[["read_id", "strand", "contig_id", "end", "nm", "cigar", "pos"]]
+            for _, own in pdf.groupby(pdf["seq"].str.len()):
+                cigars, starts = traced(own["seq"].tolist(), own["win"].tolist(), own["to"].to_numpy(np.int64), errors)
+                yield own.assign(cigar=cigars, pos=own["lo"].to_numpy() + starts)[["read_id", "strand", "contig_id", "end", "nm", "cigar", "pos"]]
 
-    gapped = rows.where("ham is null or ham <> nm").mapInPandas(trace, "read_id long, strand int, contig_id long, end long, nm int, cigar string, pos long")
+    gapped = rows.where(~level).mapInPandas(trace, "read_id long, strand int, contig_id long, end long, nm int, cigar string, pos long")
     return plain.unionByName(gapped)

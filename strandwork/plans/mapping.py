@@ -5,46 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dna import LONG
+from ..functions.dna import FURTHER, SEED
 from ..operators import index as ix
 from ..operators import report, seeding, verify
 
 
-def build_index(spark: SparkSession, sequences: DataFrame, path: str, step: int = ix.STEP) -> dict[str, DataFrame]:
+def build_index(spark: SparkSession, sequences: DataFrame, path: str, step: int = ix.STEP, seed: int = SEED) -> dict[str, DataFrame]:
     """Write the index of ``sequences (contig_id, name, seq)`` below ``path`` and read it back."""
-    ix.write_index(sequences, path, step)
-    return ix.read_index(spark, path)
+    ix.write_index(sequences, path, step, seed)
+    return ix.read_index(spark, path, seed)
 
 
-def candidates(index: dict[str, DataFrame], strands: DataFrame, errors: int) -> DataFrame:
-    longs = seeding.long_seeds(strands)
-    subs = seeding.sub_seeds(longs)
+def candidates(index: dict[str, DataFrame], strands: DataFrame, errors: int, seed: int = SEED) -> DataFrame:
+    longs = seeding.long_seeds(strands, seed)
+    subs = seeding.sub_seeds(longs, seed)
     chosen = seeding.rare_seeds(seeding.long_seed_frequency(longs, subs, index["seed_count"]), errors)
-    return seeding.candidates(seeding.filtered_hits(seeding.seed_hits(subs, chosen, index["seed_pos"])))
+    return seeding.candidates(seeding.filtered_hits(seeding.seed_hits(subs, chosen, index["seed_pos"])), seed)
 
 
-def map_reads(index: dict[str, DataFrame], reads: DataFrame, errors: int = 4, n_policy: str = "as-a") -> DataFrame:
+def map_reads(index: dict[str, DataFrame], reads: DataFrame, errors: int = 4, n_policy: str = "as-a", seed: int = SEED) -> DataFrame:
     """All alignments of ``reads (read_id, name, seq, qual)`` within ``errors`` edits: read_id, strand, contig_id, pos, end, nm, cigar.
 
-    Reads of at least 15 (errors + 1) bases miss none; shorter ones are searched by all seeds they have.
+    Reads of at least (seed + 3) (errors + 1) bases miss none; shorter ones are searched by all seeds they have.
     """
     strands = seeding.oriented(reads)
-    rows = verify.windows(candidates(index, strands, errors), strands, index["tiles"], index["contigs"], errors, n_policy)
+    rows = verify.windows(candidates(index, strands, errors, seed), strands, index["tiles"], index["contigs"], errors, n_policy)
     return verify.aligned(verify.hits(verify.verified(rows, errors)), errors).select("read_id", "strand", "contig_id", "pos", "end", "nm", "cigar")
 
 
-def complete(reads: DataFrame, errors: int) -> DataFrame:
+def complete(reads: DataFrame, errors: int, seed: int = SEED) -> DataFrame:
     """read_id, complete: whether a read is long enough for the guarantee."""
-    return reads.select("read_id", (F.length("seq") >= LONG * (errors + 1)).alias("complete"))
+    return reads.select("read_id", (F.length("seq") >= (seed + FURTHER) * (errors + 1)).alias("complete"))
 
 
-def explain_read(index: dict[str, DataFrame], reads: DataFrame, read_id: int, contig_id: int, pos: int, errors: int = 4) -> DataFrame:
+def explain_read(index: dict[str, DataFrame], reads: DataFrame, read_id: int, contig_id: int, pos: int, errors: int = 4, seed: int = SEED) -> DataFrame:
     """Seed hits of one read near one place: strand, ls, j, seed, start, passes (the flank filter)."""
     strands = seeding.oriented(reads.where(F.col("read_id") == read_id))
-    longs = seeding.long_seeds(strands)
-    subs = seeding.sub_seeds(longs)
+    longs = seeding.long_seeds(strands, seed)
+    subs = seeding.sub_seeds(longs, seed)
     found = seeding.seed_hits(subs, longs, index["seed_pos"].where(F.col("contig_id") == contig_id))
-    start = F.col("pos") - (F.col("ls") * LONG + F.col("j"))
+    start = F.col("pos") - (F.col("ls") * (seed + FURTHER) + F.col("j"))
     near = found.withColumn("start", start).where(F.abs(F.col("start") - pos) <= errors)
     passes = F.substr(F.concat("left3", "right3"), F.lit(4) - F.col("j"), F.lit(3)) == F.col("resid")
     return near.select("strand", "ls", "j", "seed", "start", passes.alias("passes"))

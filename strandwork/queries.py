@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.dna import letters_as_dna, reverse_complement
+from .functions.dna import FURTHER, SEED, letters_as_dna, reverse_complement
 from .operators import index as ix
 from .operators import report, seeding, verify
 from .plans import mapping
+from .shared import made_once
 
 ERRORS = 4
 
@@ -24,30 +25,31 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of 90 letters of each text, the last with what is left; as they are, reversed, with one letter changed, or with one left out and reversed."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", letters_as_dna(F.col("text")).alias("dna"))
-    many = F.floor((F.length("dna") - 1) / 90).cast("int")
-    cut = bench.where(many >= 1).select("item_id", "dna", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"))
+    cut = bench.where(F.length("dna") > 0).select("item_id", "dna", F.explode(F.sequence(F.lit(0), F.floor((F.length("dna") - 1) / 90).cast("int"))).alias("i"))
     s = F.substr("dna", F.col("i") * 90 + 1, F.lit(91))
-    rows = cut.select((F.col("item_id") * 10 + F.col("i")).alias("read_id"), s.alias("s"))
+    rows = cut.select((F.col("item_id") * 1000 + F.col("i")).alias("read_id"), ((F.col("item_id") + F.col("i")) % 4).alias("kind"), s.alias("s"))
     part = lambda a, n: F.substring("s", a, n)
-    kind = F.col("read_id") % 4
+    kind = F.col("kind")
     seq = (
         F.when(kind == 0, part(1, 90)).when(kind == 1, reverse_complement(part(1, 90)))
         .when(kind == 2, F.concat(part(1, 40), F.translate(part(41, 1), "ACGT", "CGTA"), part(42, 49)))
         .otherwise(reverse_complement(F.concat(part(1, 50), part(52, 40))))
     )
-    return rows.select("read_id", F.concat(F.lit("read"), F.col("read_id").cast("string")).alias("name"), seq.alias("seq"), F.lit("I" * 90).alias("qual"))
+    return rows.select("read_id", F.concat(F.lit("read"), F.col("read_id").cast("string")).alias("name"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
 
 
 class _Plan:
-    """The steps of a mapping by name, each planned when asked for."""
+    """The steps of a mapping by name, each planned when asked for. The index of a table is written once and read by all queries."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.sequences, self.reads = sequences(spark, sf_dir), reads(spark, sf_dir)
-        self.index = ix.index_of(self.sequences)
+    def __init__(self, spark: SparkSession, sf_dir: str, seed: int = SEED) -> None:
+        self.seed, self.reads = seed, reads(spark, sf_dir)
+        place = made_once(spark, f"{sf_dir}/documents.parquet", f"mapping-index-{seed}", lambda path: ix.write_index(sequences(spark, sf_dir), path, seed=seed))
+        self.index = ix.read_index(spark, place, seed)
         self.strands = seeding.oriented(self.reads)
-        self.longs = seeding.long_seeds(self.strands)
-        self.subs = seeding.sub_seeds(self.longs)
+        self.longs = seeding.long_seeds(self.strands, seed)
+        self.subs = seeding.sub_seeds(self.longs, seed)
 
     def frequency(self) -> DataFrame:
         return seeding.long_seed_frequency(self.longs, self.subs, self.index["seed_count"])
@@ -56,7 +58,7 @@ class _Plan:
         return seeding.seed_hits(self.subs, seeding.rare_seeds(self.frequency(), ERRORS), self.index["seed_pos"])
 
     def candidates(self) -> DataFrame:
-        return seeding.candidates(seeding.filtered_hits(self.hits()))
+        return seeding.candidates(seeding.filtered_hits(self.hits()), self.seed)
 
     def windows(self) -> DataFrame:
         return verify.windows(self.candidates(), self.strands, self.index["tiles"], self.index["contigs"], ERRORS)
@@ -65,7 +67,7 @@ class _Plan:
         return verify.hits(verify.verified(self.windows(), ERRORS))
 
     def aligned(self) -> DataFrame:
-        return mapping.map_reads(self.index, self.reads, ERRORS)
+        return mapping.map_reads(self.index, self.reads, ERRORS, seed=self.seed)
 
 
 def _query(build: Callable[[_Plan], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -103,59 +105,78 @@ QUERIES: dict[str, Callable[[_Plan], DataFrame]] = {
     "primary": lambda p: report.flagged(p.verified().withColumn("pos", F.col("end"))).select("read_id", "contig_id", "end", F.col("flag").cast("long").alias("flag")),
     "sam_header": lambda p: report.sam_header(p.index["contigs"]),
     "mapping_summary": lambda p: p.verified().groupBy(F.col("strand").cast("long").alias("strand"), F.col("nm").cast("long").alias("nm")).agg(F.count("*").alias("hits"), F.countDistinct("read_id").alias("reads")),
-    "cigar": lambda p: p.aligned(),
+    "cigar": lambda p: p.aligned().select("read_id", F.col("strand").cast("long").alias("strand"), "contig_id", "pos", "end", F.col("nm").cast("long").alias("nm"), "cigar"),
+    "unpacked_words": lambda p: ix.unpacked(ix.base_words(p.index["tiles"]), p.index["contigs"]).withColumn("w", F.col("w").cast("long")),
+    "genome_length": lambda p: p.index["contigs"].agg(F.count("*").alias("contigs"), F.sum("length").alias("bases")),
     "sam_records": lambda p: report.sam_lines(report.sam_records(p.aligned(), p.reads, p.strands, p.index["contigs"])),
 }
 
 
+#: Seed length of a second index, to show that it is a parameter.
+SHORT_SEED = 10
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(build) for name, build in QUERIES.items()}
+    short = {"seed_histogram_short": QUERIES["seed_histogram"], "candidates_short": QUERIES["candidates"]}
+    return {name: _query(build) for name, build in QUERIES.items()} | {name: lambda spark, sf_dir, build=build: build(_Plan(spark, sf_dir, SHORT_SEED)) for name, build in short.items()}
 
 
 _DNA = "translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAN')"
-_CODE = lambda kmer: " + ".join(f"(strpos('ACGT', substr({kmer}, {i + 1}, 1)) - 1) * {4**i}" for i in range(12))
+_CODE = lambda kmer, seed: " + ".join(f"(strpos('ACGT', substr({kmer}, {i + 1}, 1)) - 1) * {4**i}" for i in range(seed))
 _RC = lambda x: f"reverse(translate({x}, 'ACGT', 'TGCA'))"
-_STEPS = {
-    "seqs": f"SELECT doc_id AS contig_id, 'doc' || CAST(doc_id AS VARCHAR) AS name, {_DNA} AS seq FROM documents",
-    "contigs": "SELECT contig_id, name, CAST(length(seq) AS BIGINT) AS length, CAST(coalesce(sum(length(seq)) OVER (ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g_start FROM seqs",
-    "kmers": "SELECT contig_id, pos, substr(seq, pos + 1, 12) AS kmer, CASE WHEN pos >= 3 THEN substr(seq, pos - 2, 3) ELSE '---' END AS left3, rpad(substr(seq, pos + 13, 3), 3, '-') AS right3 FROM (SELECT contig_id, seq, CAST(unnest(range(0, length(seq) - 11, 4)) AS BIGINT) AS pos FROM seqs WHERE length(seq) >= 12)",
-    "positions": f"SELECT CAST({_CODE('kmer')} AS BIGINT) AS seed, contig_id, pos, left3, right3 FROM kmers WHERE strpos(kmer, 'N') = 0",
-    "counts": "SELECT seed, count(*) AS n FROM positions GROUP BY seed",
-    "bench": f"SELECT item_id, {_DNA} AS dna FROM benchmark",
-    "slices": "SELECT item_id * 10 + i AS read_id, substr(dna, i * 90 + 1, 91) AS s FROM (SELECT item_id, dna, CAST(unnest(range(0, (length(dna) - 1) // 90)) AS BIGINT) AS i FROM bench WHERE length(dna) >= 91)",
-    "reads": f"SELECT read_id, 'read' || CAST(read_id AS VARCHAR) AS name, CASE read_id % 4 WHEN 0 THEN substr(s, 1, 90) WHEN 1 THEN {_RC('substr(s, 1, 90)')} WHEN 2 THEN substr(s, 1, 40) || translate(substr(s, 41, 1), 'ACGT', 'CGTA') || substr(s, 42, 49) ELSE {_RC('substr(s, 1, 50) || substr(s, 52, 40)')} END AS seq, repeat('I', 90) AS qual FROM slices",
-    "strands": f"SELECT read_id, CAST(0 AS BIGINT) AS strand, seq, qual FROM reads UNION ALL SELECT read_id, CAST(1 AS BIGINT), {_RC('seq')}, reverse(qual) FROM reads",
-    "longs": "SELECT read_id, strand, ls, substr(seq, ls * 15 + 1, 15) AS bases FROM (SELECT read_id, strand, seq, CAST(unnest(range(0, length(seq) // 15)) AS BIGINT) AS ls FROM strands)",
-    "windows15": "SELECT read_id, strand, ls, j, substr(bases, j + 1, 12) AS kmer, substr(bases, 1, j) || substr(bases, j + 13, 3 - j) AS resid FROM (SELECT *, CAST(unnest(range(0, 4)) AS BIGINT) AS j FROM longs)",
-    "subs": f"SELECT read_id, strand, ls, j, CAST({_CODE('kmer')} AS BIGINT) AS seed, resid FROM windows15 WHERE NOT regexp_matches(kmer, '[^ACGT]')",
-    "frequency": "SELECT longs.read_id, longs.strand, longs.ls, CAST(coalesce(sum(counts.n), 0) AS BIGINT) AS n FROM longs LEFT JOIN subs ON longs.read_id = subs.read_id AND longs.strand = subs.strand AND longs.ls = subs.ls LEFT JOIN counts ON subs.seed = counts.seed GROUP BY longs.read_id, longs.strand, longs.ls",
-    "ranked": "SELECT read_id, strand, ls, n, row_number() OVER (PARTITION BY read_id, strand ORDER BY n, ls) AS rank FROM frequency",
-    "rare": f"SELECT * FROM ranked WHERE rank <= {ERRORS + 1}",
-    "hits": "SELECT subs.read_id, subs.strand, subs.ls, subs.j, subs.resid, positions.contig_id, positions.pos, positions.left3, positions.right3 FROM subs JOIN rare ON subs.read_id = rare.read_id AND subs.strand = rare.strand AND subs.ls = rare.ls JOIN positions ON subs.seed = positions.seed",
-    "filtered": "SELECT * FROM hits WHERE substr(left3 || right3, 4 - j, 3) = resid",
-    "cands": "SELECT DISTINCT read_id, strand, contig_id, greatest(pos - (ls * 15 + j), 0) AS start FROM filtered",
-    "spans": f"SELECT cands.read_id, cands.strand, cands.contig_id, cands.start, regexp_replace(strands.seq, '[^ACGT]', 'C', 'g') AS seq, greatest(start - {ERRORS}, 0) AS lo, least(start + length(strands.seq) + {ERRORS}, length(seqs.seq)) AS hi, seqs.seq AS contig FROM cands JOIN strands ON cands.read_id = strands.read_id AND cands.strand = strands.strand JOIN seqs ON cands.contig_id = seqs.contig_id",
-    "wins": f"SELECT read_id, strand, contig_id, start, seq, lo, translate(substr(contig, lo + 1, hi - lo), 'N', 'A') AS win FROM spans WHERE hi - lo >= length(seq) - {ERRORS}",
-    "starts": f"SELECT *, CAST(unnest(range(0, {2 * ERRORS + 1})) AS BIGINT) AS a FROM wins",
-    "trials": f"SELECT *, CAST(unnest(range(a + length(seq) - {ERRORS}, a + length(seq) + {ERRORS + 1})) AS BIGINT) AS b FROM starts",
-    "scored": "SELECT read_id, strand, contig_id, lo, win, seq, b, levenshtein(seq, substr(win, a + 1, b - a)) AS d FROM trials WHERE b <= length(win)",
-    "least": "SELECT *, row_number() OVER (PARTITION BY read_id, strand, contig_id, lo, win ORDER BY d, b) AS k FROM scored",
-    "found": f"SELECT DISTINCT read_id, strand, contig_id, lo + b AS \"end\", CAST(d AS BIGINT) AS nm FROM least WHERE k = 1 AND d <= {ERRORS}",
-    "placed": f"SELECT read_id, strand, contig_id, lo + b AS \"end\", min(CASE WHEN b >= length(seq) THEN hamming(seq, substr(win, b - length(seq) + 1, length(seq))) END) AS ham FROM least WHERE k = 1 AND d <= {ERRORS} GROUP BY ALL",
-}
-
-
-def _sql(last: str, select: str = "*", tail: str = "") -> str:
-    names = list(_STEPS)
-    steps = names[: names.index(last) + 1]
-    return "WITH " + ", ".join(f"{n} AS ({_STEPS[n]})" for n in steps) + f" SELECT {select} FROM {last} {tail}"
+def _steps(seed: int = SEED) -> dict[str, str]:
+    long_ = seed + FURTHER
+    return {
+        "seqs": f"SELECT doc_id AS contig_id, 'doc' || CAST(doc_id AS VARCHAR) AS name, {_DNA} AS seq FROM documents",
+        "contigs": "SELECT contig_id, name, CAST(length(seq) AS BIGINT) AS length, CAST(coalesce(sum(length(seq)) OVER (ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g_start FROM seqs",
+        "kmers": f"SELECT contig_id, pos, substr(seq, pos + 1, {seed}) AS kmer, CASE WHEN pos >= 3 THEN substr(seq, pos - 2, 3) ELSE '---' END AS left3, rpad(substr(seq, pos + {seed + 1}, 3), 3, '-') AS right3 FROM (SELECT contig_id, seq, CAST(unnest(range(0, length(seq) - {seed - 1}, 4)) AS BIGINT) AS pos FROM seqs WHERE length(seq) >= {seed})",
+        "positions": f"SELECT CAST({_CODE('kmer', seed)} AS BIGINT) AS seed, contig_id, pos, left3, right3 FROM kmers WHERE strpos(kmer, 'N') = 0",
+        "counts": "SELECT seed, count(*) AS n FROM positions GROUP BY seed",
+        "bench": f"SELECT item_id, {_DNA} AS dna FROM benchmark",
+        "slices": "SELECT item_id * 1000 + i AS read_id, (item_id + i) % 4 AS kind, substr(dna, i * 90 + 1, 91) AS s FROM (SELECT item_id, dna, CAST(unnest(range(0, (length(dna) + 89) // 90)) AS BIGINT) AS i FROM bench WHERE length(dna) >= 1)",
+        "reads": f"SELECT read_id, 'read' || CAST(read_id AS VARCHAR) AS name, CASE kind WHEN 0 THEN substr(s, 1, 90) WHEN 1 THEN {_RC('substr(s, 1, 90)')} WHEN 2 THEN substr(s, 1, 40) || translate(substr(s, 41, 1), 'ACGT', 'CGTA') || substr(s, 42, 49) ELSE {_RC('substr(s, 1, 50) || substr(s, 52, 40)')} END AS seq, repeat('I', length(seq)) AS qual FROM slices",
+        "strands": f"SELECT read_id, CAST(0 AS BIGINT) AS strand, seq, qual FROM reads UNION ALL SELECT read_id, CAST(1 AS BIGINT), {_RC('seq')}, reverse(qual) FROM reads",
+        "longs": f"SELECT read_id, strand, ls, substr(seq, ls * {long_} + 1, {long_}) AS bases FROM (SELECT read_id, strand, seq, CAST(unnest(range(0, length(seq) // {long_})) AS BIGINT) AS ls FROM strands)",
+        "windows15": f"SELECT read_id, strand, ls, j, substr(bases, j + 1, {seed}) AS kmer, substr(bases, 1, j) || substr(bases, j + {seed + 1}, 3 - j) AS resid FROM (SELECT *, CAST(unnest(range(0, 4)) AS BIGINT) AS j FROM longs)",
+        "subs": f"SELECT read_id, strand, ls, j, CAST({_CODE('kmer', seed)} AS BIGINT) AS seed, resid FROM windows15 WHERE NOT regexp_matches(kmer, '[^ACGT]')",
+        "frequency": "SELECT longs.read_id, longs.strand, longs.ls, CAST(coalesce(sum(counts.n), 0) AS BIGINT) AS n FROM longs LEFT JOIN subs ON longs.read_id = subs.read_id AND longs.strand = subs.strand AND longs.ls = subs.ls LEFT JOIN counts ON subs.seed = counts.seed GROUP BY longs.read_id, longs.strand, longs.ls",
+        "ranked": "SELECT read_id, strand, ls, n, row_number() OVER (PARTITION BY read_id, strand ORDER BY n, ls) AS rank FROM frequency",
+        "rare": f"SELECT * FROM ranked WHERE rank <= {ERRORS + 1}",
+        "hits": "SELECT subs.read_id, subs.strand, subs.ls, subs.j, subs.resid, positions.contig_id, positions.pos, positions.left3, positions.right3 FROM subs JOIN rare ON subs.read_id = rare.read_id AND subs.strand = rare.strand AND subs.ls = rare.ls JOIN positions ON subs.seed = positions.seed",
+        "filtered": "SELECT * FROM hits WHERE substr(left3 || right3, 4 - j, 3) = resid",
+        "cands": f"SELECT DISTINCT read_id, strand, contig_id, greatest(pos - (ls * {long_} + j), 0) AS start FROM filtered",
+        "spans": f"SELECT cands.read_id, cands.strand, cands.contig_id, cands.start, regexp_replace(strands.seq, '[^ACGT]', 'C', 'g') AS seq, greatest(start - {ERRORS}, 0) AS lo, least(start + length(strands.seq) + {ERRORS}, length(seqs.seq)) AS hi, seqs.seq AS contig FROM cands JOIN strands ON cands.read_id = strands.read_id AND cands.strand = strands.strand JOIN seqs ON cands.contig_id = seqs.contig_id",
+        "wins": f"SELECT read_id, strand, contig_id, start, seq, lo, translate(substr(contig, lo + 1, hi - lo), 'N', 'A') AS win FROM spans WHERE hi - lo >= length(seq) - {ERRORS}",
+        "starts": f"SELECT *, CAST(unnest(range(0, {2 * ERRORS + 1})) AS BIGINT) AS a FROM wins",
+        "trials": f"SELECT *, CAST(unnest(range(a + length(seq) - {ERRORS}, a + length(seq) + {ERRORS + 1})) AS BIGINT) AS b FROM starts",
+        "scored": "SELECT read_id, strand, contig_id, lo, win, seq, b, levenshtein(seq, substr(win, a + 1, b - a)) AS d FROM trials WHERE b <= length(win)",
+        "least": "SELECT *, row_number() OVER (PARTITION BY read_id, strand, contig_id, lo, win ORDER BY d, b) AS k FROM scored",
+        "found": f"SELECT DISTINCT read_id, strand, contig_id, lo + b AS \"end\", CAST(d AS BIGINT) AS nm FROM least WHERE k = 1 AND d <= {ERRORS}",
+        "firsts": f"SELECT read_id, strand, contig_id, lo + b AS \"end\", CAST(d AS BIGINT) AS nm, arg_min({{'lo': lo, 'b': b, 'win': win, 'seq': seq}}, lo) AS x FROM least WHERE k = 1 AND d <= {ERRORS} GROUP BY ALL",
+        "pairs": 'SELECT row_number() OVER (ORDER BY read_id, strand, contig_id, "end", nm) AS h, read_id, strand, contig_id, "end", nm, x.lo AS lo, x.b AS t, x.win AS win, x.seq AS seq FROM firsts',
+        "placed": 'SELECT read_id, strand, contig_id, "end", CASE WHEN t >= length(seq) THEN hamming(seq, substr(win, t - length(seq) + 1, length(seq))) END AS ham FROM pairs',
+        # row i of the table of distances of a pair: entry j + 1 is for j bases of the window
+        "filled": f"SELECT h, CAST(0 AS BIGINT) AS i, seq, win, t, [CASE WHEN j <= {2 * ERRORS} THEN 0 ELSE 1000 END FOR j IN range(0, t + 1)] AS d FROM pairs UNION ALL SELECT h, i, seq, win, t, [list_min([c[k + 1] + j - k FOR k IN range(greatest(0, j - {ERRORS + 1}), j + 1)]) FOR j IN range(0, t + 1)] FROM (SELECT h, i + 1 AS i, seq, win, t, [least(d[j + 1] + 1, CASE WHEN j > 0 THEN d[j] + CASE WHEN substr(win, j, 1) <> substr(seq, i + 1, 1) THEN 1 ELSE 0 END ELSE 1000 END) FOR j IN range(0, t + 1)] AS c FROM filled WHERE i < length(seq))",
+        "tables": "SELECT h, list(d ORDER BY i) AS d FROM filled GROUP BY h",
+        "walked": "SELECT pairs.h, CAST(length(seq) AS BIGINT) AS i, CAST(t AS BIGINT) AS j, '' AS ops, seq, win, d FROM pairs JOIN tables ON pairs.h = tables.h UNION ALL SELECT h, CASE op WHEN 'D' THEN i ELSE i - 1 END, CASE op WHEN 'I' THEN j ELSE j - 1 END, op || ops, seq, win, d FROM (SELECT *, CASE WHEN j > 0 AND d[i][j] + CASE WHEN substr(win, j, 1) <> substr(seq, i, 1) THEN 1 ELSE 0 END = d[i + 1][j + 1] THEN 'M' WHEN d[i][j + 1] + 1 = d[i + 1][j + 1] THEN 'I' ELSE 'D' END AS op FROM walked WHERE i > 0)",
+        "cigars": "SELECT read_id, strand, contig_id, CAST(lo + j AS BIGINT) AS pos, \"end\", nm, array_to_string([CAST(length(r) AS VARCHAR) || substr(r, 1, 1) FOR r IN regexp_extract_all(ops, 'M+|I+|D+')], '') AS cigar FROM walked JOIN pairs ON walked.h = pairs.h WHERE i = 0",
+        "flagged": 'SELECT *, row_number() OVER (PARTITION BY read_id, strand ORDER BY nm, contig_id, pos, "end") = 1 AS prime FROM cigars',
+        "mapped_lines": "SELECT concat_ws(chr(9), reads.name, CAST(strand * 16 + CASE WHEN prime THEN 0 ELSE 256 END AS VARCHAR), contigs.name, CAST(pos + 1 AS VARCHAR), '255', cigar, '*', '0', '0', CASE WHEN prime THEN strands.seq ELSE '*' END, CASE WHEN prime THEN strands.qual ELSE '*' END, 'NM:i:' || nm, 'XM:i:' || nm) AS value FROM flagged JOIN reads USING (read_id) JOIN strands USING (read_id, strand) JOIN contigs USING (contig_id)",
+        "sam_lines": "SELECT value FROM mapped_lines UNION ALL SELECT concat_ws(chr(9), name, '4', '*', '0', '255', '*', '*', '0', '0', seq, qual) FROM reads WHERE read_id NOT IN (SELECT read_id FROM cigars)",
+    }
+
+
+def _sql(last: str, select: str = "*", tail: str = "", seed: int = SEED) -> str:
+    steps = _steps(seed)
+    names = list(steps)
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({steps[n]})" for n in names[: names.index(last) + 1]) + f" SELECT {select} FROM {last} {tail}"
 
 
 def oracle_sql() -> dict[str, str]:
     tile = f"SELECT contig_id, t AS tile, t * {ix.TILE} AS start, CASE WHEN t > 0 THEN substr(seq, t * {ix.TILE} - 2, 3) ELSE '' END AS before, substr(seq, t * {ix.TILE} + 1, {ix.TILE}) AS body, substr(seq, t * {ix.TILE} + {ix.TILE + 1}, {ix.OVERLAP}) AS after FROM (SELECT contig_id, seq, CAST(unnest(range(0, (length(seq) + {ix.TILE - 1}) // {ix.TILE})) AS BIGINT) AS t FROM seqs)"
     bits = lambda test: f"CAST(sum(CASE WHEN {test} THEN CAST(1 AS BIGINT) << CAST(p % 32 AS BIGINT) ELSE 0 END) AS BIGINT)"
     words = f"SELECT contig_id, p // 32 AS w, {bits("c IN ('C', 'T')")} AS lo, {bits("c IN ('G', 'T')")} AS hi, {bits("c = 'N'")} AS nmask FROM (SELECT contig_id, p, substr(seq, p + 1, 1) AS c FROM (SELECT contig_id, seq, CAST(unnest(range(0, length(seq))) AS BIGINT) AS p FROM seqs)) GROUP BY contig_id, p // 32"
-    seqs = f"WITH seqs AS ({_STEPS['seqs']}) "
+    seqs = f"WITH seqs AS ({_steps()['seqs']}) "
     points = "SELECT DISTINCT unnest([g_start, g_start + length - 1]) AS g_pos FROM contigs WHERE length > 0"
     return {
         "contigs": _sql("contigs"),
@@ -177,10 +198,16 @@ def oracle_sql() -> dict[str, str]:
         "windows": _sql("wins"),
         "verified": _sql("found"),
         "hamming": _sql("placed", 'read_id, strand, contig_id, "end", CAST(ham AS BIGINT) AS ham'),
-        "exact_hits": _sql("found", 'read_id, strand, contig_id, "end" - 90 AS pos', "WHERE nm = 0"),
+        "exact_hits": _sql("pairs", 'read_id, strand, contig_id, "end" - length(seq) AS pos', "WHERE nm = 0"),
         "locate": _sql("contigs").removesuffix(" SELECT * FROM contigs ") + f" SELECT p.g_pos, c.contig_id, p.g_pos - c.g_start AS pos FROM ({points}) p JOIN contigs c ON p.g_pos >= c.g_start AND p.g_pos < c.g_start + c.length",
         "unmapped": _sql("found").removesuffix(" SELECT * FROM found ") + " SELECT read_id, name, seq FROM reads WHERE read_id NOT IN (SELECT read_id FROM found)",
         "primary": _sql("found", 'read_id, contig_id, "end", CAST(CASE strand WHEN 1 THEN 16 ELSE 0 END + CASE WHEN row_number() OVER (PARTITION BY read_id, strand ORDER BY nm, contig_id, "end") = 1 THEN 0 ELSE 256 END AS BIGINT) AS flag'),
         "sam_header": _sql("contigs").removesuffix(" SELECT * FROM contigs ") + " SELECT CAST(-1 AS BIGINT) AS n, '@HD' || chr(9) || 'VN:1.4' || chr(9) || 'SO:unsorted' AS value UNION ALL SELECT contig_id, '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || CAST(length AS VARCHAR) FROM contigs UNION ALL SELECT 9223372036854775807, '@PG' || chr(9) || 'ID:strandwork' || chr(9) || 'PN:strandwork'",
+        "cigar": _sql("cigars", 'read_id, strand, contig_id, pos, "end", nm, cigar'),
+        "sam_records": _sql("sam_lines"),
+        "unpacked_words": _sql("seqs").removesuffix(" SELECT * FROM seqs ") + " SELECT contig_id, w, substr(seq, w * 32 + 1, 32) AS bases FROM (SELECT contig_id, seq, CAST(unnest(range(0, (length(seq) + 31) // 32)) AS BIGINT) AS w FROM seqs)",
+        "genome_length": _sql("contigs", "count(*) AS contigs, CAST(sum(length) AS BIGINT) AS bases"),
+        "seed_histogram_short": _sql("counts", seed=SHORT_SEED),
+        "candidates_short": _sql("cands", seed=SHORT_SEED),
         "mapping_summary": _sql("found", "strand, nm, count(*) AS hits, count(DISTINCT read_id) AS reads", "GROUP BY strand, nm"),
     }

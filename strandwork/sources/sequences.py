@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "name string, comment string, seq string, qual string"
+SCHEMA = "name string, comment string, seq string, qual string, file string"
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -46,29 +46,86 @@ def records(lines: Iterable[str]) -> Iterator[tuple[str, str, str, str | None]]:
                 continue
             if head:
                 yield *head, "".join(seq), None
-            name, _, comment = line[1:].partition(" ") if " " in line else line[1:].partition("\t")
-            head, seq = (name, comment), []
+            words = line[1:].split(None, 1)  # the name ends at any white space
+            head, seq = (words[0] if words else "", words[1] if len(words) > 1 else ""), []
         elif head:
             seq.append(line.strip())
     if head:
         yield *head, "".join(seq), None
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+class _Split(InputPartition):
+    """Bytes from ``start`` to ``stop`` of a file (None: all of it)."""
+
+    def __init__(self, path: str, start: int = 0, stop: int | None = None) -> None:
+        self.path, self.start, self.stop = path, start, stop
+
+
+def split_records(lines: Iterable[bytes], start: int, stop: int) -> Iterator[tuple[str, str, str, str | None]]:
+    """Four-line FASTQ records that begin from ``start`` to before ``stop``; ``lines`` begin one byte before ``start``, or at 0.
+
+    What stands before the first record's head is passed over: a line with @ whose next line but one begins with + and that is followed by as
+    many qualities as bases.
+    """
+    held: list[bytes] = []
+    at, in_step = max(0, start - 1), not start
+    lines = iter(lines)
+    if start:
+        at += len(next(lines, b"")) + 1  # the rest of the line that holds the byte before
+    while True:
+        while len(held) < 4 and (line := next(lines, None)) is not None:
+            held.append(line)
+        if len(held) < 4 or at >= stop:
+            if in_step and at < stop and any(x.strip() for x in held):
+                raise ValueError(f"a record of {len(held)} lines at byte {at}")
+            return
+        head, bases, plus, quality = (x.rstrip(b"\r").decode() for x in held)
+        if head[:1] == "@" and plus[:1] == "+" and len(bases) == len(quality):
+            words = head[1:].split(None, 1)
+            yield words[0] if words else "", words[1] if len(words) > 1 else "", bases, quality
+            done, in_step = 4, True
+        elif not in_step:
+            done = 1
+        else:
+            raise ValueError(f"no four-line record at byte {at}")
+        at += sum(len(x) + 1 for x in held[:done])
+        held = held[done:]
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from pyarrow import fs
+class _Reader(DataSourceReader):
+    def __init__(self, paths: list[str], split_bytes: int) -> None:
+        self.paths, self.split_bytes = paths, split_bytes
 
-        path = partition.value
-        system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    def partitions(self) -> list[InputPartition]:
+        """One for each file, or for each so many bytes of a plain FASTQ file of four-line records (option ``splitBytes``)."""
+        out = []
+        for path in self.paths:
+            if not self.split_bytes or path.endswith(".gz"):
+                out.append(_Split(path))
+                continue
+            system, inner = _store(path)
+            size = system.get_file_info(inner).size
+            out += [_Split(path, a, min(a + self.split_bytes, size)) for a in range(0, size, self.split_bytes)]
+        return out
+
+    def read(self, partition: _Split) -> Iterator[tuple]:
+        system, inner = _store(partition.path)
+        if partition.stop is not None:
+            with system.open_input_file(inner) as raw:
+                raw.seek(max(0, partition.start - 1))
+                for record in split_records(_lines(raw), partition.start, partition.stop):
+                    yield *record, partition.path
+            return
         with system.open_input_stream(inner, compression=None) as raw:
-            text = gzip.open(raw, "rt") if path.endswith(".gz") else (line.decode() for line in _lines(raw))
-            yield from records(text)
+            text = gzip.open(raw, "rt") if partition.path.endswith(".gz") else (line.decode() for line in _lines(raw))
+            for record in records(text):
+                yield *record, partition.path
 
 
 def _lines(raw) -> Iterator[bytes]:
@@ -91,10 +148,18 @@ class SequenceSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader([p for p in self.options.get("paths", self.options.get("path", "")).split(",") if p])
+        return _Reader([p for p in self.options.get("paths", self.options.get("path", "")).split(",") if p], int(self.options.get("splitBytes", "0")))
+
 
+def read_sequences(spark: SparkSession, paths: list[str], split_bytes: int = 0) -> DataFrame:
+    """FASTA or FASTQ files, plain or gzip, told apart record by record, with the file of each record.
 
-def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """FASTA or FASTQ files, plain or gzip, told apart record by record."""
+    ``split_bytes``: plain FASTQ files of four-line records are read in parts of so many bytes.
+    """
     spark.dataSource.register(SequenceSource)
-    return spark.read.format("sequences").option("paths", ",".join(paths)).load()
+    return spark.read.format("sequences").option("paths", ",".join(paths)).option("splitBytes", str(split_bytes)).load()
+
+
+def read_list(spark: SparkSession, path: str, split_bytes: int = 0) -> DataFrame:
+    """``read_sequences`` of the files that a text file lists, one a line."""
+    return read_sequences(spark, [r[0].strip() for r in spark.read.text(path).collect() if r[0].strip()], split_bytes)

@@ -1,8 +1,10 @@
 """The mapping engine: planted reads are found, kernels agree with brute force, CIGARs replay."""
 
+import gzip
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,11 +140,87 @@ def test_sources(spark, tmp_path):
     assert got == {"x": ("first one", "acgTTN"), "y": ("", "AC"), "empty": ("", "")}
     (tmp_path / "b.fq").write_text("@r1 c\nACGT\n+\n@III\n@r2\nAC\nGT\n+\nII\nII\n")
     got = [tuple(r) for r in sequences.read_sequences(spark, [str(tmp_path / "b.fq")]).collect()]
-    assert got == [("r1", "c", "ACGT", "@III"), ("r2", "", "ACGT", "IIII")]
+    assert [g[:4] for g in got] == [("r1", "c", "ACGT", "@III"), ("r2", "", "ACGT", "IIII")] and {g[4] for g in got} == {str(tmp_path / "b.fq")}
+    with gzip.open(tmp_path / "c.fq.gz", "wt") as f:
+        f.write("@r3\tfoo bar\nAC\n+\nII\n")
+    (tmp_path / "list").write_text(f"{tmp_path}/b.fq\n{tmp_path}/c.fq.gz\n")
+    got = {r.name: (r.comment, r.seq, r.file) for r in sequences.read_list(spark, str(tmp_path / "list")).collect()}
+    assert got["r3"] == ("foo bar", "AC", f"{tmp_path}/c.fq.gz") and set(got) == {"r1", "r2", "r3"}
     with pytest.raises(ValueError, match="qualities"):
         list(sequences.records(["@r", "ACGT", "+", "II"]))
 
 
+def test_fastq_splits_give_each_record_once(spark, tmp_path):
+    rows = [(f"r{i}", "x y" if i % 3 else "", "".join(rng.choice("ACGT") for _ in range(1 + i % 40)), None) for i in range(200)]
+    rows = [(n, c, q, "".join(rng.choice("@+I#") for _ in q)) for n, c, q, _ in rows]
+    text = "".join(f"@{n} {c}\n{q}\n+\n{p}\n" for n, c, q, p in rows)
+    (tmp_path / "s.fq").write_text(text)
+    for size in (1 << 20, 997, 100, 37):
+        got = [tuple(r)[:4] for r in sequences.read_sequences(spark, [str(tmp_path / "s.fq")], split_bytes=size).collect()]
+        assert sorted(got) == sorted(rows)
+
+
+def test_sam_by_file(spark, index, reads, tmp_path):
+    records = mapping.sam(index, reads)
+    files = reads.select(F.col("name").alias("qname"), F.when(F.col("read_id") % 2 == 0, "/in/a.fq").otherwise("/in/b.fq").alias("file"))
+    report.write_sam_by_file(records, files, index["contigs"], str(tmp_path / "out"))
+    names = {f: {r.value.split("\t")[0] for r in spark.read.text(str(tmp_path / f"out/records/file={f}")).collect()} for f in ("a.fq", "b.fq")}
+    assert names["a.fq"] and names["b.fq"] and not names["a.fq"] & names["b.fq"]
+
+
+def test_other_seed_lengths(spark, genome, reads, tmp_path):
+    index = mapping.build_index(spark, genome, str(tmp_path / "i"), seed=10)
+    with pytest.raises(ValueError, match="seeds of 10"):
+        ix.read_index(spark, str(tmp_path / "i"))
+    found = {(r.read_id, r.contig_id, r.strand) for r in mapping.map_reads(index, reads, 4, seed=10).collect()}
+    assert found >= {(k, contig, strand) for k, contig, _, _, strand in PLANTED}
+    for bad in ({"step": 3}, {"step": 8}, {"seed": 0}, {"seed": 40}):
+        with pytest.raises(ValueError):
+            ix.seed_positions(index["tiles"], **bad)
+
+
+def test_words_come_back_as_bases_and_sparse_ids_have_prefixes(spark, genome, index):
+    got = {(r.contig_id, r.w): r.bases for r in ix.unpacked(ix.base_words(ix.tiles(genome)), index["contigs"]).collect()}
+    assert got == {(c, w): s[32 * w : 32 * w + 32] for c, s in enumerate(GENOME) for w in range((len(s) + 31) // 32)}
+    ids = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(700)]
+    sparse = spark.createDataFrame([(i, "n", "A" * (k % 7)) for k, i in enumerate(ids)], "contig_id long, name string, seq string")
+    at = 0
+    for r in sorted(ix.contigs(sparse).collect()):
+        assert r.g_start == at
+        at += r.length
+
+
+def test_windows_of_one_end_give_one_row_and_traces_equal_a_plain_table(spark):
+    def plain(read, win, to, e):
+        d = [[0 if j <= 2 * e else 99 for j in range(to + 1)]]
+        for i, b in enumerate(read, 1):
+            d.append([])
+            for j in range(to + 1):
+                d[i].append(min([d[i - 1][j] + 1] + ([d[i - 1][j - 1] + (win[j - 1] != b), d[i][j - 1] + 1] if j else [])))
+        i, j, ops = len(read), to, ""
+        while i:
+            if j and d[i - 1][j - 1] + (win[j - 1] != read[i - 1]) == d[i][j]:
+                i, j, ops = i - 1, j - 1, "M" + ops
+            elif d[i - 1][j] + 1 == d[i][j]:
+                i, ops = i - 1, "I" + ops
+            else:
+                j, ops = j - 1, "D" + ops
+        return "".join(f"{len(m.group())}{m.group()[0]}" for m in re.finditer("M+|I+|D+", ops)), j
+
+    e, pairs = 3, []
+    while len(pairs) < 200:
+        read = "".join(rng.choice("AC" if len(pairs) % 2 else "ACGT") for _ in range(30))
+        win = ("".join(rng.choice("ACGT") for _ in range(rng.randrange(5))) + mutated(read, rng.randrange(4)) + "ACGTAC")[: 30 + 2 * e]
+        nm, to = verify._distances([read], [win], e)
+        if nm[0] <= e:
+            pairs.append((read, win, int(to[0])))
+    cigars, starts = verify.traced([p[0] for p in pairs], [p[1] for p in pairs], np.array([p[2] for p in pairs]), e)
+    assert list(zip(cigars, starts.tolist())) == [plain(*p, e) for p in pairs]
+    rows = [(1, 0, 0, "ACGT", lo, "ACGTACGT", 1, 9 - lo) for lo in (5, 3, 4)]
+    got = verify.hits(spark.createDataFrame(rows, "read_id long, strand int, contig_id long, seq string, lo long, win string, nm int, to int").repartition(3)).collect()
+    assert [(r.lo, r.to, r.end) for r in got] == [(3, 6, 9)]
+
+
 def test_stream(spark, index, reads, tmp_path):
     reads.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(reads.schema).parquet(str(tmp_path / "in"))
