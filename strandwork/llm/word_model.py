@@ -38,7 +38,7 @@ from .scratch import release, settle, shuffle_partitions, small_batches
 END, SMOOTH = "\n", 0.1  # no word holds a line break
 #: Words, and bytes of them all and of the longest, of the table that goes to all tasks.
 FREQUENT, FREQUENT_BYTES, LONGEST = 262_144, 4 << 20, 128
-SYMBOLS, CLASSES, HIDDEN, WINDOW, LANES = 2048, 64, 16, 32, 1024
+SYMBOLS, CLASSES, HIDDEN, WINDOW, LANES = 1024, 32, 16, 32, 1024
 ROUNDS, RATE = 4, 0.01
 #: Symbols that a task gathers before it trains on them, and steps of training that so many are to give at least.
 GATHERED, STEPS = 1 << 20, 128
@@ -67,11 +67,21 @@ class WordModel:
         for t in range(time):
             going = (before[t] != _END).astype(np.float32)
             was = state * going
-            a, r = x[:, before[t]], u @ was
-            gates = 1 / (1 + np.exp(-(a[: 2 * h] + r[: 2 * h])))
+            a, r = np.take(x, before[t], axis=1, mode="clip"), u @ was
+            gates = a[: 2 * h]  # a sigmoid is half a tanh of half, and a half
+            gates += r[: 2 * h]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
             z, q = gates[:h], gates[h:]
-            n = np.tanh(a[2 * h :] + q * r[2 * h :])
-            state = out[t, :h] = n + z * (was - n)
+            n = a[2 * h :]
+            n += q * r[2 * h :]
+            np.tanh(n, out=n)
+            state = out[t, :h]
+            np.subtract(was, n, out=state)
+            state *= z
+            state += n
             if keep is not None:
                 keep.append((before[t], going, was, z, q, r[2 * h :], n))
         return out
@@ -80,17 +90,20 @@ class WordModel:
         """log10 probability of each target (time, lanes)."""
         flat, target_ = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(states.shape[1], -1), target.ravel()
         of, within = np.divmod(target_, self.size)
-        score = self.w["c"] @ flat
-        top = score.max(axis=0)
-        out = score[of, np.arange(len(of))] - top - np.log(np.exp(score - top).sum(axis=0))
-        order = np.argsort(of, kind="stable")
-        bounds = np.searchsorted(of[order], np.arange(len(self.w["c"]) + 1))
-        for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:])):
-            if z > a:
-                own = order[a:z]
-                score = self.w["w"][k] @ flat[:, own]
-                top = score.max(axis=0)
-                out[own] += score[within[own], np.arange(z - a)] - top - np.log(np.exp(score - top).sum(axis=0))
+
+        def log_softmax(score: np.ndarray, right: np.ndarray) -> np.ndarray:
+            own = score[right, np.arange(len(right))]
+            top = score.max(axis=0)
+            score -= top
+            np.exp(score, out=score)
+            return own - top - np.log(score.sum(axis=0))
+
+        out = log_softmax(self.w["c"] @ flat, of)
+        order = np.argsort(of.astype(np.int16), kind="stable")
+        by_class, within = np.take(flat, order, axis=1), within[order]
+        bounds = np.searchsorted(of[order], np.arange(len(self.w["c"]) + 1)).tolist()
+        inner = np.concatenate([log_softmax(w @ by_class[:, a:z], within[a:z]) for w, a, z in zip(self.w["w"], bounds[:-1], bounds[1:])])
+        out[order] += inner
         return (out * np.float32(1 / np.log(10))).reshape(target.shape)
 
     def gradients(self, before: np.ndarray, target: np.ndarray, state: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -103,18 +116,20 @@ class WordModel:
 
         def softmax(score: np.ndarray, right: np.ndarray) -> np.ndarray:
             nonlocal loss
-            p = np.exp(score - score.max(axis=0))
+            score -= score.max(axis=0)
+            p = np.exp(score, out=score)
             p /= p.sum(axis=0)
             own = np.arange(len(right))
             loss -= float(np.log(p[right, own] + 1e-12).sum()) / count
             p[right, own] -= 1
-            return p / count
+            p /= count
+            return p
 
         d = softmax(w["c"] @ flat, of)
         grad = {"c": d @ flat.T, "w": np.zeros_like(w["w"])}
         back = w["c"].T @ d
-        order = np.argsort(of, kind="stable")
-        by_class, within, inner = flat[:, order], within[order], np.empty_like(back)
+        order = np.argsort(of.astype(np.int16), kind="stable")
+        by_class, within, inner = np.take(flat, order, axis=1), within[order], np.empty_like(back)
         bounds = np.searchsorted(of[order], np.arange(len(w["c"]) + 1)).tolist()
         for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:])):
             if z > a:
@@ -136,10 +151,10 @@ class WordModel:
             later = (g * z + w["u"].T @ dr) * going
         # one sum for each symbol that occurs
         symbols = before.ravel()
-        order = np.argsort(symbols, kind="stable")
+        order = np.argsort(symbols.astype(np.int16), kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(symbols[order]) != 0))
         gx = np.zeros_like(w["x"])
-        gx[:, symbols[order[starts]]] = np.add.reduceat(deltas.transpose(1, 0, 2).reshape(3 * h, -1)[:, order], starts, axis=1)
+        gx[:, symbols[order[starts]]] = np.add.reduceat(np.take(deltas.transpose(1, 0, 2).reshape(3 * h, -1), order, axis=1), starts, axis=1)
         grad |= {"x": gx, "u": gu}
         return loss, grad, states[-1, :h]
 
