@@ -1,7 +1,7 @@
 """Substring dedup by hashing of lines and of passages between them.
 
 Units are normalised (words between white space, ASCII letters in lower case; in scripts without spaces each character is a word),
-known by a 128-bit polynomial of their words' hashes, and grouped globally; the occurrence of lowest rank (id, then place) stays. Two kinds of units are hashed:
+known by a 96-bit polynomial of their words' hashes, and grouped globally; the occurrence of lowest rank (id, then place) stays. Two kinds of units are hashed:
 
 * each line that has a word; every later occurrence is removed, however short the line (``min_line`` asks for more words);
 * for passages that stand within longer lines or go over line breaks, ``GRAM`` words in a row at chosen places: the place of the
@@ -50,7 +50,8 @@ _HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _LINE = np.uint64(0x5851F42D4C957F2D)  # tells lines from passages
-UNITS = "row long, doc_id long, word int, words int, start int, end int, from_word int, from_start int, line boolean, high long, low long, gap long"
+#: A unit in few bytes: two numbers of 32 bits in each of place (word, from_word), chars (start, from_start), size (end, words and line) and tail (low digest, gap).
+UNITS = "row long, doc_id long, place long, chars long, size long, high long, tail long"
 
 
 class _Words(dict):
@@ -164,11 +165,12 @@ def units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                     z += 1
                 many, found = cutter.cut(texts[a:z])
                 ids, of, zero = batch.column(0).slice(a, z - a), found.pop("text"), np.zeros(z - a, np.int32)
-                for own, where, x in ((ids, np.arange(z - a), {"words": many} | dict.fromkeys(("word", "start", "end", "from_word", "from_start"), zero)), (ids.take(pa.array(of)), of, found)):
-                    ints = {k: pa.array(x[k].astype(np.int32)) for k in ("word", "words", "start", "end", "from_word", "from_start")}
-                    digests = {k: pa.array(x[k].view(np.int64)) if k in x else pa.nulls(len(where), pa.int64()) for k in ("high", "low", "gap")}
-                    all_ = {"row": pa.array(where + row), "doc_id": own, "line": pa.array(x["line"]) if "line" in x else pa.nulls(len(where), pa.bool_())} | ints | digests
-                    yield pa.RecordBatch.from_arrays([all_[k] for k in names], names=names)
+                two = lambda high, low: pa.array(high.astype(np.int64) << 32 | low.astype(np.int64))
+                none = pa.nulls(z - a, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(z - a) + row), ids, two(zero, zero), two(zero, zero), two(zero, many << 1), none, none], names=names)
+                tail = found["low"] >> np.uint64(32) << np.uint64(32) | found["gap"] & np.uint64(0xFFFFFFFF)
+                packed = [two(found["word"], found["from_word"]), two(found["start"], found["from_start"]), two(found["end"], found["words"] << 1 | found["line"]), pa.array(found["high"].view(np.int64)), pa.array(tail.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(of + row), ids.take(pa.array(of)), *packed], names=names)
                 row += z - a
                 a = z
         release()
@@ -187,13 +189,20 @@ def _runs(intervals: DataFrame) -> DataFrame:
 
 def _repeats(docs: DataFrame, min_run: int, min_line: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents by row: row, doc_id, n_words; later lines; removed runs of passages; all removed spans), the last three as (row, a, z, start, end)."""
+    high_half, low_half = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     found = settle(units(docs, id_col=id_col, text_col=text_col), "units")
+    rows = settle(found.where(F.col("high").isNull()).select("row", "doc_id", (low_half("size") / 2).cast("int").alias("n_words")), "documents")
     some = found.where(F.col("high").isNotNull())
-    often = some.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
+    often = some.groupBy("high").agg(F.count("*").alias("n")).where("n > 1").select("high")
     # Written, so that the next join deals both sides anew and adaptive execution may split a unit that is everywhere.
-    shared = settle(some.join(often, ["high", "low"], "left_semi"), "shared-units")
+    packed = settle(some.join(often, "high", "left_semi"), "shared-units")
+    discard(found)
+    shared = packed.select(
+        "row", "doc_id", "high", high_half("tail").alias("low"), F.col("tail").bitwiseAND(F.lit((1 << 32) - 1)).alias("gap"), high_half("place").alias("word"), low_half("place").alias("from_word"), high_half("chars").alias("start"),
+        low_half("chars").alias("from_start"), high_half("size").alias("end"), (low_half("size") / 2).cast("int").alias("words"), (low_half("size") % 2 == 1).alias("line"),
+    )
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "word", F.col("gap").alias("gap"))
-    kept = settle(shared.groupBy("high", "low").agg(F.min(rank).alias("kept")), "kept-units")
+    kept = settle(shared.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).where("n > 1").drop("n"), "kept-units")
     apart = (F.col("row") != F.col("kept.row")) | (F.col("word") >= F.col("kept.word") + F.col("words"))
     more = F.col("gap") == F.col("kept.gap")
     later = shared.join(kept, ["high", "low"]).where(apart).select(
@@ -201,11 +210,11 @@ def _repeats(docs: DataFrame, min_run: int, min_line: int, id_col: str, text_col
         F.when(more, F.col("from_start")).otherwise(F.col("start")).alias("start"), "end",
     )
     later = settle(later, "later-units")
-    discard(shared, kept)
+    discard(packed, kept)
     lines = later.where(F.col("line") & (F.col("z") - F.col("a") >= min_line)).drop("line")
     passages = _runs(later.where(~F.col("line")).drop("line")).where(F.col("z") - F.col("a") >= min_run)
     columns = ["row", "a", "z", "start", "end"]
-    return found.where(F.col("high").isNull()).select("row", "doc_id", F.col("words").alias("n_words")), lines, passages, _runs(lines.select(columns).union(passages.select(columns)))
+    return rows, lines, passages, _runs(lines.select(columns).union(passages.select(columns)))
 
 
 def repeated_spans(docs: DataFrame, *, min_run: int = MIN_RUN, min_line: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
