@@ -193,10 +193,10 @@ def _repeats(docs: DataFrame, min_run: int, min_line: int, id_col: str, text_col
     found = settle(units(docs, id_col=id_col, text_col=text_col), "units")
     rows = settle(found.where(F.col("high").isNull()).select("row", "doc_id", (low_half("size") / 2).cast("int").alias("n_words")), "documents")
     some = found.where(F.col("high").isNotNull())
-    often = some.groupBy("high").agg(F.count("*").alias("n")).where("n > 1").select("high")
-    # Written, so that the next join deals both sides anew and adaptive execution may split a unit that is everywhere.
+    often = settle(some.groupBy("high").agg(F.count("*").alias("n")).where("n > 1").select("high"), "often")
+    # These are written, so that the next join deals both sides anew and adaptive execution may split a unit that is everywhere.
     packed = settle(some.join(often, "high", "left_semi"), "shared-units")
-    discard(found)
+    discard(found, often)
     shared = packed.select(
         "row", "doc_id", "high", high_half("tail").alias("low"), F.col("tail").bitwiseAND(F.lit((1 << 32) - 1)).alias("gap"), high_half("place").alias("word"), low_half("place").alias("from_word"), high_half("chars").alias("start"),
         low_half("chars").alias("from_start"), high_half("size").alias("end"), (low_half("size") / 2).cast("int").alias("words"), (low_half("size") % 2 == 1).alias("line"),
