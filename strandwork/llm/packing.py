@@ -67,7 +67,7 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         count += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = 1024, grain: int = 256, windows: int = 32, slack: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = 1024, grain: int = 256, windows: int = 24, slack: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     small_batches(docs.sparkSession)
     fill = capacity - slack
