@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, neighbours, packing, pieces, pii, repeats, scratch, simhash, token_files, word_model
+from . import exact_dedup, language, lexical, licenses, neighbours, packing, pieces, pii, repeats, scratch, simhash, source_tries, token_files, word_model
 
 #: The public vocabularies; the operators take any path.
 WORD_BPE, BYTE_BPE, PIECE_BPE = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -61,6 +61,18 @@ def op10_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_model.score_documents(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op12_source_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_tries.source_audit(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -69,9 +81,49 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOW} AS text FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sums AS (SELECT lang, source, coalesce(sum(c), 0)::BIGINT AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+whole AS (SELECT lang, term, sum(c)::BIGINT AS c FROM counts GROUP BY lang, term),
+wholes AS (SELECT lang, sum(c)::BIGINT AS n FROM whole GROUP BY lang),
+of_lang AS (SELECT lang, term, 1 + 1000000000 * (c + 5) // (n + 5 * v) AS p FROM whole JOIN wholes USING (lang) JOIN vocabulary USING (lang)),
+of_group AS (
+    SELECT lang, source, term, coalesce(c, 0) AS c, 1 + 1000000000 * (coalesce(c, 0) + 5) // (n + 5 * v) AS p
+    FROM sums JOIN vocabulary USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM of_group a JOIN of_group b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT g.lang, g.source, 'term' AS part, term AS item, g.p - l.p AS value FROM of_group g JOIN of_lang l USING (lang, term) WHERE g.c > 0 AND g.p > l.p),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+OP13_SQL = rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+sizes AS (SELECT doc_id, r, len(words) AS n FROM docs WHERE len(words) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM sizes),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+counts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM docs) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals),
+scores AS (
+    SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words))))::BIGINT AS score
+    FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (r), totals GROUP BY item_id, r, doc_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_pii, op4_packing, op5_language, op6_sentencepiece, op7_exact_dedup, op8_neighbours, op9_repeats, op10_word_model)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_files, op3_pii, op4_packing, op5_language, op6_sentencepiece, op7_exact_dedup, op8_neighbours, op9_repeats, op10_word_model, op11_licenses, op12_source_tries, op13_lexical)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op12_source_tries": OP12_SQL, "op13_lexical": OP13_SQL}
