@@ -16,11 +16,13 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,119 +33,136 @@ from .terms import LETTERS, bytes_of, words_of
 
 #: Documents of a language that a kept term is in at least, and the ranks of terms that are shown.
 LEAST_DOCS, MOST_TERMS = 30, 50
-#: Bytes that a trie takes by estimate before it is emptied, words that are counted before they go to the tries, and terms of a slice.
-TRIE_BYTES, BUFFERED_WORDS, SLICE = 64 << 20, 4_000_000, 2048
+#: Bytes that a task's tries take by estimate before they are emptied, and terms of a slice.
+TRIE_BYTES, SLICE = 192 << 20, 2048
 SCALE, SMOOTH = 1_000_000_000, 5
 
 LEAVES = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 _LEAVES = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 _KEPT = pa.schema([*_LEAVES, ("slice", pa.int64())])
 _FOUND = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.binary()), ("value", pa.int64())])
+#: Bits of a source's number beside a leaf's in one key.
+_SOURCE_BITS = 20
 
 
 class Node:
-    """An edge's bytes, the nodes below by their first byte, and, where a key ends, its documents and counts by source."""
+    """An edge's bytes, the nodes below by their first byte, and the number of the key that ends here, or -1."""
 
-    __slots__ = ("counts", "docs", "edge", "kids")
+    __slots__ = ("edge", "kids", "number")
 
-    def __init__(self, edge: bytes) -> None:
-        self.edge, self.kids, self.docs, self.counts = edge, {}, 0, None
+    def __init__(self, edge: bytes, number: int = -1) -> None:
+        self.edge, self.kids, self.number = edge, {}, number
 
 
-class RadixTrie:
+class RadixTrie(dict):
+    """A byte trie that numbers its keys as they come; as a dictionary it remembers the numbers of keys that were asked for.
+
+    What is counted at the leaves is kept by their numbers in ``LeafCounts``.
+    """
+
     def __init__(self) -> None:
-        self.root, self.bytes = Node(b""), 0
+        super().__init__()
+        self.root, self.many, self.bytes = Node(b""), 0, 0
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = self.leaf(key)
+        return number
 
-    def leaf(self, key: bytes) -> Node:
-        """The node where ``key`` ends, made if there is none."""
+    def leaf(self, key: bytes) -> int:
+        """The number of ``key``, which is added if it is new."""
         node, at = self.root, 0
         while at < len(key):
             kid = node.kids.get(key[at])
             if kid is None:
-                kid = node.kids[key[at]] = Node(key[at:])
-                node, at = kid, len(key)
-            elif key.startswith(kid.edge, at):
-                node, at = kid, at + len(kid.edge)
+                node.kids[key[at]] = node = Node(key[at:])
+                break
+            edge = kid.edge
+            if key.startswith(edge, at):
+                node, at = kid, at + len(edge)
             else:
-                same, edge = 1, kid.edge
+                same = 1
                 while same < len(edge) and at + same < len(key) and edge[same] == key[at + same]:
                     same += 1
                 fork = node.kids[key[at]] = Node(edge[:same])
                 fork.kids[edge[same]] = kid
                 kid.edge = edge[same:]
                 node, at = fork, at + same
-        if node.counts is None:
-            node.counts = {}
-            self.bytes += len(key) + 500
-        return node
-
-    def add(self, key: bytes, docs: int, counts: dict[str, int]) -> None:
-        leaf = self.leaf(key)
-        leaf.docs += docs
-        for source, n in counts.items():
-            if source not in leaf.counts:
-                self.bytes += 100
-            leaf.counts[source] = leaf.counts.get(source, 0) + n
-
-    def leaves(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-        """(key, documents, counts) in byte order."""
+        if node.number < 0:
+            node.number = self.many
+            self.many += 1
+            self.bytes += 2 * len(key) + 400
+        return node.number
+
+    def leaves(self) -> Iterator[tuple[bytes, int]]:
+        """(key, number) in byte order."""
         stack = [(self.root, b"")]
         while stack:
             node, key = stack.pop()
-            if node.counts is not None:
-                yield key, node.docs, node.counts
-            for first in sorted(node.kids, reverse=True):
-                stack.append((node.kids[first], key + node.kids[first].edge))
+            if node.number >= 0:
+                yield key, node.number
+            if len(node.kids) == 1:
+                (kid,) = node.kids.values()
+                stack.append((kid, key + kid.edge))
+            else:
+                for first in sorted(node.kids, reverse=True):
+                    kid = node.kids[first]
+                    stack.append((kid, key + kid.edge))
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, many: int = 4096, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    held, room = [], 0
-    for row in rows:
-        held.append(row)
-        room += len(row[1]) + 24 * len(row[3])
-        if len(held) == many or room > size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held, room = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in ascending order and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(values[order], starts) if len(keys) else values
 
 
-class Tally:
-    """Counts of a task: words gather in tables by language and source and go to the languages' tries from time to time."""
+class LeafCounts:
+    """A trie with the documents of each leaf and its occurrences by source."""
 
     def __init__(self) -> None:
-        self.tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.docs: dict[str, Counter] = defaultdict(Counter)
-        self.held = 0
-
-    def document(self, lang: str, source: str, text: bytes | None) -> None:
-        self.tries[lang].add(b"", 1, {source: 1})
-        seen: set[bytes] = set()
-        own = self.counts[lang, source]
-        for words in words_of(text, LETTERS):
-            own.update(words)
-            seen.update(words)
-            self.held += len(words)
-        self.docs[lang].update(seen)
+        self.trie, self.docs = RadixTrie(), np.zeros(1024, np.int64)
+        self.sources: dict[str, int] = {}
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def source(self, name: str) -> int:
+        return self.sources.setdefault(name, len(self.sources))
+
+    def add(self, leaves: np.ndarray, docs: np.ndarray, keyed: np.ndarray, counts: np.ndarray) -> None:
+        """Documents by leaf, and occurrences by leaf and source (``keyed``: the leaf's number above the source's)."""
+        if len(leaves):
+            if leaves.max() >= len(self.docs):
+                self.docs = np.r_[self.docs, np.zeros(max(len(self.docs), int(leaves.max())), np.int64)]
+            np.add.at(self.docs, leaves, docs)
+        self.fresh.append((keyed, counts))
+        self.waiting += len(keyed)
+        if self.waiting > max(1 << 18, len(self.keys)):
+            self.gather()
 
     def gather(self) -> None:
-        for lang, docs in self.docs.items():
-            for term, n in docs.items():
-                self.tries[lang].add(term, n, {})
-        for (lang, source), counts in self.counts.items():
-            for term, n in counts.items():
-                self.tries[lang].add(term, 0, {source: n})
-        self.counts.clear()
-        self.docs.clear()
-        self.held = 0
-
-    def emptied(self) -> Iterator[tuple]:
+        self.keys, self.counts = _summed(*(np.concatenate(x) for x in zip((self.keys, self.counts), *self.fresh)))
+        self.fresh, self.waiting = [], 0
+
+    def bytes(self) -> int:
+        return self.trie.bytes + 16 * (len(self.keys) + self.waiting)
+
+    def emptied(self, lang: str, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+        """The leaves in byte order, as ``LEAVES`` rows."""
         self.gather()
-        for lang, trie in self.tries.items():
-            for term, docs, counts in trie.leaves():
-                yield lang, term, docs, list(counts), list(counts.values())
-        self.tries.clear()
+        names = pa.array(list(self.sources), pa.string())
+        ends = np.searchsorted(self.keys, np.arange(self.trie.many + 1) << _SOURCE_BITS)
+        walk = self.trie.leaves()
+        while some := list(itertools.islice(walk, rows)):
+            number = np.array([n for _, n in some])
+            sizes = ends[number + 1] - ends[number]
+            offsets = np.r_[0, np.cumsum(sizes)]
+            at = np.repeat(ends[number] - offsets[:-1], sizes) + np.arange(offsets[-1])
+            starts = pa.array(offsets, pa.int32())
+            sources = names.take(pa.array(self.keys[at] & ((1 << _SOURCE_BITS) - 1)))
+            columns = [pa.array([lang] * len(some), pa.string()), pa.array([k for k, _ in some], pa.binary()), pa.array(self.docs[number]), pa.ListArray.from_arrays(starts, sources), pa.ListArray.from_arrays(starts, pa.array(self.counts[at]))]
+            yield pa.RecordBatch.from_arrays(columns, schema=_LEAVES)
 
 
 def counted(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -152,45 +171,93 @@ def counted(docs: DataFrame, lang_col: str = "lang", source_col: str = "source",
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        held: dict[str, LeafCounts] = defaultdict(LeafCounts)
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            while held:
+                lang, own = held.popitem()
+                yield from own.emptied(lang)
+
         for batch in batches:
+            rows: dict[str, list] = defaultdict(lambda: [[], [], []])
             for lang, source, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2))):
-                tally.document(lang, source, body)
-                if tally.held > BUFFERED_WORDS:
-                    tally.gather()
-                    if sum(t.bytes for t in tally.tries.values()) > TRIE_BYTES:
-                        yield from _batches(tally.emptied(), _LEAVES)
-        yield from _batches(tally.emptied(), _LEAVES)
+                own, (leaves, sizes, sources) = held[lang], rows[lang]
+                trie, before = own.trie, len(leaves)
+                leaves.append(trie[b""])
+                for words in words_of(body, LETTERS):
+                    leaves += [trie[w] for w in words]
+                sizes.append(len(leaves) - before)
+                sources.append(own.source(source))
+            for lang, (leaves, sizes, sources) in rows.items():
+                leaf = np.array(leaves, np.int64)
+                of_docs = np.unique(np.repeat(np.arange(len(sizes), dtype=np.int64) << 32, sizes) | leaf) & 0xFFFFFFFF
+                keyed, counts = _summed(leaf << _SOURCE_BITS | np.repeat(np.array(sources, np.int64), sizes), np.ones(len(leaf), np.int64))
+                held[lang].add(of_docs, np.ones(len(of_docs), np.int64), keyed, counts)
+            if sum(own.bytes() for own in held.values()) > TRIE_BYTES or any(len(own.sources) > 1 << _SOURCE_BITS - 1 for own in held.values()):
+                yield from emptied()
+        yield from emptied()
         release()
 
     return docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), F.col(text_col).cast("binary").alias("text")).mapInArrow(count, LEAVES)
 
 
+def _runs(rows: pa.Table) -> np.ndarray:
+    """Where a new (lang, term) begins in sorted rows."""
+    if rows.num_rows < 2:
+        return np.zeros(rows.num_rows, np.int64)
+    same = [pc.equal(rows[c].slice(1), rows[c].slice(0, rows.num_rows - 1)).to_numpy() for c in ("lang", "term")]
+    return np.flatnonzero(np.r_[True, ~(same[0] & same[1])])
+
+
 def merged(leaves: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """``leaves (lang, term, docs, sources, counts)`` of any tries as those of one, without terms of fewer documents; with slice, a number of neighbouring terms."""
+    """``leaves (lang, term, docs, sources, counts)`` of any tries as those of one, without terms of fewer documents; with slice, a number of neighbouring terms.
+
+    Leaves come in byte order, so a term is whole when the next begins; what is too rare never enters the merged trie.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = iter(range(TaskContext.get().partitionId() << 32, 1 << 62))
-        trie, now, last = RadixTrie(), None, None
-
-        def emptied() -> Iterator[tuple]:
-            number, many = next(numbers), 0
-            for term, docs, counts in trie.leaves():
-                if term and docs < least:
-                    continue
-                if many == SLICE:
-                    number, many = next(numbers), 0
-                yield now, term, docs, list(counts), list(counts.values()), number
-                many += 1
+        own, now, rest = LeafCounts(), None, _LEAVES.empty_table()
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for part in own.emptied(now, SLICE):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, next(numbers)))], schema=_KEPT)
+
+        def enter(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal own, now
+            starts = _runs(rows)
+            docs = np.add.reduceat(rows["docs"].to_numpy(), starts)
+            root = pc.equal(pc.binary_length(rows["term"]), 0).to_numpy()[starts]
+            keep = np.flatnonzero((docs >= least) | root)
+            sizes = np.diff(np.r_[starts, rows.num_rows])[keep]
+            run = np.repeat(np.arange(len(keep)), sizes)
+            rows = rows.take(pa.array(np.repeat(starts[keep] - np.cumsum(np.r_[0, sizes[:-1]]), sizes) + np.arange(len(run)))).combine_chunks()
+            langs, terms = (rows[c].take(pa.array(np.cumsum(np.r_[0, sizes[:-1]]))).to_pylist() if len(keep) else [] for c in ("lang", "term"))
+            ends = np.r_[0, np.cumsum(sizes)]
+            for first, group in itertools.groupby(range(len(keep)), key=lambda i: langs[i]):
+                some = list(group)
+                if first != now or own.bytes() > TRIE_BYTES:
+                    yield from emptied()
+                    own, now = LeafCounts(), first
+                part = rows.slice(ends[some[0]], ends[some[-1] + 1] - ends[some[0]]).combine_chunks()
+                number = np.array([own.trie[terms[i]] for i in some])
+                lists, counts = (part[c].chunk(0) if part[c].num_chunks else pa.array([], part[c].type) for c in ("sources", "counts"))
+                coded = lists.flatten().dictionary_encode()
+                source = np.array([own.source(n) for n in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+                leaf = np.repeat(number[run[ends[some[0]] : ends[some[-1] + 1]] - some[0]], np.diff(lists.offsets.to_numpy()))
+                own.add(number, docs[keep[some]], *_summed(leaf << _SOURCE_BITS | source, counts.flatten().to_numpy()))
 
         for batch in batches:
-            for lang, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if lang != now or term != last and trie.bytes > TRIE_BYTES:
-                    yield from _batches(emptied(), _KEPT)
-                    trie, now = RadixTrie(), lang
-                trie.add(term, docs, dict(zip(sources, counts)))
-                last = term
-        yield from _batches(emptied(), _KEPT)
+            rows = pa.concat_tables([rest, pa.Table.from_batches([batch]).cast(_LEAVES)])
+            if not rows.num_rows:
+                continue
+            last = int(_runs(rows)[-1])
+            if last:
+                yield from enter(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest.num_rows:
+            yield from enter(rest)
+        yield from emptied()
         release()
 
     ranged = leaves.repartitionByRange(shuffle_partitions(leaves.sparkSession), "lang", "term").sortWithinPartitions("lang", "term")
