@@ -12,7 +12,7 @@ that very many rows share costs as much as any other. A leaf is ranked in blocks
 members, which are held while its queries stream past; only the best few of each block leave the task.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length from the
-commonest length take no part; null ids take no part; of repeated (id, vector) rows one counts; scores that agree in DIGITS decimals tie, and ties go to the smaller id;
+commonest length take no part; null ids take no part; of repeated (id, vector) rows one counts; neighbours stand by their exact scores in double precision, and ties go to the smaller id;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,8 +33,6 @@ from .scratch import settle, shuffle_partitions
 TREES, LEAF, SAMPLE, BLOCK = 12, 96, 32_768, 4096
 #: Vectors whose true neighbours are found by brute force, and the share of these that the search has to meet.
 PROBES, TARGET = 64, 0.95
-#: Decimals of a score that count for its rank; what agrees in them ties.
-DIGITS = 12
 #: Rows of results that a task gathers before it sifts them.
 GATHER = 400_000
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -89,13 +87,14 @@ def _array(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of rows; the same two vectors give the same value wherever they stand."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    """Cosines of rows, worked out in more than double precision and rounded once: vectors of one direction tie, and the same two give the same value wherever they stand."""
+    a, b = a.astype(np.longdouble), b.astype(np.longdouble)
+    return ((a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))).astype(np.float64)
 
 
 def _first(query: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query without repeats of (query, found): by score to DIGITS decimals, ties to the smaller id."""
-    order = np.lexsort((found, -np.round(score, DIGITS), query))
+    """The k best of each query without repeats of (query, found): by score, ties to the smaller id."""
+    order = np.lexsort((found, -score, query))
     query, found, score = query[order], found[order], score[order]
     fresh = np.append(True, (np.diff(query) != 0) | (np.diff(found) != 0))  # the same pair has the same score, so it is adjacent
     query, found, score = query[fresh], found[fresh], score[fresh]
@@ -252,9 +251,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, trees: int = TR
     asks = asks.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "vector")
     dealt = members.union(asks).repartition(shuffle_partitions(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "asks")
     scored = dealt.mapInArrow(_ranked(k + 1, dims), "query long, class long, score double").groupBy("query", "class").agg(F.max("score").alias("score"))
-    near = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", DIGITS)), "class"))).where(F.col("n") <= k + 1)
-    best = Window.partitionBy("query").orderBy(F.desc(F.round("score", DIGITS)), "vec_id")
+    near = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(F.col("n") <= k + 1)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     rows = near.join(few.select("class", "vec_id"), "class").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select(F.col("query").alias("id"), "vec_id", "score")
-    own = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", DIGITS)).alias("less"), "vec_id", "score"))).alias("near"))  # k + 1 each
+    own = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score"))).alias("near"))  # k + 1 each
     others = asked.join(own, "id").withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     return others.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

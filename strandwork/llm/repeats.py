@@ -1,14 +1,17 @@
 """Substring dedup by hashing of lines and of passages between them.
 
 Units are normalised (words between white space, ASCII letters in lower case; in scripts without spaces each character is a word),
-known by a 96-bit polynomial of their words' hashes, and grouped globally; the occurrence of lowest rank (id, then place) stays. Two kinds of units are hashed:
+known by three polynomials of their words' hashes modulo a prime, 93 bits in all, and grouped globally; the occurrence of lowest rank (id, then place) stays. Two kinds of units are hashed:
 
 * each line that has a word; every later occurrence is removed, however short the line (``min_line`` asks for more words);
 * for passages that stand within longer lines or go over line breaks, ``GRAM`` words in a row at chosen places: the place of the
   least hash in each ``WINDOW`` of such places. What is chosen depends on nothing but the words of the window, so a passage of
   ``GRAM + WINDOW - 1`` = 23 words has a chosen place in common with its copy for certain, and at most ``WINDOW`` - 1 = 15 words at each of its ends lie
   outside of the chosen ones. A unit also has a digest of the words since the chosen place before it; where that equals the kept occurrence's, these
-  are repeated too, so the whole between two common places is compared and not guessed.
+  are repeated too, so what lies between two common places is told by a digest of 31 bits of its own and isn't taken for granted.
+
+No texts are compared, so equal means equal digests. Moduli of a power of two would let sequences of a few words with regular patterns meet whatever the base; a
+prime modulus doesn't.
 
 Repeated passages that touch or overlap form a run; runs of ``min_run`` words or more are removed. A passage of over 50 words
 shows at least 51 - 2 x 15 = 21 of its words, hence the default. Offsets are those of the original text, in code points.
@@ -48,8 +51,10 @@ _WORD = re.compile(r"\S+")
 _TOKEN = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
 _HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BASE = 0x9E3779B97F4A7C15
-_LINE = np.uint64(0x5851F42D4C957F2D)  # tells lines from passages
+#: The modulus, and the bases of the polynomials: three for a unit and one for what lies before it.
+_PRIME = (1 << 31) - 1
+_BASES = (1_182_637_051, 1_743_219_667, 905_114_243, 1_516_330_009)
+_LINE = 1 << 62  # tells lines from passages
 #: A unit in few bytes: two numbers of 32 bits in each of place (word, from_word), chars (start, from_start), size (end, words and line) and tail (low digest, gap).
 UNITS = "row long, doc_id long, place long, chars long, size long, high long, tail long"
 
@@ -81,11 +86,32 @@ def _placed(text: str) -> tuple[list[str], np.ndarray]:
     return [m.group() for m in found], np.fromiter((m.start() for m in found), np.int64, len(found))
 
 
+def _powers(base: int, many: int) -> np.ndarray:
+    out = np.ones(1, np.int64)
+    while len(out) < many:
+        out = np.concatenate([out, out * pow(base, len(out), _PRIME) % _PRIME])
+    return out
+
+
 class UnitCutter:
-    """Cuts texts; remembers the hashes of words."""
+    """Cuts texts; remembers the hashes of words and the powers of the bases."""
 
     def __init__(self) -> None:
         self.known = _Words()
+        self.power = self.back = [np.ones(1, np.int64)] * len(_BASES)
+
+    def _sums(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each base the sums of word hash x power over the words before each place."""
+        n = len(codes)
+        if len(self.power[0]) <= n:
+            self.power = [_powers(b, n + 1) for b in _BASES]
+            self.back = [_powers(pow(b, -1, _PRIME), n + 1) for b in _BASES]
+        high, low = (np.array(h, np.uint64) for h in (self.known.high, self.known.low))
+        out = []
+        for k, power in enumerate(self.power):
+            words = ((high, low)[k // 2] >> np.uint64(32 * (k % 2)) & np.uint64(0xFFFFFFFF)).astype(np.int64) % (_PRIME - 1) + 1
+            out.append(np.concatenate([np.zeros(1, np.int64), np.cumsum(words[codes] * power[:n] % _PRIME)]))
+        return out
 
     def cut(self, texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The words of each text, and of each unit: text, word, words, start, end, from_word, from_start, line, high, low, gap."""
@@ -105,14 +131,10 @@ class UnitCutter:
         owner, start = np.repeat(np.arange(len(texts)), np.diff(first)), np.concatenate(starts)
         end = start + np.fromiter(map(len, words), np.int64, n)
         codes = np.fromiter(map(self.known.__getitem__, words), np.int64, n)
-        power = np.full(n + 1, _BASE, np.uint64)
-        back = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-        power[0] = back[0] = 1
-        power, back = np.cumprod(power), np.cumprod(back)
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(h, np.uint64)[codes] * power[:-1])]) for h in (self.known.high, self.known.low)]
+        sums = self._sums(codes)
 
         def digest(which: int, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-            return (sums[which][z] - sums[which][a]) * back[a]
+            return (sums[which][z] - sums[which][a]) % _PRIME * self.back[which][a] % _PRIME
 
         chosen = self._chosen(first, lambda a: digest(0, a, a + GRAM))
         before = np.append(-1, chosen[:-1]) if len(chosen) else chosen
@@ -125,7 +147,7 @@ class UnitCutter:
         of = owner[a] if n else np.zeros(0, np.int64)
         return np.diff(first), {
             "text": of, "word": a - first[of], "words": z - a, "start": start[a], "end": end[z - 1], "from_word": since - first[of], "from_start": start[since],
-            "line": line, "high": digest(0, a, z), "low": digest(1, a, z) ^ np.where(line, _LINE, np.uint64(0)), "gap": digest(1, since, a),
+            "line": line, "high": digest(0, a, z) << 31 | digest(1, a, z) | np.where(line, _LINE, 0), "low": digest(2, a, z), "gap": digest(3, since, a),
         }
 
     @staticmethod
@@ -138,7 +160,7 @@ class UnitCutter:
         owner = np.repeat(np.arange(len(grams)), grams)
         place = np.arange(base[-1]) - base[owner] + first[owner]
         order = digest(place)
-        order = (order ^ order >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)
+        order = order.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
         found = [base[i] + int(order[base[i] : base[i + 1]].argmin()) for i in np.flatnonzero((grams > 0) & (grams < WINDOW)).tolist()]
         if len(order) >= WINDOW:
             windows = np.lib.stride_tricks.sliding_window_view(order, WINDOW)
@@ -168,8 +190,7 @@ def units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 two = lambda high, low: pa.array(high.astype(np.int64) << 32 | low.astype(np.int64))
                 none = pa.nulls(z - a, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(z - a) + row), ids, two(zero, zero), two(zero, zero), two(zero, many << 1), none, none], names=names)
-                tail = found["low"] >> np.uint64(32) << np.uint64(32) | found["gap"] & np.uint64(0xFFFFFFFF)
-                packed = [two(found["word"], found["from_word"]), two(found["start"], found["from_start"]), two(found["end"], found["words"] << 1 | found["line"]), pa.array(found["high"].view(np.int64)), pa.array(tail.view(np.int64))]
+                packed = [two(found["word"], found["from_word"]), two(found["start"], found["from_start"]), two(found["end"], found["words"] << 1 | found["line"]), pa.array(found["high"]), two(found["low"], found["gap"])]
                 yield pa.RecordBatch.from_arrays([pa.array(of + row), ids.take(pa.array(of)), *packed], names=names)
                 row += z - a
                 a = z
