@@ -1,21 +1,65 @@
-"""The seed index: contigs, tiles, sampled seeds with their flanks, counts and offsets.
+"""The seed index: contigs, tiles, words of bits, and posting lists of sampled seeds with their flanks.
 
 Contigs may be as long as chromosomes, so none is ever shuffled whole: a linear pass cuts it into tiles
-that overlap their neighbours, and all later steps work on tiles.
+that overlap their neighbours (``sources.contigs`` reads tiles from byte ranges of files, without a row for a contig), and all later
+steps work on tiles.
+
+A posting list is a row for each seed and block of up to ``BLOCK`` places, in order of contig and position. Lists are kept in
+buckets of (seed, block), so that a join with probes moves no list and a hot seed's blocks lie in different buckets. A bucket is a file
+that is sorted and cut into small pages, and its number stands in each row, so that a scan for few seeds reads just the pages where they would be.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import uuid
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.dna import EDGE, MOST_SEED, SEED, STEP, genome, seed_code
+from ..functions.dna import EDGE, MOST_SEED, PLANE, SEED, STEP, flank_text, genome, interleaved, packed_flank, planes, some_bits
 
 TILE, OVERLAP = 1024, 512
 WORD = 32
-#: Bases of the parts of a tile in which seeds are cut, so that no cut walks a whole tile.
-PART = 64
+#: Places of a posting list's row, and rows of a page of its files.
+BLOCK, PAGE_ROWS = 256, 256
+#: Format of the folder that ``write_index`` makes.
+FORMAT = 2
+
+
+@dataclass(frozen=True)
+class Index(Mapping):
+    """The tables of an index by name (contigs, tiles, postings, seed_count, and seed_pos as a view of postings), its seed length, step and buckets."""
+
+    tables: dict[str, DataFrame]
+    seed: int
+    step: int
+    buckets: int | None = None
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return seed_positions_of(self.tables["postings"]) if name == "seed_pos" and name not in self.tables else self.tables[name]
+
+    def __iter__(self):
+        return iter({**self.tables, "seed_pos": None})
+
+    def __len__(self) -> int:
+        return len(self.tables | {"seed_pos": None})
+
+    def with_part(self, rows: DataFrame) -> DataFrame:
+        """``rows (seed, block)`` with part, the number of their bucket."""
+        return _with_part(rows, self.buckets) if self.buckets else rows.withColumn("part", F.lit(0))
+
+    def own_seed(self, seed: int | None) -> int:
+        """The index's seed length; refuses another one."""
+        if seed not in (None, self.seed):
+            raise ValueError(f"the index has seeds of {self.seed} bases, not {seed}")
+        return self.seed
 
 
 def contigs(sequences: DataFrame) -> DataFrame:
@@ -24,10 +68,10 @@ def contigs(sequences: DataFrame) -> DataFrame:
     The catalogue has a row per contig; g_start comes from subtotals of id ranges, so no task holds all of it.
     """
     lengths = sequences.select("contig_id", "name", F.length("seq").cast("long").alias("length"))
-    return _with_prefix(lengths, "contig_id", "length", "g_start")
+    return with_prefix(lengths, "contig_id", "length", "g_start")
 
 
-def _with_prefix(rows: DataFrame, key: str, value: str, out: str, ranges: int = 256) -> DataFrame:
+def with_prefix(rows: DataFrame, key: str, value: str, out: str, ranges: int = 256) -> DataFrame:
     """``rows`` with the sum of ``value`` over all smaller keys: within ranges of about equal counts of keys, plus the subtotals of earlier ranges."""
     cuts = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]  # a number per range
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or ()))]).cast("array<long>")
@@ -63,16 +107,75 @@ def _checked(seed: int, step: int) -> None:
         raise ValueError(f"the four windows of a long seed meet every sampled place for steps of 1, 2 or 4, not {step}")
 
 
-def seed_positions(tiled: DataFrame, step: int = STEP, seed: int = SEED) -> DataFrame:
-    """seed, contig_id, pos, left3, right3 of every ``step``-th window of ``seed`` bases that holds no N."""
+def seed_flanks(tiled: DataFrame, step: int = STEP, seed: int = SEED) -> DataFrame:
+    """seed, contig_id, pos, flank of every ``step``-th window of ``seed`` bases that holds no N.
+
+    A part of at most ``PLANE`` bases becomes three numbers once; the seeds and flanks of all its windows are shifts of these.
+    """
     _checked(seed, step)
+    many = (PLANE - seed - 6) // step + 1  # windows of a part
     text = F.concat(F.lpad("before", 3, EDGE), "body", F.left("after", F.lit(seed + 2)), F.lit(EDGE * 3))
     last = F.col("size") + F.length(F.left("after", F.lit(seed - 1))) - seed  # last place of a whole window
-    rows = tiled.withColumn("last", F.least(last, F.col("size") - 1)).where("last >= 0").select("contig_id", "start", "last", text.alias("text"), F.explode(F.sequence(F.lit(0), "last", F.lit(PART))).alias("from"))
-    parts = rows.select("contig_id", (F.col("start") + F.col("from")).alias("start"), F.least(F.col("last") - F.col("from"), F.lit(PART - 1)).alias("last"), F.substr("text", F.col("from") + 1, F.lit(PART + seed + 6)).alias("part"))
-    placed = parts.select("contig_id", "start", "part", F.explode(F.sequence(F.lit(0), "last", F.lit(step))).alias("at"))
-    cut = placed.select("contig_id", (F.col("start") + F.col("at")).alias("pos"), *[F.substr("part", F.col("at") + F.lit(a), F.lit(n)).alias(c) for c, a, n in (("left3", 1, 3), ("kmer", 4, seed), ("right3", 4 + seed, 3))])
-    return cut.where(F.instr("kmer", "N") == 0).select(seed_code(F.col("kmer")).alias("seed"), "contig_id", "pos", "left3", "right3")
+    rows = tiled.withColumn("last", F.least(last, F.col("size") - 1)).where("last >= 0").select("contig_id", "start", "last", text.alias("text"), F.explode(F.sequence(F.lit(0), "last", F.lit(many * step))).alias("from"))
+    low, high, other = planes(F.substr("text", F.col("from") + 1, F.lit((many - 1) * step + seed + 6)))
+    parts = rows.select("contig_id", (F.col("start") + F.col("from")).alias("start"), F.least(F.col("last") - F.col("from"), F.lit((many - 1) * step)).alias("last"), low.alias("low"), high.alias("high"), other.alias("other"))
+    placed = parts.select("contig_id", "start", "low", "high", "other", F.explode(F.sequence(F.lit(0), "last", F.lit(step))).alias("at"))
+    valid = placed.where(some_bits(F.col("other"), F.col("at") + 3, seed) == 0)
+    at = F.col("at")
+    six = [some_bits(F.col(c), at, 3).bitwiseOR(F.shiftleft(some_bits(F.col(c), at + 3 + seed, 3), 3)) for c in ("low", "high", "other")]
+    code = interleaved(some_bits(F.col("low"), at + 3, seed), some_bits(F.col("high"), at + 3, seed), seed)
+    return valid.select(code.alias("seed"), "contig_id", (F.col("start") + at).alias("pos"), packed_flank(*six).alias("flank"))
+
+
+def seed_positions(tiled: DataFrame, step: int = STEP, seed: int = SEED) -> DataFrame:
+    """``seed_flanks`` with the flanks as texts left3 and right3."""
+    return _as_texts(seed_flanks(tiled, step, seed))
+
+
+def _as_texts(rows: DataFrame) -> DataFrame:
+    return rows.select("seed", "contig_id", "pos", flank_text(F.col("flank"), 0, 3).alias("left3"), flank_text(F.col("flank"), 3, 3).alias("right3"))
+
+
+def postings(flanked: DataFrame, block: int = BLOCK) -> DataFrame:
+    """seed, part, own, contig_ids, places, flanks: up to ``block`` places of a seed in order, cut from sorted ranges of (seed, contig, position).
+
+    A hot seed may span any number of ranges (``part``) and is never whole in one task; ``own`` numbers its blocks within a range.
+    """
+    values = [("contig_ids", pa.int64()), ("places", pa.int64()), ("flanks", pa.int32())]
+    schema = pa.schema([("seed", pa.int64()), ("part", pa.int32()), ("own", pa.int32()), *[(n, pa.list_(t)) for n, t in values]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, last_own = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seeds = batch.column(0).to_numpy()
+            fresh = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1]])  # where a seed begins
+            sizes = np.diff(np.r_[fresh, len(seeds)])
+            many = -(-sizes // block)
+            own = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            starts = np.repeat(fresh, many) + own * block
+            if seeds[0] == last:  # goes on from the batch before
+                own[: many[0]] += last_own + 1
+            last, last_own = seeds[-1], int(own[-1])
+            ends = pa.array(np.r_[starts, len(seeds)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, batch.column(i + 1).cast(t)) for i, (_, t) in enumerate(values)]
+            yield pa.RecordBatch.from_arrays([pa.array(seeds[starts]), pa.array(np.full(len(starts), part, np.int32)), pa.array(own.astype(np.int32)), *lists], schema=schema)
+
+    parts = int(flanked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = flanked.select("seed", "contig_id", "pos", "flank").repartitionByRange(parts, "seed", "contig_id", "pos").sortWithinPartitions("seed", "contig_id", "pos")
+    return ranged.mapInArrow(cut, "seed long, part int, own int, contig_ids array<long>, places array<long>, flanks array<int>")
+
+
+def seed_positions_of(lists: DataFrame) -> DataFrame:
+    """seed, contig_id, pos, left3, right3 of ``postings`` rows."""
+    return _as_texts(places_of(lists, "seed"))
+
+
+def places_of(lists: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with contig_id, pos and flank of each place of ``postings`` rows."""
+    each = F.inline(F.arrays_zip(F.col("contig_ids").alias("contig_id"), F.col("places").alias("pos"), F.col("flanks").alias("flank"))).alias("contig_id", "pos", "flank")
+    return lists.select(*columns, each)
 
 
 def seed_counts(positions: DataFrame) -> DataFrame:
@@ -82,17 +185,14 @@ def seed_counts(positions: DataFrame) -> DataFrame:
 
 def seed_offsets(counts: DataFrame) -> DataFrame:
     """seed, n, first: how many positions all smaller seeds have."""
-    return _with_prefix(counts, "seed", "n", "first")
+    return with_prefix(counts.select("seed", "n"), "seed", "n", "first")
 
 
 def base_words(tiled: DataFrame) -> DataFrame:
     """contig_id, w, lo, hi, nmask: 32 bases in two planes of bits and a mask of N (which counts as A in the planes)."""
-    rows = tiled.select("contig_id", "start", F.posexplode(F.regexp_extract_all("body", F.lit(f".{{1,{WORD}}}"), 0)).alias("k", "bases"))
-    bit = lambda chars: F.aggregate(
-        F.sequence(F.lit(1), F.length("bases")), F.lit(0).cast("long"),
-        lambda acc, i: acc + F.when(F.instr(F.lit(chars), F.substr("bases", i, F.lit(1))) > 0, F.pow(F.lit(2.0), i - 1).cast("long")).otherwise(0),
-    )
-    return rows.select("contig_id", (F.col("start") / WORD + F.col("k")).cast("int").alias("w"), bit("CT").alias("lo"), bit("GT").alias("hi"), bit("N").alias("nmask"))
+    rows = tiled.select("contig_id", "start", "body", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(WORD))).alias("from"))
+    low, high, other = planes(F.substr("body", F.col("from") + 1, F.lit(WORD)))
+    return rows.select("contig_id", ((F.col("start") + F.col("from")) / WORD).cast("int").alias("w"), low.alias("lo"), high.alias("hi"), other.alias("nmask"))
 
 
 def unpacked(words: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -104,27 +204,82 @@ def unpacked(words: DataFrame, lengths: DataFrame) -> DataFrame:
     return rows.select("contig_id", "w", F.array_join(F.transform(F.sequence(F.lit(0), many - 1), letter), "").alias("bases"))
 
 
-def write_index(sequences: DataFrame, path: str, step: int = STEP, seed: int = SEED) -> None:
-    """The tables contigs, tiles, seed_pos (sorted by ranges of seeds), seed_count and meta below ``path``; meta comes last."""
+#: Columns, and those that deal the rows to buckets and sort a bucket.
+_BUCKETED = {
+    "postings": ("part INT, seed BIGINT, block INT, contig_ids ARRAY<BIGINT>, places ARRAY<BIGINT>, flanks ARRAY<INT>", ("seed", "block")),
+    "seed_count": ("seed BIGINT, n BIGINT, blocks INT", ("seed",)),
+}
+
+
+def _with_part(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("part", F.pmod(F.hash("seed", "block"), F.lit(buckets)))  # as Spark deals rows to buckets
+
+
+def _write_bucketed(rows: DataFrame, path: str, table: str, buckets: int) -> None:
+    """``rows`` as sorted buckets below ``path``: one file each, in small pages with statistics."""
+    spark, (_, keys) = rows.sparkSession, _BUCKETED[table]
+    name = f"strandwork_{uuid.uuid4().hex}"
+    writer = rows.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", path).option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.page.row.count.limit", str(PAGE_ROWS)).option("parquet.bloom.filter.enabled", "false").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+
+
+@functools.cache
+def _registered(spark: SparkSession, path: str, table: str, buckets: int) -> str:
+    """The session's name of a bucketed table's files."""
+    columns, keys = _BUCKETED[table]
+    name, by = f"strandwork_{uuid.uuid4().hex}", ", ".join(keys)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}') CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS")
+    return name
+
+
+def write_index(sequences: DataFrame, path: str, step: int = STEP, seed: int = SEED, buckets: int | None = None) -> None:
+    """The tables of an index of ``sequences (contig_id, name, seq)`` below ``path``."""
+    write_tiled_index(contigs(sequences), tiles(sequences).repartition("contig_id", "tile"), path, step, seed, buckets)
+
+
+def write_tiled_index(catalogue: DataFrame, tiled: DataFrame, path: str, step: int = STEP, seed: int = SEED, buckets: int | None = None) -> None:
+    """The tables contigs, tiles, postings and seed_count (in ``buckets``, as many as shuffle partitions unless told) and meta, which comes last."""
     _checked(seed, step)
-    spark = sequences.sparkSession
-    contigs(sequences).write.parquet(f"{path}/contigs")
-    tiles(sequences).repartition("contig_id", "tile").write.parquet(f"{path}/tiles")
-    seed_positions(spark.read.parquet(f"{path}/tiles"), step, seed).repartitionByRange("seed", "contig_id").sortWithinPartitions("seed", "contig_id", "pos").write.parquet(f"{path}/seed_pos")
-    seed_counts(spark.read.parquet(f"{path}/seed_pos")).write.parquet(f"{path}/seed_count")
-    spark.createDataFrame([(seed, step, 1)], "seed_length int, step int, format_version int").write.parquet(f"{path}/meta")
+    spark = tiled.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    catalogue.write.parquet(f"{path}/contigs")
+    tiled.write.parquet(f"{path}/tiles")
+    seed_flanks(spark.read.parquet(f"{path}/tiles"), step, seed).write.parquet(f"{path}/flanked")
+    postings(spark.read.parquet(f"{path}/flanked")).write.parquet(f"{path}/lists")
+    lists = spark.read.parquet(f"{path}/lists")
+    # A seed that spans several ranges has its blocks numbered on from the ranges before.
+    held = lists.select("seed", "part", F.size("places").alias("n")).repartition(buckets, "seed").groupBy("seed", "part").agg(F.count("*").alias("blocks"), F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("blocks").over(Window.partitionBy("seed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    further = F.broadcast(held.withColumn("before", before).where("before > 0").select("seed", "part", "before"))  # at most a row for each range
+    numbered = lists.join(further, ["seed", "part"], "left").select("seed", (F.col("own") + F.coalesce("before", F.lit(0))).cast("int").alias("block"), "contig_ids", "places", "flanks")
+    _write_bucketed(_with_part(numbered, buckets).select("part", *numbered.columns), f"{path}/postings", "postings", buckets)
+    _write_bucketed(held.groupBy("seed").agg(F.sum("n").cast("long").alias("n"), F.sum("blocks").cast("int").alias("blocks")), f"{path}/seed_count", "seed_count", buckets)
+    _delete(spark, f"{path}/flanked")
+    _delete(spark, f"{path}/lists")
+    spark.createDataFrame([(seed, step, FORMAT, buckets)], "seed_length int, step int, format_version int, buckets int").write.parquet(f"{path}/meta")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def read_index(spark, path: str, seed: int = SEED) -> dict[str, DataFrame]:
-    """The tables that ``write_index`` wrote; refuses an index of another seed length or format."""
+def read_index(spark: SparkSession, path: str, seed: int | None = SEED) -> Index:
+    """The index that ``write_index`` wrote; refuses another format, and another seed length than ``seed`` (None: whatever it has)."""
     meta = spark.read.parquet(f"{path}/meta").first()
-    if (meta["seed_length"], meta["format_version"]) != (seed, 1):
+    if meta["format_version"] != FORMAT or seed not in (None, meta["seed_length"]):
         raise ValueError(f"the index has seeds of {meta['seed_length']} bases in format {meta['format_version']}")
-    return {t: spark.read.parquet(f"{path}/{t}") for t in ("contigs", "tiles", "seed_pos", "seed_count")}
+    plain = {t: spark.read.parquet(f"{path}/{t}") for t in ("contigs", "tiles")}
+    bucketed = {t: spark.table(_registered(spark, f"{path}/{t}", t, meta["buckets"])) for t in _BUCKETED}
+    return Index(plain | bucketed, meta["seed_length"], meta["step"], meta["buckets"])
 
 
-def index_of(sequences: DataFrame, step: int = STEP, seed: int = SEED) -> dict[str, DataFrame]:
-    """The same tables, planned and not written."""
+def index_of(sequences: DataFrame, step: int = STEP, seed: int = SEED) -> Index:
+    """The same tables, planned and not written; every list is one block."""
     tiled = tiles(sequences)
-    positions = seed_positions(tiled, step, seed)
-    return {"contigs": contigs(sequences), "tiles": tiled, "seed_pos": positions, "seed_count": seed_counts(positions)}
+    flanked = seed_flanks(tiled, step, seed)
+    lists = flanked.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("contig_id", "pos", "flank"))).alias("x"))
+    lists = lists.select(F.lit(0).alias("part"), "seed", F.lit(0).alias("block"), F.col("x.contig_id").alias("contig_ids"), F.col("x.pos").alias("places"), F.col("x.flank").alias("flanks"))
+    counts = seed_counts(flanked).withColumn("blocks", F.lit(1))
+    return Index({"contigs": contigs(sequences), "tiles": tiled, "postings": lists, "seed_count": counts}, seed, step)

@@ -23,14 +23,14 @@ def unmapped(reads: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def sam_records(alignments: DataFrame, reads: DataFrame, strands: DataFrame, contigs: DataFrame) -> DataFrame:
-    """A row per alignment and per unmapped read: the eleven SAM columns, nm and xm."""
+    """A row per alignment and per unmapped read: the eleven SAM columns, nm, xm and read_id."""
     rows = flagged(alignments).join(reads.select("read_id", "name"), "read_id").join(strands.select("read_id", "strand", F.col("seq").alias("bases"), F.col("qual").alias("quality")), ["read_id", "strand"])
     rows = rows.join(contigs.select("contig_id", F.col("name").alias("rname")), "contig_id")
     shown = lambda c: F.when(F.col("primary"), F.col(c)).otherwise("*")
     rest = [F.lit("*").alias("rnext"), F.lit(0).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen")]
-    mapped = rows.select(F.col("name").alias("qname"), "flag", "rname", (F.col("pos") + 1).alias("pos"), F.lit(255).alias("mapq"), "cigar", *rest, shown("bases").alias("seq"), shown("quality").alias("qual"), "nm", F.col("nm").alias("xm"))
+    mapped = rows.select(F.col("name").alias("qname"), "flag", "rname", (F.col("pos") + 1).alias("pos"), F.lit(255).alias("mapq"), "cigar", *rest, shown("bases").alias("seq"), shown("quality").alias("qual"), "nm", F.col("nm").alias("xm"), "read_id")
     none = F.lit(None).cast("int")
-    others = unmapped(reads, alignments).select(F.col("name").alias("qname"), F.lit(4).alias("flag"), F.lit("*").alias("rname"), F.lit(0).cast("long").alias("pos"), F.lit(255).alias("mapq"), F.lit("*").alias("cigar"), *rest, "seq", "qual", none.alias("nm"), none.alias("xm"))
+    others = unmapped(reads, alignments).select(F.col("name").alias("qname"), F.lit(4).alias("flag"), F.lit("*").alias("rname"), F.lit(0).cast("long").alias("pos"), F.lit(0).alias("mapq"), F.lit("*").alias("cigar"), *rest, "seq", "qual", none.alias("nm"), none.alias("xm"), "read_id")
     return mapped.unionByName(others)
 
 
@@ -49,20 +49,6 @@ def sam_header(contigs: DataFrame, program: str = "strandwork") -> DataFrame:
     return first.union(lines).union(last)
 
 
-def write_sam(records: DataFrame, contigs: DataFrame, path: str) -> None:
-    """``path``/header (one file in order) and ``path``/records (a file per partition), gzip text."""
-    sam_header(contigs).orderBy("n").coalesce(1).select("value").write.option("compression", "gzip").text(f"{path}/header")
-    sam_lines(records).write.option("compression", "gzip").text(f"{path}/records")
-
-
-def write_sam_by_file(records: DataFrame, files: DataFrame, contigs: DataFrame, path: str) -> None:
-    """As ``write_sam``, with a folder of records for each input file. ``files (qname, file)`` says where a read is from."""
-    sam_header(contigs).orderBy("n").coalesce(1).select("value").write.option("compression", "gzip").text(f"{path}/header")
-    named = records.join(files.select("qname", F.regexp_extract("file", r"([^/]*)$", 1).alias("file")), "qname")
-    lines = sam_lines(named, "file")
-    lines.write.partitionBy("file").option("compression", "gzip").text(f"{path}/records")
-
-
 def locate(points: DataFrame, contigs: DataFrame, bin_size: int = 1 << 16) -> DataFrame:
     """``points (g_pos)`` with contig_id and pos. Both sides meet in bins of the global axis, so it is an equi-join."""
     spans = contigs.where("length > 0").select("contig_id", "g_start", (F.col("g_start") + F.col("length")).alias("g_end"))

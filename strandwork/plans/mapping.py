@@ -5,32 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dna import FURTHER, SEED
+from ..functions.dna import FURTHER, SEED, flank_part, residual_code
 from ..operators import index as ix
 from ..operators import report, seeding, verify
+from ..operators.index import Index
+from ..shared import settle
 
 
-def build_index(spark: SparkSession, sequences: DataFrame, path: str, step: int = ix.STEP, seed: int = SEED) -> dict[str, DataFrame]:
+def build_index(spark: SparkSession, sequences: DataFrame, path: str, step: int = ix.STEP, seed: int = SEED, buckets: int | None = None) -> Index:
     """Write the index of ``sequences (contig_id, name, seq)`` below ``path`` and read it back."""
-    ix.write_index(sequences, path, step, seed)
+    ix.write_index(sequences, path, step, seed, buckets)
     return ix.read_index(spark, path, seed)
 
 
-def candidates(index: dict[str, DataFrame], strands: DataFrame, errors: int, seed: int = SEED) -> DataFrame:
-    longs = seeding.long_seeds(strands, seed)
-    subs = seeding.sub_seeds(longs, seed)
-    chosen = seeding.rare_seeds(seeding.long_seed_frequency(longs, subs, index["seed_count"]), errors)
-    return seeding.candidates(seeding.filtered_hits(seeding.seed_hits(subs, chosen, index["seed_pos"])), seed)
+def candidates(index: Index, strands: DataFrame, errors: int, seed: int | None = None) -> DataFrame:
+    """Different places where an oriented read may begin. The probes are written once; where they ask for few seeds, only these pages of the index are read."""
+    index.own_seed(seed)
+    asked = settle(seeding.located(seeding.probes(strands, index, errors), index), "probes")
+    return seeding.candidates(seeding.filtered_hits(seeding.seed_hits(asked, seeding.pruned(index, asked), index.buckets)), index.seed)
 
 
-def map_reads(index: dict[str, DataFrame], reads: DataFrame, errors: int = 4, n_policy: str = "as-a", seed: int = SEED) -> DataFrame:
+def windows(index: Index, reads: DataFrame, strands: DataFrame, errors: int, n_policy: str = "as-a") -> DataFrame:
+    longest = (reads.agg(F.max(F.length("seq"))).first()[0] or 0) + 2 * errors
+    return verify.windows(candidates(index, strands, errors), strands, index["tiles"], index["contigs"], errors, n_policy, longest)
+
+
+def verified(index: Index, reads: DataFrame, errors: int, n_policy: str = "as-a") -> DataFrame:
+    """The hits of ``verify.hits``; the windows are written once and read by both ways of verifying."""
+    rows = settle(windows(index, reads, seeding.oriented(reads), errors, n_policy), "windows")
+    return verify.hits(verify.verified(rows, errors))
+
+
+def map_reads(index: Index, reads: DataFrame, errors: int = 4, n_policy: str = "as-a", seed: int | None = None) -> DataFrame:
     """All alignments of ``reads (read_id, name, seq, qual)`` within ``errors`` edits: read_id, strand, contig_id, pos, end, nm, cigar.
 
-    Reads of at least (seed + 3) (errors + 1) bases miss none; shorter ones are searched by all seeds they have.
+    Reads of at least (index.seed + 3) (errors + 1) bases miss none; shorter ones are searched by all seeds they have. Reads may have any length.
+    The seed length is the index's; another ``seed`` is refused. Probes, windows and hits are written to the shared folder once each.
     """
-    strands = seeding.oriented(reads)
-    rows = verify.windows(candidates(index, strands, errors, seed), strands, index["tiles"], index["contigs"], errors, n_policy)
-    return verify.aligned(verify.hits(verify.verified(rows, errors)), errors).select("read_id", "strand", "contig_id", "pos", "end", "nm", "cigar")
+    index.own_seed(seed)
+    found = settle(verified(index, reads, errors, n_policy), "hits")
+    return verify.aligned(found, errors).select("read_id", "strand", "contig_id", "pos", "end", "nm", "cigar")
 
 
 def complete(reads: DataFrame, errors: int, seed: int = SEED) -> DataFrame:
@@ -38,17 +52,20 @@ def complete(reads: DataFrame, errors: int, seed: int = SEED) -> DataFrame:
     return reads.select("read_id", (F.length("seq") >= (seed + FURTHER) * (errors + 1)).alias("complete"))
 
 
-def explain_read(index: dict[str, DataFrame], reads: DataFrame, read_id: int, contig_id: int, pos: int, errors: int = 4, seed: int = SEED) -> DataFrame:
+def explain_read(index: Index, reads: DataFrame, read_id: int, contig_id: int, pos: int, errors: int = 4, seed: int | None = None) -> DataFrame:
     """Seed hits of one read near one place: strand, ls, j, seed, start, passes (the flank filter)."""
+    seed = index.own_seed(seed)
     strands = seeding.oriented(reads.where(F.col("read_id") == read_id))
-    longs = seeding.long_seeds(strands, seed)
-    subs = seeding.sub_seeds(longs, seed)
-    found = seeding.seed_hits(subs, longs, index["seed_pos"].where(F.col("contig_id") == contig_id))
+    subs = seeding.counted(seeding.sub_seeds(seeding.long_seeds(strands, seed), seed), index["seed_count"]).where("blocks > 0")
+    subs = seeding.located(subs, index)
+    found = seeding.seed_hits(subs, seeding.pruned(index, subs), index.buckets).where(F.col("contig_id") == contig_id)
     start = F.col("pos") - (F.col("ls") * (seed + FURTHER) + F.col("j"))
     near = found.withColumn("start", start).where(F.abs(F.col("start") - pos) <= errors)
-    passes = F.substr(F.concat("left3", "right3"), F.lit(4) - F.col("j"), F.lit(3)) == F.col("resid")
+    passes = flank_part(F.col("flank"), F.lit(FURTHER) - F.col("j")) == residual_code(F.col("resid"))
     return near.select("strand", "ls", "j", "seed", "start", passes.alias("passes"))
 
 
-def sam(index: dict[str, DataFrame], reads: DataFrame, errors: int = 4) -> DataFrame:
-    return report.sam_records(map_reads(index, reads, errors), reads, seeding.oriented(reads), index["contigs"])
+def sam(index: Index, reads: DataFrame, errors: int = 4, n_policy: str = "as-a") -> DataFrame:
+    """``report.sam_records`` of ``map_reads``; the alignments are written once."""
+    found = settle(map_reads(index, reads, errors, n_policy), "alignments")
+    return report.sam_records(found, reads, seeding.oriented(reads), index["contigs"])

@@ -14,9 +14,14 @@ from .functions.dna import FURTHER, SEED, letters_as_dna, reverse_complement
 from .operators import index as ix
 from .operators import report, seeding, verify
 from .plans import mapping
-from .shared import made_once
+from .shared import files_in, made_once, new_folder, settle
+from .sinks.sam import write_sam
+from .sources import contigs as contig_files
+from .sources.sequences import numbered_reads
 
 ERRORS = 4
+#: Bytes of a range of the files that the queries write and read again.
+FILE_RANGE = 1 << 17
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +45,19 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("read_id", F.concat(F.lit("read"), F.col("read_id").cast("string")).alias("name"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
 
 
+def built_index(spark: SparkSession, sf_dir: str, seed: int = SEED) -> ix.Index:
+    """The index of the table of documents, written once."""
+    version = f"{ix.FORMAT} {ix.TILE} {ix.OVERLAP} {ix.BLOCK}"
+    place = made_once(spark, f"{sf_dir}/documents.parquet", f"mapping-index-{seed}", lambda path: ix.write_index(sequences(spark, sf_dir), path, seed=seed), version)
+    return ix.read_index(spark, place, seed)
+
+
 class _Plan:
     """The steps of a mapping by name, each planned when asked for. The index of a table is written once and read by all queries."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, seed: int = SEED) -> None:
         self.seed, self.reads = seed, reads(spark, sf_dir)
-        place = made_once(spark, f"{sf_dir}/documents.parquet", f"mapping-index-{seed}", lambda path: ix.write_index(sequences(spark, sf_dir), path, seed=seed))
-        self.index = ix.read_index(spark, place, seed)
+        self.spark, self.sequences, self.index = spark, sequences(spark, sf_dir), built_index(spark, sf_dir, seed)
         self.strands = seeding.oriented(self.reads)
         self.longs = seeding.long_seeds(self.strands, seed)
         self.subs = seeding.sub_seeds(self.longs, seed)
@@ -55,19 +66,23 @@ class _Plan:
         return seeding.long_seed_frequency(self.longs, self.subs, self.index["seed_count"])
 
     def hits(self) -> DataFrame:
-        return seeding.seed_hits(self.subs, seeding.rare_seeds(self.frequency(), ERRORS), self.index["seed_pos"])
+        asked = settle(seeding.located(seeding.probes(self.strands, self.index, ERRORS), self.index), "probes")
+        return seeding.seed_hits(asked, seeding.pruned(self.index, asked), self.index.buckets)
 
     def candidates(self) -> DataFrame:
-        return seeding.candidates(seeding.filtered_hits(self.hits()), self.seed)
+        return mapping.candidates(self.index, self.strands, ERRORS)
 
     def windows(self) -> DataFrame:
-        return verify.windows(self.candidates(), self.strands, self.index["tiles"], self.index["contigs"], ERRORS)
+        return mapping.windows(self.index, self.reads, self.strands, ERRORS)
 
     def verified(self) -> DataFrame:
-        return verify.hits(verify.verified(self.windows(), ERRORS))
+        return mapping.verified(self.index, self.reads, ERRORS)
 
     def aligned(self) -> DataFrame:
-        return mapping.map_reads(self.index, self.reads, ERRORS, seed=self.seed)
+        return mapping.map_reads(self.index, self.reads, ERRORS)
+
+    def sam(self) -> DataFrame:
+        return mapping.sam(self.index, self.reads, ERRORS)
 
 
 def _query(build: Callable[[_Plan], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -79,12 +94,50 @@ def _located(p: _Plan) -> DataFrame:
     return report.locate(points, p.index["contigs"])
 
 
+def _hit_places(p: _Plan) -> DataFrame:
+    """The last base of each verified hit on the axis of all contigs, and what contig that is in."""
+    starts = p.index["contigs"].select("contig_id", "g_start")
+    points = p.verified().join(starts, "contig_id").select("read_id", F.col("strand").cast("long").alias("strand"), (F.col("g_start") + F.col("end") - 1).alias("g_pos"))
+    return report.locate(points, p.index["contigs"])
+
+
+def _text_files(rows: DataFrame, tag: str) -> list[str]:
+    """``rows (value)`` as text files in the shared folder."""
+    folder = new_folder(rows.sparkSession, tag)
+    rows.write.text(folder)
+    return files_in(rows.sparkSession, folder, "part-")
+
+
+def _file_tiles(p: _Plan) -> DataFrame:
+    """The table's contigs written as FASTA files and cut into tiles again, by ranges of ``FILE_RANGE`` bytes."""
+    wrapped = F.regexp_replace("seq", "(.{60})", "$1\n")
+    paths = _text_files(p.sequences.select(F.concat(F.lit(">"), "name", F.lit(" of documents\n"), wrapped).alias("value")), "fasta")
+    placed = settle(contig_files.placed(contig_files.scanned(p.spark, paths, FILE_RANGE)), "placed")
+    named = contig_files.contigs_of(placed).select(F.col("contig_id").alias("number"), F.substr("name", F.lit(4)).cast("long").alias("id"))
+    found = contig_files.tiles_of(p.spark, paths, placed, FILE_RANGE).withColumnRenamed("contig_id", "number").join(named, "number")
+    return found.select(F.col("id").alias("contig_id"), F.col("tile").cast("long").alias("tile"), "start", "before", "body", "after")
+
+
+def _file_reads(p: _Plan) -> DataFrame:
+    """The reads written as FASTQ files, wrapped at 35 bases, and read again by ranges of bytes."""
+    wrapped = lambda c: F.regexp_replace(c, "(.{35})(?!$)", "$1\n")
+    paths = _text_files(p.reads.select(F.concat(F.lit("@"), "name", F.lit("\n"), wrapped("seq"), F.lit("\n+\n"), wrapped("qual")).alias("value")), "fastq")
+    return numbered_reads(p.spark, paths, FILE_RANGE >> 4).select("name", "seq", "qual")
+
+
+def _sam_file(p: _Plan) -> DataFrame:
+    """The lines of a SAM file of all reads."""
+    folder = new_folder(p.spark, "sam")
+    names = write_sam(p.sam(), p.index["contigs"], folder, parts=2)
+    return p.spark.read.text([f"{folder}/{n}" for n in names])
+
+
 QUERIES: dict[str, Callable[[_Plan], DataFrame]] = {
     "contigs": lambda p: p.index["contigs"],
     "tiles": lambda p: p.index["tiles"].select("contig_id", F.col("tile").cast("long").alias("tile"), "start", "before", "body", "after"),
     "base_words": lambda p: ix.base_words(p.index["tiles"]).withColumn("w", F.col("w").cast("long")),
     "sampled_seeds": lambda p: p.index["seed_pos"].select("contig_id", "pos", "seed"),
-    "seed_histogram": lambda p: p.index["seed_count"],
+    "seed_histogram": lambda p: p.index["seed_count"].select("seed", "n"),
     "seed_offsets": lambda p: ix.seed_offsets(p.index["seed_count"]),
     "seed_flanks": lambda p: p.index["seed_pos"],
     "index_totals": lambda p: p.index["seed_count"].agg(F.sum("n").alias("positions"), F.count("*").alias("seeds"), F.max("n").alias("most")),
@@ -108,7 +161,11 @@ QUERIES: dict[str, Callable[[_Plan], DataFrame]] = {
     "cigar": lambda p: p.aligned().select("read_id", F.col("strand").cast("long").alias("strand"), "contig_id", "pos", "end", F.col("nm").cast("long").alias("nm"), "cigar"),
     "unpacked_words": lambda p: ix.unpacked(ix.base_words(p.index["tiles"]), p.index["contigs"]).withColumn("w", F.col("w").cast("long")),
     "genome_length": lambda p: p.index["contigs"].agg(F.count("*").alias("contigs"), F.sum("length").alias("bases")),
-    "sam_records": lambda p: report.sam_lines(report.sam_records(p.aligned(), p.reads, p.strands, p.index["contigs"])),
+    "sam_records": lambda p: report.sam_lines(p.sam()),
+    "hit_places": _hit_places,
+    "file_tiles": _file_tiles,
+    "file_reads": _file_reads,
+    "sam_file": _sam_file,
 }
 
 
@@ -156,13 +213,13 @@ def _steps(seed: int = SEED) -> dict[str, str]:
         "pairs": 'SELECT row_number() OVER (ORDER BY read_id, strand, contig_id, "end", nm) AS h, read_id, strand, contig_id, "end", nm, x.lo AS lo, x.b AS t, x.win AS win, x.seq AS seq FROM firsts',
         "placed": 'SELECT read_id, strand, contig_id, "end", CASE WHEN t >= length(seq) THEN hamming(seq, substr(win, t - length(seq) + 1, length(seq))) END AS ham FROM pairs',
         # row i of the table of distances of a pair: entry j + 1 is for j bases of the window
-        "filled": f"SELECT h, CAST(0 AS BIGINT) AS i, seq, win, t, [CASE WHEN j <= {2 * ERRORS} THEN 0 ELSE 1000 END FOR j IN range(0, t + 1)] AS d FROM pairs UNION ALL SELECT h, i, seq, win, t, [list_min([c[k + 1] + j - k FOR k IN range(greatest(0, j - {ERRORS + 1}), j + 1)]) FOR j IN range(0, t + 1)] FROM (SELECT h, i + 1 AS i, seq, win, t, [least(d[j + 1] + 1, CASE WHEN j > 0 THEN d[j] + CASE WHEN substr(win, j, 1) <> substr(seq, i + 1, 1) THEN 1 ELSE 0 END ELSE 1000 END) FOR j IN range(0, t + 1)] AS c FROM filled WHERE i < length(seq))",
+        "filled": f"SELECT h, CAST(0 AS BIGINT) AS i, seq, win, t, [greatest(j - {2 * ERRORS}, 0) FOR j IN range(0, t + 1)] AS d FROM pairs UNION ALL SELECT h, i, seq, win, t, [list_min([c[k + 1] + j - k FOR k IN range(greatest(0, j - {ERRORS + 1}), j + 1)]) FOR j IN range(0, t + 1)] FROM (SELECT h, i + 1 AS i, seq, win, t, [least(d[j + 1] + 1, CASE WHEN j > 0 THEN d[j] + CASE WHEN substr(win, j, 1) <> substr(seq, i + 1, 1) THEN 1 ELSE 0 END ELSE 1000 END) FOR j IN range(0, t + 1)] AS c FROM filled WHERE i < length(seq))",
         "tables": "SELECT h, list(d ORDER BY i) AS d FROM filled GROUP BY h",
-        "walked": "SELECT pairs.h, CAST(length(seq) AS BIGINT) AS i, CAST(t AS BIGINT) AS j, '' AS ops, seq, win, d FROM pairs JOIN tables ON pairs.h = tables.h UNION ALL SELECT h, CASE op WHEN 'D' THEN i ELSE i - 1 END, CASE op WHEN 'I' THEN j ELSE j - 1 END, op || ops, seq, win, d FROM (SELECT *, CASE WHEN j > 0 AND d[i][j] + CASE WHEN substr(win, j, 1) <> substr(seq, i, 1) THEN 1 ELSE 0 END = d[i + 1][j + 1] THEN 'M' WHEN d[i][j + 1] + 1 = d[i + 1][j + 1] THEN 'I' ELSE 'D' END AS op FROM walked WHERE i > 0)",
-        "cigars": "SELECT read_id, strand, contig_id, CAST(lo + j AS BIGINT) AS pos, \"end\", nm, array_to_string([CAST(length(r) AS VARCHAR) || substr(r, 1, 1) FOR r IN regexp_extract_all(ops, 'M+|I+|D+')], '') AS cigar FROM walked JOIN pairs ON walked.h = pairs.h WHERE i = 0",
+        "walked": f"SELECT pairs.h, CAST(length(seq) AS BIGINT) AS i, CAST(t AS BIGINT) AS j, '' AS ops, seq, win, d FROM pairs JOIN tables ON pairs.h = tables.h UNION ALL SELECT h, CASE op WHEN 'D' THEN i ELSE i - 1 END, CASE op WHEN 'I' THEN j ELSE j - 1 END, op || ops, seq, win, d FROM (SELECT *, CASE WHEN i = 0 THEN 'D' WHEN j > 0 AND d[i][j] + CASE WHEN substr(win, j, 1) <> substr(seq, i, 1) THEN 1 ELSE 0 END = d[i + 1][j + 1] THEN 'M' WHEN d[i][j + 1] + 1 = d[i + 1][j + 1] THEN 'I' ELSE 'D' END AS op FROM walked WHERE i > 0 OR j > {2 * ERRORS})",
+        "cigars": f"SELECT read_id, strand, contig_id, CAST(lo + j AS BIGINT) AS pos, \"end\", nm, array_to_string([CAST(length(r) AS VARCHAR) || substr(r, 1, 1) FOR r IN regexp_extract_all(ops, 'M+|I+|D+')], '') AS cigar FROM walked JOIN pairs ON walked.h = pairs.h WHERE i = 0 AND j <= {2 * ERRORS}",
         "flagged": 'SELECT *, row_number() OVER (PARTITION BY read_id, strand ORDER BY nm, contig_id, pos, "end") = 1 AS prime FROM cigars',
         "mapped_lines": "SELECT concat_ws(chr(9), reads.name, CAST(strand * 16 + CASE WHEN prime THEN 0 ELSE 256 END AS VARCHAR), contigs.name, CAST(pos + 1 AS VARCHAR), '255', cigar, '*', '0', '0', CASE WHEN prime THEN strands.seq ELSE '*' END, CASE WHEN prime THEN strands.qual ELSE '*' END, 'NM:i:' || nm, 'XM:i:' || nm) AS value FROM flagged JOIN reads USING (read_id) JOIN strands USING (read_id, strand) JOIN contigs USING (contig_id)",
-        "sam_lines": "SELECT value FROM mapped_lines UNION ALL SELECT concat_ws(chr(9), name, '4', '*', '0', '255', '*', '*', '0', '0', seq, qual) FROM reads WHERE read_id NOT IN (SELECT read_id FROM cigars)",
+        "sam_lines": "SELECT value FROM mapped_lines UNION ALL SELECT concat_ws(chr(9), name, '4', '*', '0', '0', '*', '*', '0', '0', seq, qual) FROM reads WHERE read_id NOT IN (SELECT read_id FROM cigars)",
     }
 
 
@@ -177,6 +234,7 @@ def oracle_sql() -> dict[str, str]:
     bits = lambda test: f"CAST(sum(CASE WHEN {test} THEN CAST(1 AS BIGINT) << CAST(p % 32 AS BIGINT) ELSE 0 END) AS BIGINT)"
     words = f"SELECT contig_id, p // 32 AS w, {bits("c IN ('C', 'T')")} AS lo, {bits("c IN ('G', 'T')")} AS hi, {bits("c = 'N'")} AS nmask FROM (SELECT contig_id, p, substr(seq, p + 1, 1) AS c FROM (SELECT contig_id, seq, CAST(unnest(range(0, length(seq))) AS BIGINT) AS p FROM seqs)) GROUP BY contig_id, p // 32"
     seqs = f"WITH seqs AS ({_steps()['seqs']}) "
+    header = "SELECT CAST(-1 AS BIGINT) AS n, '@HD' || chr(9) || 'VN:1.4' || chr(9) || 'SO:unsorted' AS value UNION ALL SELECT contig_id, '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || CAST(length AS VARCHAR) FROM contigs UNION ALL SELECT 9223372036854775807, '@PG' || chr(9) || 'ID:strandwork' || chr(9) || 'PN:strandwork'"
     points = "SELECT DISTINCT unnest([g_start, g_start + length - 1]) AS g_pos FROM contigs WHERE length > 0"
     return {
         "contigs": _sql("contigs"),
@@ -202,9 +260,13 @@ def oracle_sql() -> dict[str, str]:
         "locate": _sql("contigs").removesuffix(" SELECT * FROM contigs ") + f" SELECT p.g_pos, c.contig_id, p.g_pos - c.g_start AS pos FROM ({points}) p JOIN contigs c ON p.g_pos >= c.g_start AND p.g_pos < c.g_start + c.length",
         "unmapped": _sql("found").removesuffix(" SELECT * FROM found ") + " SELECT read_id, name, seq FROM reads WHERE read_id NOT IN (SELECT read_id FROM found)",
         "primary": _sql("found", 'read_id, contig_id, "end", CAST(CASE strand WHEN 1 THEN 16 ELSE 0 END + CASE WHEN row_number() OVER (PARTITION BY read_id, strand ORDER BY nm, contig_id, "end") = 1 THEN 0 ELSE 256 END AS BIGINT) AS flag'),
-        "sam_header": _sql("contigs").removesuffix(" SELECT * FROM contigs ") + " SELECT CAST(-1 AS BIGINT) AS n, '@HD' || chr(9) || 'VN:1.4' || chr(9) || 'SO:unsorted' AS value UNION ALL SELECT contig_id, '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || CAST(length AS VARCHAR) FROM contigs UNION ALL SELECT 9223372036854775807, '@PG' || chr(9) || 'ID:strandwork' || chr(9) || 'PN:strandwork'",
+        "sam_header": _sql("contigs").removesuffix(" SELECT * FROM contigs ") + f" {header}",
         "cigar": _sql("cigars", 'read_id, strand, contig_id, pos, "end", nm, cigar'),
         "sam_records": _sql("sam_lines"),
+        "hit_places": _sql("found").removesuffix(" SELECT * FROM found ") + ' SELECT read_id, strand, g_start + "end" - 1 AS g_pos, contig_id, "end" - 1 AS pos FROM found JOIN contigs USING (contig_id)',
+        "file_tiles": seqs + tile,
+        "file_reads": _sql("reads", "name, seq, qual"),
+        "sam_file": _sql("sam_lines") + f" UNION ALL SELECT value FROM ({header}) CROSS JOIN range(2)",
         "unpacked_words": _sql("seqs").removesuffix(" SELECT * FROM seqs ") + " SELECT contig_id, w, substr(seq, w * 32 + 1, 32) AS bases FROM (SELECT contig_id, seq, CAST(unnest(range(0, (length(seq) + 31) // 32)) AS BIGINT) AS w FROM seqs)",
         "genome_length": _sql("contigs", "count(*) AS contigs, CAST(sum(length) AS BIGINT) AS bases"),
         "seed_histogram_short": _sql("counts", seed=SHORT_SEED),

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def made_once(spark: SparkSession, source: str, tag: str, make: Callable[[str], None]) -> str:
-    """The folder that ``make`` has written from the table at ``source``; it is made anew when the table's files have changed.
+def made_once(spark: SparkSession, source: str, tag: str, make: Callable[[str], None], version: str = "") -> str:
+    """The folder that ``make`` has written from the table at ``source``; it is made anew when the table's files or the ``version`` of the maker have changed.
 
     It is written beside its place and then moved there, so it is whole or absent, whoever else makes it meanwhile.
     """
@@ -32,12 +32,35 @@ def made_once(spark: SparkSession, source: str, tag: str, make: Callable[[str],
     system = at.getFileSystem(conf)
     files = system.listStatus(at)
     state = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
-    place = f"{shared_dir(spark)}/{tag}-{hashlib.sha256(chr(10).join([source, *state]).encode()).hexdigest()[:32]}"
+    place = f"{shared_dir(spark)}/{tag}-{hashlib.sha256(chr(10).join([source, version, *state]).encode()).hexdigest()[:32]}"
     target = jvm.org.apache.hadoop.fs.Path(place)
     store = target.getFileSystem(conf)
     if not store.exists(target):
         own = f"{place}-{uuid.uuid4().hex}"
-        make(own)
+        try:
+            make(own)
+        except Exception:
+            store.delete(jvm.org.apache.hadoop.fs.Path(own), True)
+            raise
         if not store.rename(jvm.org.apache.hadoop.fs.Path(own), target) and not store.exists(target):
             raise OSError(f"{own} can't be moved to {place}")
     return place
+
+
+def settle(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once below the shared folder and read from there: what several steps read is computed once, and lost executors cost no more than a step."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path below the shared folder that nothing stands at."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def files_in(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
+    """The files of a folder whose names begin with ``prefix``, in order."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().toString() for f in found if f.isFile() and f.getPath().getName().startswith(prefix))
