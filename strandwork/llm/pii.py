@@ -6,10 +6,13 @@ secrets (long mixed tokens, values of password-like keys). Format and context of
 
 Boosted trees of depth two score the candidates. They are grown from labelled texts that ``labelled`` writes with DataFrame functions: templates of
 real and of misleading uses, each a thousandfold with other digits and letters, with the truth marked, so labels aren't what a validator says.
-Their candidates are counted as (kind, bits, right) cells, of which there are few however many texts; on them the driver takes Newton steps on the
-logistic loss. For each kind the threshold is the least score at which texts of another seed show ``PRECISION``. The trees come back as one
+Their candidates are counted as (fold, kind, bits, right) cells, of which there are few however many texts; on them the driver takes Newton steps on the
+logistic loss. The templates are dealt to ``FOLDS`` folds, and the candidates of each are scored by trees that have seen none of its forms; for each kind the
+threshold is the least such score at which ``PRECISION`` holds, so it says what happens to unseen forms. The trees of all folds come back as one
 SQL expression, and documents are read in one pass without a shuffle.
 
+The query's ``spans`` hold spans of the fifth kind too, named ``secret``, after those of the contract's four.
+
 Base spans that pass their validator always stay. The other candidates that reach their kind's threshold are swept in order of their
 starts: what overlaps a base span goes, and of two that overlap the one with the higher score stays.
 
@@ -36,8 +39,8 @@ from .scratch import discard, settle
 KINDS = ("email", "ip", "card", "phone", "secret")
 PRECISION, SUPPORT = 0.95, 20
 ROUNDS, RATE = 40, 0.3
-#: Texts that the trees are grown from, and those that the thresholds are set by.
-LABELLED = 12_000
+#: Texts that the trees are grown from, and parts of the templates that take turns in setting the thresholds.
+LABELLED, FOLDS = 6_000, 4
 #: Characters before and after a candidate that its features see.
 BEFORE, AFTER = 32, 8
 #: Elements that a list grows by one by one before they are put together.
@@ -117,7 +120,7 @@ TRUE_TEXTS = {
         "text or call {### ### ####}", "Tel: {0049 ### ### ###}", "cell {(###) ###.####}",
     ),
     "secret": (
-        "token = \"{%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%%}\"", "api_key: {^^^^^^^^^^^^^^^^^^^^^^^^}", "secret={&&&&##&&&&#&}", "password: {&&&&&&##}", "export AUTH_TOKEN={^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^}", "Authorization: Bearer {^^^^^^^^^^^^^^^^^^^^^^^^^^^^#^^^}", "pwd = '{&&##&&##&&}'",
+        "api_key: {^^^^^^^^^^^^^^^^^^^^^^^^}", "secret={&&&&##&&&&#&}", "password: {&&&&&&##}", "export AUTH_TOKEN={^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^}", "Authorization: Bearer {^^^^^^^^^^^^^^^^^^^^^^^^^^^^#^^^}", "pwd = '{&&##&&##&&}'",
         "access key {AK^^^^^^^^^^^^^^#^^^}", "his token {%%%%%%%%%%%%%%%%%%%%#%%%%%%%%%%%%} leaked",
     ),
 }
@@ -210,11 +213,11 @@ def candidates(docs: DataFrame, text: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, rows: int, seed: int) -> DataFrame:
-    """text, kind, start, end (of the marked span, -1 if nothing is): so many texts from the templates, with filler around them."""
-    texts = [(k, t) for k, kind in enumerate(KINDS) for t in (*TRUE_TEXTS[kind], *FALSE_TEXTS[kind])]
+    """text, kind, fold, start, end (of the marked span, -1 if nothing is): so many texts from the templates, with filler around them."""
+    texts = [(k, t, i % FOLDS) for k, kind in enumerate(KINDS) for own in (TRUE_TEXTS[kind], FALSE_TEXTS[kind]) for i, t in enumerate(own)]
     pick = lambda salt, n: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(n)).cast("int")
     table = spark.range(rows).withColumn("which", pick("text", len(texts)))
-    table = table.withColumn("kind", F.get(F.array(*[F.lit(k) for k, _ in texts]), "which")).withColumn("form", F.get(F.array(*[F.lit(t) for _, t in texts]), "which"))
+    table = table.withColumns({name: F.get(F.array(*[F.lit(t[i]) for t in texts]), "which") for i, name in enumerate(("kind", "form", "fold"))})
 
     def letter(c: Column, i: Column) -> Column:
         h = F.xxhash64(F.col("id"), F.lit(seed), i)
@@ -231,7 +234,7 @@ def labelled(spark: SparkSession, rows: int, seed: int) -> DataFrame:
     whole = F.concat(lead, F.col("filled"), F.get(F.array(*[F.lit(x) for x in ("", " and more", ".", ", then.", "\nNext line")]), pick("tail", 5)))
     at = F.instr(whole, "{") - 1
     end = F.instr(whole, "}") - 2
-    return filled.select(F.translate(whole, "{}", "").alias("text"), "kind", F.when(at >= 0, at).otherwise(-1).alias("start"), F.when(at >= 0, end).otherwise(-1).alias("end"))
+    return filled.select(F.translate(whole, "{}", "").alias("text"), "kind", "fold", F.when(at >= 0, at).otherwise(-1).alias("start"), F.when(at >= 0, end).otherwise(-1).alias("end"))
 
 
 class SpanModel:
@@ -241,6 +244,8 @@ class SpanModel:
         self.trees: list[tuple] = []  # (feature, (feature, leaf, leaf) if unset, the same if set)
         self.thresholds = [math.inf] * len(KINDS)
         self.bias = 0.0
+        #: Precision, and recall among the candidates, of each kind on forms that the trees hadn't seen.
+        self.shown: dict[str, tuple[float, float]] = {}
 
     def score(self, x: int) -> float:
         out = self.bias
@@ -296,21 +301,28 @@ def boost(cells: list[tuple[int, int, int]], rounds: int = ROUNDS, rate: float =
 
 def calibrate(model: SpanModel, cells: list[tuple[int, int, int, int]], precision: float = PRECISION, support: int = SUPPORT) -> None:
     """Set the thresholds from held-out cells (kind, bits, right, wrong)."""
+    limits(model, [(kind, model.score(packed(kind, bits)), good, bad) for kind, bits, good, bad in cells], precision, support)
+
+
+def limits(model: SpanModel, scored: list[tuple[int, float, int, int]], precision: float = PRECISION, support: int = SUPPORT) -> None:
+    """Set the thresholds from (kind, score, right, wrong): the least score from which on so many are right, and never one that says wrong is likelier; and what they show there."""
     for kind in range(len(KINDS)):
-        own = sorted(((model.score(packed(k, bits)), good, bad) for k, bits, good, bad in cells if k == kind), reverse=True)
+        every = sum(good for k, _, good, _ in scored if k == kind)
+        own = sorted((x[1:] for x in scored if x[0] == kind and x[1] >= 0), reverse=True)
         good = bad = 0
         for i, (score, g, b) in enumerate(own):
             good, bad = good + g, bad + b
             if (i + 1 == len(own) or own[i + 1][0] < score) and good + bad >= support and good >= precision * (good + bad):
                 model.thresholds[kind] = score
+                model.shown[KINDS[kind]] = (good / (good + bad), good / max(1, every))
 
 
-def _cells(texts: DataFrame) -> list[tuple[int, int, int, int]]:
-    """(kind, bits, right, wrong) of the candidates in labelled texts; right is what covers the marked span of its kind and little else."""
-    found = settle(candidates(texts, "text").select("kind", "start", "end", "_found"), "labelled")  # else the optimizer goes through all of it again for each use
-    one = found.select("kind", "start", "end", F.explode("_found").alias("c"))
+def _cells(texts: DataFrame) -> list[tuple[int, int, int, int, int]]:
+    """(fold, kind, bits, right, wrong) of the candidates in labelled texts; right is what covers the marked span of its kind and little else."""
+    found = settle(candidates(texts, "text").select("fold", "kind", "start", "end", "_found"), "labelled")  # else the optimizer goes through all of it again for each use
+    one = found.select("fold", "kind", "start", "end", F.explode("_found").alias("c"))
     right = (F.col("c.kind") == F.col("kind")) & (F.col("start") >= 0) & (F.abs(F.col("c.start") - F.col("start")) <= 2) & (F.abs(F.col("c.end") - F.col("end")) <= 2)
-    counts = one.groupBy("c.kind", "c.bits").agg(F.count_if(right).alias("right"), F.count_if(~right).alias("wrong")).collect()  # a row per kind and combination of features that occurs
+    counts = one.groupBy("fold", "c.kind", "c.bits").agg(F.count_if(right).alias("right"), F.count_if(~right).alias("wrong")).collect()  # a row per fold, kind and combination of features that occurs
     discard(found)
     return [tuple(r) for r in sorted(counts)]
 
@@ -322,12 +334,21 @@ def learned(spark: SparkSession, rows: int = LABELLED) -> SpanModel:
     """The model, grown and calibrated once in a session."""
     key = (spark.sparkContext.applicationId, rows)
     if key not in _models:
-        model = boost([(packed(k, bits), good, bad) for k, bits, good, bad in _cells(labelled(spark, rows, 1))])
-        calibrate(model, _cells(labelled(spark, rows // 2, 2)))
-        _models[key] = model
+        _models[key] = grown(_cells(labelled(spark, rows, 1)))
     return _models[key]
 
 
+def grown(cells: list[tuple[int, int, int, int, int]]) -> SpanModel:
+    """The trees of all cells, with thresholds from the scores that each fold gets from trees of the others."""
+    trees = lambda own: boost([(packed(k, bits), good, bad) for _, k, bits, good, bad in own])
+    model, scored = trees(cells), []
+    for fold in range(FOLDS):
+        part = trees([c for c in cells if c[0] != fold])
+        scored += [(k, part.score(packed(k, bits)), good, bad) for f, k, bits, good, bad in cells if f == fold]
+    limits(model, scored)
+    return model
+
+
 def _selected(model: SpanModel) -> tuple[Column, Column]:
     """(base spans, further spans) from _found, as (kind, start, end) in the order of starts."""
     plain = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
