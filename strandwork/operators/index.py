@@ -67,8 +67,11 @@ def contigs(sequences: DataFrame) -> DataFrame:
 
     The catalogue has a row per contig; g_start comes from subtotals of id ranges, so no task holds all of it.
     """
-    lengths = sequences.select("contig_id", "name", F.length("seq").cast("long").alias("length"))
-    return with_prefix(lengths, "contig_id", "length", "g_start")
+    return with_prefix(_lengths(sequences), "contig_id", "length", "g_start")
+
+
+def _lengths(sequences: DataFrame) -> DataFrame:
+    return sequences.select("contig_id", "name", F.length("seq").cast("long").alias("length"))
 
 
 def with_prefix(rows: DataFrame, key: str, value: str, out: str, ranges: int = 256) -> DataFrame:
@@ -235,7 +238,11 @@ def _registered(spark: SparkSession, path: str, table: str, buckets: int) -> str
 
 def write_index(sequences: DataFrame, path: str, step: int = STEP, seed: int = SEED, buckets: int | None = None) -> None:
     """The tables of an index of ``sequences (contig_id, name, seq)`` below ``path``."""
-    write_tiled_index(contigs(sequences), tiles(sequences).repartition("contig_id", "tile"), path, step, seed, buckets)
+    spark = sequences.sparkSession
+    _lengths(sequences).write.parquet(f"{path}/lengths")  # small, and read several times for the sums before
+    catalogue = with_prefix(spark.read.parquet(f"{path}/lengths"), "contig_id", "length", "g_start")
+    write_tiled_index(catalogue, tiles(sequences).repartition("contig_id", "tile"), path, step, seed, buckets)
+    _delete(spark, f"{path}/lengths")
 
 
 def write_tiled_index(catalogue: DataFrame, tiled: DataFrame, path: str, step: int = STEP, seed: int = SEED, buckets: int | None = None) -> None:
