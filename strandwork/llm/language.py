@@ -5,9 +5,10 @@ layer runs forward and one backward, a softmax labels every byte position, and t
 document's probabilities are the mean over all its positions. The windows keep memory bounded and let
 many positions run at once, whatever the length of a text.
 
-The network is trained in numpy by backpropagation through time over all windows of the texts of
+The network is trained in numpy by backpropagation through time over the windows of the texts of
 a bounded sample of labelled documents: about ``SAMPLE`` per language, picked by a hash of
-the id, for the ``LANGUAGES`` most frequent languages. Both bounds are parameters.
+the id, for the ``LANGUAGES`` most frequent languages. A document of that sample gives all of its windows, or as many as bring the sample to ``MOST_WINDOWS``, spread
+evenly over all of its text. The bounds are parameters.
 
 Defined results: ``und`` with score 0 for null texts and for those without a letter, and for
 all if nothing can be learned; null ids count as not held out and are not learned from; repeated
@@ -29,7 +30,7 @@ from .scratch import release, small_batches
 
 WINDOW = 48
 HIDDEN = 8
-SAMPLE, LANGUAGES = 64, 256
+SAMPLE, LANGUAGES, MOST_WINDOWS = 64, 256, 1 << 19
 #: Steps of training at least.
 STEPS = 128
 #: Windows that run at once.
@@ -158,7 +159,7 @@ def windows_of(text: bytes, window: int) -> np.ndarray:
     return out.reshape(count, window)
 
 
-def train(docs: DataFrame, learnable, *, sample: int = SAMPLE, languages: int = LANGUAGES, window: int = WINDOW, hidden: int = HIDDEN, epochs: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteTagger | None:
+def train(docs: DataFrame, learnable, *, sample: int = SAMPLE, languages: int = LANGUAGES, window: int = WINDOW, hidden: int = HIDDEN, epochs: int = 4, most: int = MOST_WINDOWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteTagger | None:
     """The network learned from the rows of ``docs`` for which the column ``learnable`` is true; None if there are none."""
     spark = docs.sparkSession
     known = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
@@ -170,11 +171,15 @@ def train(docs: DataFrame, learnable, *, sample: int = SAMPLE, languages: int =
     share = F.create_map(*[F.lit(x) for lang in labels for x in (lang, min(1.0, sample / counts[lang]))])
     unit = F.pmod(F.xxhash64(id_col, F.lit("drawn")), F.lit(1 << 30)) / float(1 << 30)
 
+    each = max(1, most // (sample * len(labels)))
+
     def draw(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             out = []
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                out.extend((lang, part.tobytes()) for part in windows_of(text.encode(), window))
+                cut = windows_of(text.encode(), window)
+                some = cut if len(cut) <= each else cut[np.linspace(0, len(cut) - 1, each).astype(int)]
+                out.extend((lang, part.tobytes()) for part in some)
             yield pd.DataFrame(out, columns=["lang", "bytes"])
 
     picked = known.where(unit < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))

@@ -31,11 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import release, small_batches
 from .words import different_chunks
 
 MARK = "▁"
-REMEMBER = 400_000
+#: Bytes that the remembered chunks and segments take at most, each by estimate, beside what one batch adds; and pairs of pieces of some 150 bytes.
+REMEMBER, PAIRS = 64 << 20, 400_000
 #: Characters of a segment above which it is composed by itself.
 LONG = 64
 ROWS = "doc_id long, n_tokens long, n_fallback long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
@@ -69,6 +70,22 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class _Remembered(dict):
+    """Ids by text, with an estimate of their bytes."""
+
+    held = 0
+
+    def take(self, found: dict[str, bytes]) -> None:
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + 200 * len(found)
+        self.update(found)
+
+    def bound(self) -> None:
+        """Empty it beyond ``REMEMBER``."""
+        if self.held > REMEMBER:
+            self.clear()
+            self.held = 0
+
+
 class PieceTransducer:
     """The compiled transducer of a model file."""
 
@@ -95,8 +112,7 @@ class PieceTransducer:
         self.longest = max(map(len, self.ids))
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.surface = [bytes([int(t[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else t.replace(MARK, " ").encode() for t, k in zip(self.text, kinds, strict=True)]
-        self.chunks: dict[str, bytes] = {}
-        self.segments: dict[str, bytes] = {}
+        self.chunks, self.segments = _Remembered(), _Remembered()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.fresh: dict[int, bool] = {}
         self._compile()
@@ -153,7 +169,7 @@ class PieceTransducer:
         """Whether the arc from ``left`` to ``right`` has a finite weight; "" stands for the start."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= 4 * REMEMBER:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return known
@@ -235,6 +251,8 @@ class PieceTransducer:
                 at, place, room, node = at[more], place[more], room[more], node[more]
                 if not len(at):
                     break
+        if len(self.pair_keys) > 10 * PAIRS:  # 9 bytes each
+            self.pair_keys, self.pair_finite = np.empty(0, np.int64), np.empty(0, bool)
         if self.fresh:
             keys = np.concatenate([self.pair_keys, np.fromiter(self.fresh, np.int64, len(self.fresh))])
             finite = np.concatenate([self.pair_finite, np.fromiter(self.fresh.values(), bool, len(self.fresh))])
@@ -258,7 +276,7 @@ class PieceTransducer:
     def _long(self, text: str) -> bytes:
         out: list[int] = []
         for piece in self.shortest(text):
-            out.extend([self.ids[piece]] if piece in self.ids else [self.fallback[b] for b in piece.encode()])
+            out.extend([self.ids[piece]] if piece in self.ids else [self.fallback[b] for b in piece.encode("utf-8", "surrogatepass")])
         return np.array(out, "<u4").tobytes()
 
     def _known(self, chunks: list[str]) -> list[bytes]:
@@ -274,21 +292,17 @@ class PieceTransducer:
         cut[ends - 1] = True
         stops = np.flatnonzero(cut) + 1
         parts = [text[a:z] for a, z in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
-        if len(self.segments) > REMEMBER:
-            self.segments.clear()
+        self.segments.bound()
         fresh = list({p: None for p in parts if p not in self.segments})
-        for p in fresh:
-            if len(p) > LONG:
-                self.segments[p] = self._long(p)
+        self.segments.take({p: self._long(p) for p in fresh if len(p) > LONG})
         short = [p for p in fresh if len(p) <= LONG]
         for i in range(0, len(short), 100_000):
-            self.segments.update(zip(short[i : i + 100_000], self._shortest_all(short[i : i + 100_000]), strict=True))
+            self.segments.take(dict(zip(short[i : i + 100_000], self._shortest_all(short[i : i + 100_000]), strict=True)))
         ids = list(map(self.segments.__getitem__, parts))
         owner = np.concatenate([[0], np.searchsorted(stops, ends) + 1]).tolist()
         found = {c: ids[a] if z - a == 1 else b"".join(ids[a:z]) for c, a, z in zip(missing, owner[:-1], owner[1:], strict=True)}
-        if len(self.chunks) > REMEMBER:
-            self.chunks.clear()
-        self.chunks.update(found)
+        self.chunks.bound()
+        self.chunks.take(found)
         return [found[c] if got is None else got for c, got in zip(chunks, out, strict=True)]
 
     def encode(self, text: str | None) -> bytes:
@@ -335,6 +349,7 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
             at = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(got), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, "doc_id long, ids array<int>")
 
@@ -347,6 +362,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             texts = [None if ids is None else transducer_of(model).decode(np.array(ids, "<u4").tobytes()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        release()
 
     return encoded.select("doc_id", "ids").mapInArrow(each, "doc_id long, text string")
 
@@ -369,5 +385,6 @@ def piece_digests(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(fallback, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())],
                 names=[c.split()[0] for c in ROWS.split(", ")],
             )
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, ROWS)

@@ -543,7 +543,22 @@ def test_pipeline(spark, docs, tmp_path):
     got = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
     kept = {r["doc_id"] for r in got}
     assert not kept & {0, 1, 2, 6, 8, 10, 13} and 9 in kept
-    assert len(got) == sum(r["start"] == 0 for r in got) + sum(r["start"] > 0 for r in got)
+    # Each kept text, redacted, lies whole in its pieces, and each sequence is filled from its start without gaps.
+    from tokenizers import Tokenizer
+
+    plain, parts, sequences = Tokenizer.from_file(BYTE_BPE), collections.defaultdict(list), collections.defaultdict(list)
+    redacted = {r["doc_id"]: r["text"] for r in rows_of(pii.redact(docs.where("start = 1 and doc_id is not null")))}
+    for r in got:
+        parts[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, own in parts.items():
+        ids, at = np.array([*plain.encode(redacted[i], add_special_tokens=False).ids, 0], "<u4"), 0
+        for start, length, crc, total in sorted(own):
+            assert start == at and crc == zlib.crc32(ids[at : at + length].tobytes()) and total == len(ids)
+            at += length
+        assert at == len(ids)
+    for own in sequences.values():
+        assert [a for a, _ in sorted(own)] == list(np.cumsum([0, *[n for _, n in sorted(own)]])[:-1]) and sum(n for _, n in own) <= 1024
 
 
 def test_pipeline_stages_on_odd_tables(spark):
