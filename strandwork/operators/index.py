@@ -278,7 +278,10 @@ def read_index(spark: SparkSession, path: str, seed: int | None = SEED) -> Index
     if meta["format_version"] != FORMAT or seed not in (None, meta["seed_length"]):
         raise ValueError(f"the index has seeds of {meta['seed_length']} bases in format {meta['format_version']}")
     plain = {t: spark.read.parquet(f"{path}/{t}") for t in ("contigs", "tiles")}
-    bucketed = {t: spark.table(_registered(spark, f"{path}/{t}", t, meta["buckets"])) for t in _BUCKETED}
+    names = {t: _registered(spark, f"{path}/{t}", t, meta["buckets"]) for t in _BUCKETED}
+    for name in names.values():
+        spark.catalog.refreshTable(name)  # in case the folder was written anew
+    bucketed = {t: spark.table(name) for t, name in names.items()}
     return Index(plain | bucketed, meta["seed_length"], meta["step"], meta["buckets"])
 
 

@@ -1,4 +1,4 @@
-"""Where the mapping queries keep what they share: below ``spark.checkpoint.dir``, which the driver and all executors see."""
+"""Where tables are kept that several steps or queries read: below ``spark.checkpoint.dir``, which the driver and all executors see."""
 
 from __future__ import annotations
 
@@ -42,8 +42,10 @@ def made_once(spark: SparkSession, source: str, tag: str, make: Callable[[str],
         except Exception:
             store.delete(jvm.org.apache.hadoop.fs.Path(own), True)
             raise
-        if not store.rename(jvm.org.apache.hadoop.fs.Path(own), target) and not store.exists(target):
-            raise OSError(f"{own} can't be moved to {place}")
+        if not store.rename(jvm.org.apache.hadoop.fs.Path(own), target):
+            if not store.exists(target):
+                raise OSError(f"{own} can't be moved to {place}")
+            store.delete(jvm.org.apache.hadoop.fs.Path(own), True)  # another run was first
     return place
 
 

@@ -122,11 +122,10 @@ def write_sam(records: DataFrame, contigs: DataFrame, path: str, reads: DataFram
     else:
         names = outputs([r[0] for r in reads.select("file").distinct().collect()])  # a row for each input file
         bases = list(names.values())
-        given = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.lit(None)
-        named = records.join(reads.select("read_id", given[F.col("file")].alias("_base")), "read_id") if names else records.withColumn("_base", F.lit(name))
+        named = records.join(reads.select("read_id", "file").join(spark.createDataFrame(list(names.items()), "file string, _base string"), "file").drop("file"), "read_id")
     ending = lambda base, part: F.concat(base, F.format_string("_%04d.sam.gz", part) if parts > 1 else F.lit(".sam.gz"))
     own = sam_lines(named.withColumn("out", ending(F.col("_base"), F.pmod(F.xxhash64("read_id"), F.lit(parts)).cast("int"))), "out").select("out", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), "value")
-    each = F.explode(F.array(*[F.lit(b) for b in bases])).alias("_base")
+    each = F.explode(F.array(*[F.lit(b) for b in bases]).cast("array<string>")).alias("_base")
     heads = sam_header(contigs).select("n", "value", each).select("n", "value", "_base", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
     heads = heads.select(ending(F.col("_base"), F.col("_part")).alias("out"), F.lit(0).alias("kind"), "n", "value")
     dealt = heads.unionByName(own).repartition(max(1, len(bases) * parts), "out").sortWithinPartitions("out", "kind", "n")
