@@ -71,7 +71,7 @@ def test_spans_and_words(docs):
 def test_languages_and_models(docs):
     tagged = by_id(language.predict_languages(docs))
     assert tagged[2]["lang_pred"] == tagged[3]["lang_pred"] == "und" and tagged[0]["lang_pred"] == "en"
-    scored = by_id(word_model.score_documents(docs, F.col("doc_id") == 6, symbols=32, classes=4, rounds=1))
+    scored = by_id(word_model.score_documents(docs, F.col("doc_id").isin(0, 6), symbols=32, classes=4, rounds=1))
     assert [scored[i]["n_tokens"] for i in range(5)] == [200_001, 2, 1, 1, 7] and all(r["score"] < 0 for r in scored.values())
 
 
