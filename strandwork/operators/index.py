@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,11 +74,18 @@ def _lengths(sequences: DataFrame) -> DataFrame:
     return sequences.select("contig_id", "name", F.length("seq").cast("long").alias("length"))
 
 
-def with_prefix(rows: DataFrame, key: str, value: str, out: str, ranges: int = 256) -> DataFrame:
+def _below(key: Column, bounds: list[int], first: int = 0) -> Column:
+    """How many of the ascending ``bounds`` lie below the key, by halving."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(key <= bounds[mid], _below(key, bounds[:mid], first)).otherwise(_below(key, bounds[mid + 1 :], first + mid + 1))
+
+
+def with_prefix(rows: DataFrame, key: str, value: str, out: str, ranges: int = 64) -> DataFrame:
     """``rows`` with the sum of ``value`` over all smaller keys: within ranges of about equal counts of keys, plus the subtotals of earlier ranges."""
     cuts = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]  # a number per range
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or ()))]).cast("array<long>")
-    ranged = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(key))))
+    ranged = rows.withColumn("_range", _below(F.col(key), sorted(set(cuts or ()))))
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     own = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

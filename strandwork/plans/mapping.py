@@ -52,17 +52,26 @@ def complete(reads: DataFrame, errors: int, seed: int = SEED) -> DataFrame:
     return reads.select("read_id", (F.length("seq") >= (seed + FURTHER) * (errors + 1)).alias("complete"))
 
 
-def explain_read(index: Index, reads: DataFrame, read_id: int, contig_id: int, pos: int, errors: int = 4, seed: int | None = None) -> DataFrame:
-    """Seed hits of one read near one place: strand, ls, j, seed, start, passes (the flank filter)."""
+def explain_reads(index: Index, reads: DataFrame, places: DataFrame, errors: int = 4, seed: int | None = None) -> DataFrame:
+    """What the seeds of reads say of ``places (read_id, contig_id, at)``: these with strand, ls, j, seed, start (where the read would begin, within ``errors`` of ``at``) and passes (the flank filter).
+
+    All seeds of the reads are looked up, rare or not.
+    """
     seed = index.own_seed(seed)
-    strands = seeding.oriented(reads.where(F.col("read_id") == read_id))
+    strands = seeding.oriented(reads.join(places.select("read_id"), "read_id", "left_semi"))
     subs = seeding.counted(seeding.sub_seeds(seeding.long_seeds(strands, seed), seed), index["seed_count"]).where("blocks > 0")
-    subs = seeding.located(subs, index)
-    found = seeding.seed_hits(subs, seeding.pruned(index, subs), index.buckets).where(F.col("contig_id") == contig_id)
+    asked = settle(seeding.located(subs, index), "probes")
+    found = seeding.seed_hits(asked, seeding.pruned(index, asked), index.buckets)
     start = F.col("pos") - (F.col("ls") * (seed + FURTHER) + F.col("j"))
-    near = found.withColumn("start", start).where(F.abs(F.col("start") - pos) <= errors)
     passes = flank_part(F.col("flank"), F.lit(FURTHER) - F.col("j")) == residual_code(F.col("resid"))
-    return near.select("strand", "ls", "j", "seed", "start", passes.alias("passes"))
+    near = found.withColumn("start", start).join(places, ["read_id", "contig_id"]).where(F.abs(F.col("start") - F.col("at")) <= errors)
+    return near.select("read_id", "contig_id", "at", "strand", "ls", "j", "seed", "start", passes.alias("passes"))
+
+
+def explain_read(index: Index, reads: DataFrame, read_id: int, contig_id: int, pos: int, errors: int = 4, seed: int | None = None) -> DataFrame:
+    """``explain_reads`` of one read near one place: strand, ls, j, seed, start, passes."""
+    place = reads.sparkSession.createDataFrame([(read_id, contig_id, pos)], "read_id long, contig_id long, at long")
+    return explain_reads(index, reads, place, errors, seed).select("strand", "ls", "j", "seed", "start", "passes")
 
 
 def sam(index: Index, reads: DataFrame, errors: int = 4, n_policy: str = "as-a") -> DataFrame:

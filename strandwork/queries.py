@@ -101,6 +101,12 @@ def _hit_places(p: _Plan) -> DataFrame:
     return report.locate(points, p.index["contigs"])
 
 
+def _explained(p: _Plan) -> DataFrame:
+    """The seeds of each read near the starts of its hits."""
+    places = p.verified().select("read_id", "contig_id", (F.col("end") - F.length("seq")).alias("at")).distinct()
+    return mapping.explain_reads(p.index, p.reads, places, ERRORS).select("read_id", "contig_id", "at", *[F.col(c).cast("long").alias(c) for c in ("strand", "ls", "j")], "seed", "start", "passes")
+
+
 def _text_files(rows: DataFrame, tag: str) -> list[str]:
     """``rows (value)`` as text files in the shared folder."""
     folder = new_folder(rows.sparkSession, tag)
@@ -163,6 +169,7 @@ QUERIES: dict[str, Callable[[_Plan], DataFrame]] = {
     "genome_length": lambda p: p.index["contigs"].agg(F.count("*").alias("contigs"), F.sum("length").alias("bases")),
     "sam_records": lambda p: report.sam_lines(p.sam()),
     "hit_places": _hit_places,
+    "explained": _explained,
     "file_tiles": _file_tiles,
     "file_reads": _file_reads,
     "sam_file": _sam_file,
@@ -264,6 +271,7 @@ def oracle_sql() -> dict[str, str]:
         "cigar": _sql("cigars", 'read_id, strand, contig_id, pos, "end", nm, cigar'),
         "sam_records": _sql("sam_lines"),
         "hit_places": _sql("found").removesuffix(" SELECT * FROM found ") + ' SELECT read_id, strand, g_start + "end" - 1 AS g_pos, contig_id, "end" - 1 AS pos FROM found JOIN contigs USING (contig_id)',
+        "explained": _sql("found").removesuffix(" SELECT * FROM found ") + f" SELECT p.read_id, p.contig_id, p.at, s.strand, s.ls, s.j, s.seed, x.pos - (s.ls * {SEED + FURTHER} + s.j) AS start, substr(x.left3 || x.right3, 4 - s.j, 3) = s.resid AS passes FROM (SELECT DISTINCT found.read_id, found.contig_id, \"end\" - length(reads.seq) AS at FROM found JOIN reads USING (read_id)) p JOIN subs s ON s.read_id = p.read_id JOIN positions x ON x.seed = s.seed AND x.contig_id = p.contig_id WHERE abs(x.pos - (s.ls * {SEED + FURTHER} + s.j) - p.at) <= {ERRORS}",
         "file_tiles": seqs + tile,
         "file_reads": _sql("reads", "name, seq, qual"),
         "sam_file": _sql("sam_lines") + f" UNION ALL SELECT value FROM ({header}) CROSS JOIN range(2)",

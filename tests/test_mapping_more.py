@@ -129,10 +129,10 @@ def test_the_index_is_not_moved_by_joins(spark, index):
 
 
 def test_few_reads_read_few_pages(spark, tmp_path):
-    text = "".join(rng.choice("ACGT") for _ in range(1_200_000))
-    table = spark.createDataFrame([(i, f"c{i}", text[i * 100_000 : (i + 1) * 100_000]) for i in range(12)], "contig_id long, name string, seq string").repartition(6)
+    text = "".join(rng.choice("ACGT") for _ in range(600_000))
+    table = spark.createDataFrame([(i, f"c{i}", text[i * 50_000 : (i + 1) * 50_000]) for i in range(12)], "contig_id long, name string, seq string").repartition(6)
     index = mapping.build_index(spark, table, str(tmp_path / "i"), buckets=4)
-    reads = reads_of(spark, [text[k * 100_000 + 700 : k * 100_000 + 790] for k in range(10)])
+    reads = reads_of(spark, [text[k * 100_000 + 700 : k * 100_000 + 790] for k in range(5)])
     asked = settle(seeding.located(seeding.probes(seeding.oriented(reads), index, 4), index), "probes")
     pruned = seeding.pruned(index, asked)
     met = seeding.seed_hits(asked, pruned, index.buckets)
