@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes that a memo holds at most, its keys, values and table together; then it starts anew.
-MEMO_BYTES = 192 << 20
+MEMO_BYTES = 128 << 20
 #: A place between two chunks that no pre-token can span: one space after and before visible text.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: Characters whose normal form and lower case are a matter of one character.
