@@ -67,14 +67,14 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         count += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = 1024, grain: int = 256, windows: int = 24, slack: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = 1024, grain: int = 256, windows: int = 24, slack: int = 16, memo: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``memo``: bytes of pre-tokens that a worker remembers."""
     small_batches(docs.sparkSession)
     fill = capacity - slack
     full = windows * fill
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, serial = encoder_of(tokenizer, True), TaskContext.get().partitionId() << 33
+        encoder, serial = encoder_of(tokenizer, True, memo=memo), TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4").tobytes()
         done: list[tuple] = []
         waiting: list[tuple] = []  # doc_id, start, ids, doc_tokens

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes that a memo holds at most, its keys, values and table together; then it starts anew.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 192 << 20
 #: A place between two chunks that no pre-token can span: one space after and before visible text.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: Characters whose normal form and lower case are a matter of one character.
@@ -62,7 +62,7 @@ class ChunkEncoder:
     drops white space and lower-cases. ``special_as_text``: the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, spaced: bool, special_as_text: bool = False) -> None:
+    def __init__(self, path: str, spaced: bool, special_as_text: bool = False, memo: int | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -75,7 +75,7 @@ class ChunkEncoder:
         self.spaced = spaced
         self.pattern = regex.compile(SPACED_PATTERN if spaced else WORD_PATTERN)
         self.letters = byte_letters()
-        self.pre = Memo()
+        self.pre = Memo(memo)
 
     def _pre(self, pre: str) -> bytes:
         seen = pre.encode().decode("latin-1").translate(self.letters)
@@ -144,6 +144,6 @@ def different_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]
 
 
 @functools.lru_cache(maxsize=1)
-def encoder_of(path: str, spaced: bool, special_as_text: bool = False) -> ChunkEncoder:
-    """One encoder for all tasks of a Python worker."""
-    return ChunkEncoder(path, spaced, special_as_text)
+def encoder_of(path: str, spaced: bool, special_as_text: bool = False, memo: int | None = None) -> ChunkEncoder:
+    """One encoder for all tasks of a Python worker. ``memo``: bytes of remembered pre-tokens, ``MEMO_BYTES`` unless told."""
+    return ChunkEncoder(path, spaced, special_as_text, memo)
