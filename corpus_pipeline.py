@@ -17,6 +17,8 @@ from strandwork.llm import exact_dedup, language, packing, pii, queries, scratch
 
 #: Mean probability of the best language below which a document is no text of any learned language.
 LEAST_SCORE = 0.4
+#: Bytes of pre-tokens that a worker remembers while it packs.
+MEMO = 64 << 20
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs, queries.BYTE_BPE)
+    """The pieces of all documents in sequences of at most 1024 tokens. Workers keep what other stages have left in them, so they remember less."""
+    return packing.pack(docs, queries.BYTE_BPE, memo=MEMO)
 
 
 STAGES = [("language", language_stage), ("exact-dedup", exact_stage), ("near-dedup", near_stage), ("pii", pii_stage), ("packing", packing_stage)]
