@@ -36,7 +36,7 @@ from .words import different_chunks
 
 MARK = "▁"
 #: Bytes that the remembered chunks and segments take at most, each by estimate, beside what one batch adds; and pairs of pieces of some 150 bytes.
-REMEMBER, PAIRS = 64 << 20, 400_000
+REMEMBER, PAIRS = 128 << 20, 400_000
 #: Characters of a segment above which it is composed by itself.
 LONG = 64
 ROWS = "doc_id long, n_tokens long, n_fallback long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
