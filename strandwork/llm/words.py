@@ -29,6 +29,8 @@ PLAIN = re.compile(r"[\t-\r -~\xa0-įı-ž]*\Z")
 # The pre-token patterns of the two public vocabularies.
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that are a pre-token by themselves after letters at a chunk's end.
+STOPS = ".,;:!?"
 #: White space as Python's str.isspace has it, at an end of a chunk or as all of it.
 _EDGE = r"^$|^[\s\v\x1c-\x1f\x85\pZ]|[\s\v\x1c-\x1f\x85\pZ]$"
 
@@ -78,23 +80,36 @@ class ChunkEncoder:
         self.pre = Memo(memo)
 
     def _pre(self, pre: str) -> bytes:
-        seen = pre.encode().decode("latin-1").translate(self.letters)
+        if pre.isascii() and pre.isprintable():  # these stand for themselves, but for the space
+            seen = pre.replace(" ", chr(self.letters[32]))
+        else:
+            seen = pre.encode().decode("latin-1").translate(self.letters)
         return self.pre.put(pre, array("I", [t.id for t in self.model.tokenize(seen)]).tobytes())
 
     def _chunk(self, chunk: str) -> bytes:
-        if not self.spaced:
-            if not PLAIN.match(chunk):
-                return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-            chunk = chunk.lower()
-        got = self.pre.get(chunk)
+        got = self.pre.get(chunk)  # what is remembered is plain, and lower-cased if need be
         if got is not None:
             return got
-        if chunk.isascii() and (chunk[1:] if self.spaced and chunk[:1] == " " else chunk).isalpha():
-            return self._pre(chunk)
-        if self.spaced and not PLAIN.match(chunk):
+        plain = chunk.isascii() and (chunk[1:] if self.spaced and chunk[:1] == " " else chunk).isalpha()
+        if not plain and not PLAIN.match(chunk):
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if not self.spaced:
+            chunk = chunk.lower()
+            got = self.pre.get(chunk)
+            if got is not None:
+                return got
+        word = chunk[1:] if self.spaced and chunk[:1] == " " else chunk
+        if word.isalpha():
+            return self._pre(chunk)
+        if word[-1:] in STOPS and word[:-1].isalpha():
+            head, stop = chunk[:-1], chunk[-1]
+            return (self.pre.get(head) or self._pre(head)) + (self.pre.get(stop) or self._pre(stop))
         return b"".join([self.pre.get(pre) or self._pre(pre) for pre in self.pattern.findall(chunk)])
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        get, chunk = self.pre.get, self._chunk
+        return [get(c) or chunk(c) for c in chunks]
+
     def _plain_bytes(self, text: str) -> bytes:
         return b"".join(map(self._chunk, SAFE.split(text) if self.spaced else text.split(" ")))
 
@@ -112,7 +127,7 @@ class ChunkEncoder:
         that isn't a single space between visible characters, is cut at the safe places.
         """
         many, codes, ends = different_chunks(texts)
-        chunks = many.to_pylist()
+        chunks = many.to_numpy(zero_copy_only=False).tolist()  # far faster than a scalar each
         firsts = np.zeros(len(codes), bool)
         firsts[ends[:-1][np.diff(ends) > 0]] = True
         odd = np.zeros(len(texts), bool)
@@ -123,10 +138,10 @@ class ChunkEncoder:
             before = np.concatenate([[0], np.cumsum(unsafe[codes])])
             odd |= before[ends[1:]] > before[ends[:-1]]
             own, codes_of_firsts = np.unique(codes[firsts], return_inverse=True)
-            led = [self._chunk(" " + c) for c in chunks] + [self._chunk(chunks[i]) for i in own]
+            led = self._chunks([" " + c for c in chunks] + [chunks[i] for i in own])
             codes[firsts] = len(chunks) + codes_of_firsts
         else:
-            led = list(map(self._chunk, chunks))
+            led = self._chunks(chunks)
         at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, led), np.int64, len(led)))])
         ids = pa.LargeListArray.from_arrays(pa.array(at // 4), pa.array(np.frombuffer(b"".join(led), "<u4"))).take(pa.array(codes))
         where = ids.offsets.to_numpy()[ends] * 4 if len(codes) else np.zeros(len(texts) + 1, np.int64)
