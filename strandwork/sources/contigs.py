@@ -24,6 +24,8 @@ from ..functions.dna import SEED
 from .sequences import store
 
 SPLIT_BYTES, READ_BYTES = 64 << 20, 1 << 20
+#: Ranges that have a task each; more of them are dealt to as many tasks, or to tasks of ``SPLIT_BYTES`` if these are more.
+MOST_TASKS = 256
 _BLANK = b" \t\r\n\v\f"
 #: Bases in upper case, and N for what isn't one.
 _GENOME = bytes(b if b in b"ACGT" else b - 32 if b in b"acgt" else ord("N") for b in range(256))
@@ -39,27 +41,27 @@ class Text:
         else:
             self.raw = system.open_input_file(inner)
             self.raw.seek(at)
-        self.at, self.held, self.ended = at, b"", False
+        self.at, self.held, self.next, self.ended = at, b"", 0, False  # ``next``: the place in what is held
 
     def _more(self) -> None:
-        if not self.held and not self.ended:
-            self.held = self.raw.read(READ_BYTES)
+        if self.next == len(self.held) and not self.ended:
+            self.held, self.next = self.raw.read(READ_BYTES), 0
             self.ended = not self.held
 
     def first(self) -> bytes:
         """The next byte, which stays; empty at the end."""
         self._more()
-        return self.held[:1]
+        return self.held[self.next : self.next + 1]
 
     def part(self, stop: int | None) -> tuple[bytes, bool]:
         """Bytes of the line that goes on here, none from ``stop`` on, and whether its end (which is taken) is among them."""
         self._more()
-        end = self.held.find(b"\n")
-        size = end + 1 if end >= 0 else len(self.held)
+        end = self.held.find(b"\n", self.next)
+        size = (end + 1 if end >= 0 else len(self.held)) - self.next
         if stop is not None:
             size = min(size, stop - self.at)
-        out, self.held = self.held[:size], self.held[size:]
-        self.at += size
+        out = self.held[self.next : self.next + size]
+        self.next, self.at = self.next + size, self.at + size
         return out, out.endswith(b"\n")
 
     def line(self) -> bytes:
@@ -115,12 +117,15 @@ def _segments(path: str, start: int, stop: int | None) -> Iterator[tuple[int, st
 
 
 def _splits(spark: SparkSession, paths: list[str], split_bytes: int) -> tuple[DataFrame, int]:
-    """file, split, path, start, stop of each range, dealt one to a task, and how many there are. A gzip file has no stop."""
+    """file, split, path, start, stop of each range, dealt to tasks, and how many tasks there are. A gzip file has no stop.
+
+    The tasks, and with them what the driver keeps of them, grow with the bytes and not with the ranges.
+    """
     sizes = []
     for path in paths:
         system, inner = store(path)
         sizes.append(0 if path.endswith(".gz") else system.get_file_info(inner).size)
-    many = sum(max(1, -(-size // split_bytes)) for size in sizes)
+    many = min(sum(max(1, -(-size // split_bytes)) for size in sizes), max(MOST_TASKS, -(-sum(sizes) // SPLIT_BYTES)))
     files = spark.createDataFrame([(i, p, s) for i, (p, s) in enumerate(zip(paths, sizes))], "file int, path string, size long")
     at = F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("split", "start")
     rows = files.select("file", "path", "size", at).select("file", "split", "path", "start", F.when(~F.col("path").endswith(".gz"), F.least(F.col("start") + split_bytes, "size")).alias("stop"))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork import __main__ as command
+from strandwork import queries
 from strandwork.functions import dna
 from strandwork.operators import index as ix
 from strandwork.operators import report, seeding, verify
@@ -260,6 +261,26 @@ def test_one_contig_is_cut_by_many_tasks(spark, tmp_path):
     assert sorted(map(tuple, found.drop("task").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_many_ranges_are_dealt_to_few_tasks(spark, tmp_path):
+    text = "".join(rng.choice("ACGT") for _ in range(40_000))
+    (tmp_path / "one.fa").write_text(">one\n" + text)
+    path = [str(tmp_path / "one.fa")]
+    found = contigs.scanned(spark, path, 50)  # 801 ranges
+    assert found.rdd.getNumPartitions() <= contigs.MOST_TASKS
+    placed = settle(contigs.placed(found), "placed")
+    assert placed.select("split").distinct().count() == 801
+    cut = contigs.tiles_of(spark, path, placed, 50)
+    assert cut.rdd.getNumPartitions() <= contigs.MOST_TASKS
+    want = ix.tiles(spark.createDataFrame([(0, "one", text)], "contig_id long, name string, seq string"))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_queries_of_files_and_reads_build_no_index(spark, monkeypatch):
+    monkeypatch.setattr(queries, "built_index", lambda *a: pytest.fail("an index was built"))
+    for name in ("file_tiles", "file_reads", "revcomp_reads", "read_long_seeds", "read_sub_seeds"):
+        assert queries.queries()[name](spark, "/root/testdata/sf0.001").columns
+
+
 def test_sam_files(spark, index, tmp_path):
     texts = [drawn(0, 100 * k, 90, k % 3) for k in range(12)] + ["AC" * 45]
     reads = reads_of(spark, texts).withColumn("name", F.lit("same")).withColumn("file", F.when(F.col("read_id") < 5, "/in/a/x.fq").otherwise("/in/b/x.fq"))
