@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.index import OVERLAP, STEP, TILE, Index, read_index, with_prefix, write_tiled_index
+from ..operators.index import GENOME_BYTES, OVERLAP, STEP, TILE, TILE_COLUMNS, TILES, Index, in_batches, read_index, with_prefix, write_tiled_index
 from ..functions.dna import SEED
 from .sequences import store
 
@@ -27,8 +27,6 @@ SPLIT_BYTES, READ_BYTES = 64 << 20, 1 << 20
 #: Ranges that have a task each; more of them are dealt to as many tasks, or to tasks of ``SPLIT_BYTES`` if these are more.
 MOST_TASKS = 256
 _BLANK = b" \t\r\n\v\f"
-#: Bases in upper case, and N for what isn't one.
-_GENOME = bytes(b if b in b"ACGT" else b - 32 if b in b"acgt" else ord("N") for b in range(256))
 
 
 class Text:
@@ -204,9 +202,6 @@ class Cutter:
         self.at += done
 
 
-_TILES = pa.schema([("contig_id", pa.int64()), ("tile", pa.int32()), ("start", pa.int64()), ("size", pa.int32()), ("before", pa.string()), ("body", pa.string()), ("after", pa.string())])
-
-
 def _tiles(path: str, start: int, stop: int | None, header: bool, contig: int, at: int, tile: int, overlap: int) -> Iterator[tuple]:
     """The tiles of a byte range that begins ``at`` bases into ``contig`` (below 0: before the first), or in a header."""
     text, line_start = _open(path, start, stop)
@@ -233,7 +228,7 @@ def _tiles(path: str, start: int, stop: int | None, header: bool, contig: int, a
             cutter = Cutter(contig, 0, tile, overlap)
             continue
         part, line_start = text.part(stop if inside else None)
-        bases = part.translate(_GENOME, _BLANK)
+        bases = part.translate(GENOME_BYTES, _BLANK)
         seen += len(bases)
         if cutter:
             yield from cutter.give(bases)
@@ -256,17 +251,10 @@ def tiles_of(spark: SparkSession, paths: list[str], found: DataFrame, split_byte
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                held = []
                 cut_tiles = _outside(row, tile, overlap) if row["outside"] else _tiles(row["path"], row["start"], row["stop"], row["header"], row["contig"], row["at"], tile, overlap)
-                for one in cut_tiles:
-                    held.append(one)
-                    if len(held) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _TILES)], schema=_TILES)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _TILES)], schema=_TILES)
-
-    return plan.mapInArrow(cut, "contig_id long, tile int, start long, size int, before string, body string, after string")
+                yield from in_batches(cut_tiles, TILES)
+
+    return plan.mapInArrow(cut, TILE_COLUMNS)
 
 
 def _outside(row: dict, tile: int, overlap: int) -> Iterator[tuple]:

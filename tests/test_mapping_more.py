@@ -261,6 +261,22 @@ def test_one_contig_is_cut_by_many_tasks(spark, tmp_path):
     assert sorted(map(tuple, found.drop("task").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_letters_by_bytes_and_seeds_counted_from_tiles(spark, genome, tmp_path):
+    texts = [None, "", "Zz yY aBc-1", "\u00e4z\u017f\u212aQ \U0001f600 x", "".join(map(chr, range(32, 127)))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = spark.createDataFrame(list(enumerate(texts)), "contig_id long, text string").select("contig_id", F.concat(F.lit("doc"), F.col("contig_id").cast("string")), dna.letters_as_dna(F.col("text")))
+    assert sorted(map(tuple, queries.sequences(spark, str(tmp_path)).collect())) == sorted(map(tuple, want.collect()))
+    tiled = ix.tiles(genome)
+    for seed, step in ((12, 4), (10, 4), (1, 1)):
+        assert sorted(map(tuple, ix.count_seeds(tiled, step, seed).collect())) == sorted(map(tuple, ix.seed_counts(ix.seed_flanks(tiled, step, seed)).collect()))
+
+
+def test_words_and_counts_need_no_posting_lists(spark, monkeypatch):
+    monkeypatch.setattr(ix, "write_lists", lambda *a, **k: pytest.fail("lists were written"))
+    for name in ("base_words", "seed_offsets", "seed_histogram_short", "locate", "rare_seeds"):
+        assert queries.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
 def test_many_ranges_are_dealt_to_few_tasks(spark, tmp_path):
     text = "".join(rng.choice("ACGT") for _ in range(40_000))
     (tmp_path / "one.fa").write_text(">one\n" + text)
