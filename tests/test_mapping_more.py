@@ -129,6 +129,27 @@ def test_the_index_is_not_moved_by_joins(spark, index):
         assert side
 
 
+def test_posting_lists_are_not_sorted_by_joins(spark, index):
+    strands = seeding.oriented(reads_of(spark, [drawn(0, 50 * k, 90) for k in range(50)]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = settle(seeding.located(seeding.probes(strands, index, 4), index), "probes")
+        plan = plan_of(seeding.seed_hits(asked, index["postings"], index.buckets))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and len(re.findall(r"\bSort \[", plan)) == 1, plan  # the probes alone
+
+
+def test_ranges_and_buckets_grow_with_the_genome(spark, genome, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "TASK_PLACES", 300)
+    index = mapping.build_index(spark, genome, str(tmp_path / "i"))
+    want = sorted(map(tuple, ix.seed_positions(ix.tiles(genome)).collect()))
+    assert index.buckets == -(-(sum(map(len, GENOME)) // 4) // 300) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, index["seed_pos"].collect())) == want
+    counts = {r.seed: r.n for r in index["seed_count"].collect()}
+    assert sum(counts.values()) == len(want)
+
+
 def test_few_reads_read_few_pages(spark, tmp_path):
     text = "".join(rng.choice("ACGT") for _ in range(600_000))
     table = spark.createDataFrame([(i, f"c{i}", text[i * 50_000 : (i + 1) * 50_000]) for i in range(12)], "contig_id long, name string, seq string").repartition(6)
