@@ -10,7 +10,9 @@ It is trained in numpy by backpropagation truncated to ``WINDOW`` steps, on ever
 In each of ``ROUNDS`` rounds every task goes on from the same network over its share of the fold, and the networks
 are averaged by the words they saw: first by groups of tasks, so that the driver gets as many as the root of the shuffle partitions.
 Scoring reads every word of every text; the state is carried from window to
-window, and documents stand one after another in ``LANES`` lanes with the state cleared between them.
+window, and documents stand one after another in ``LANES`` lanes with the state cleared between them. Batches are encoded and
+scored in groups of ``TOGETHER`` bytes, as each call looks up the frequent words anew and its last lanes wait for its longest text;
+the fewer lanes are left, the longer is a window.
 
 Words among the most frequent are looked up in a table that goes to all tasks and is bounded in words (``FREQUENT``) and bytes (``FREQUENT_BYTES``);
 what is rarer or longer leaves the task once per document and word, and is joined with the counts by a
@@ -42,6 +44,10 @@ SYMBOLS, CLASSES, HIDDEN, WINDOW, LANES = 1024, 32, 16, 32, 1024
 ROUNDS, RATE = 4, 0.01
 #: Symbols that a task gathers before it trains on them, and steps of training that so many are to give at least.
 GATHERED, STEPS = 1 << 20, 128
+#: Bytes of batches that are encoded and scored together: what is set up for each call, and lanes that wait for a long text, count less.
+TOGETHER = 8 << 20
+#: Scores under this bound are exponentiated as they are.
+SAFE = 60.0
 _END, _RARE = 0, 1
 
 
@@ -59,103 +65,123 @@ class WordModel:
         out.hidden, out.size, out.w = self.hidden, self.size, {k: v.copy() for k, v in self.w.items()}
         return out
 
-    def states(self, before: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def states(self, before: np.ndarray, state: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """(time, h + 1, lanes) after each of the symbols ``before`` (time, lanes); an end clears the state that comes before it."""
         h, (time, lanes) = self.hidden, before.shape
         out = np.ones((time, h + 1, lanes), np.float32)
-        x, u = self.w["x"], self.w["u"]
-        for t in range(time):
-            going = (before[t] != _END).astype(np.float32)
-            was = state * going
-            a, r = np.take(x, before[t], axis=1, mode="clip"), u @ was
-            gates = a[: 2 * h]  # a sigmoid is half a tanh of half, and a half
-            gates += r[: 2 * h]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            z, q = gates[:h], gates[h:]
-            n = a[2 * h :]
-            n += q * r[2 * h :]
-            np.tanh(n, out=n)
-            state = out[t, :h]
-            np.subtract(was, n, out=state)
-            state *= z
-            state += n
-            if keep is not None:
-                keep.append((before[t], going, was, z, q, r[2 * h :], n))
+        sign = np.repeat([-1, 1], [2 * h, h]).astype(np.float32)[:, None]  # a gate is 1 / (1 + exp(-a))
+        x, u, going = self.w["x"] * sign, self.w["u"] * sign, (before != _END).astype(np.float32)
+        kind, slots = np.result_type(u, state), time if keep is not None else 1
+        was, r, a = np.empty((slots, h, lanes), kind), np.empty((slots, 3 * h, lanes), kind), np.empty((slots, 3 * h, lanes), x.dtype)
+        part = np.empty((h, lanes), kind)
+        with np.errstate(over="ignore"):
+            for t in range(time):
+                was_, r_, a_ = was[t % slots], r[t % slots], a[t % slots]
+                gates, n = a_[: 2 * h], a_[2 * h :]
+                np.take(x, before[t], axis=1, mode="clip", out=a_)
+                np.multiply(state, going[t], out=was_)
+                np.matmul(u, was_, out=r_)
+                gates += r_[: 2 * h]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.multiply(gates[h:], r_[2 * h :], out=part)
+                n += part
+                np.tanh(n, out=n)
+                np.subtract(was_, n, out=part)
+                part *= gates[:h]
+                state = out[t, :h]
+                np.add(part, n, out=state, casting="same_kind")
+        if keep is not None:
+            keep |= {"going": going, "was": was, "gates": a, "r": r[:, 2 * h :]}
         return out
 
-    def log10(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log10 probability of each target (time, lanes)."""
+    def _bounded(self) -> bool:
+        """Whether no score can be too large for an exponential, as no state is beyond 1."""
+        return max(float(np.abs(self.w[k]).sum(axis=-1).max()) for k in "cw") < SAFE
+
+    def log10(self, states: np.ndarray, target: np.ndarray, bounded: bool = False) -> np.ndarray:
+        """log10 probability of each target (time, lanes). ``bounded``: no score is beyond ``SAFE``."""
         flat, target_ = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(states.shape[1], -1), target.ravel()
-        of, within = np.divmod(target_, self.size)
+        of, within = np.divmod(target_.astype(np.int32), np.int32(self.size))
 
         def log_softmax(score: np.ndarray, right: np.ndarray) -> np.ndarray:
-            own = score[right, np.arange(len(right))]
-            top = score.max(axis=0)
-            score -= top
+            own = score.ravel()[right * np.int64(len(right)) + np.arange(len(right))]
+            if not bounded:
+                top = score.max(axis=0)
+                score -= top
+                own -= top
             np.exp(score, out=score)
-            return own - top - np.log(score.sum(axis=0))
+            own -= np.log(score.sum(axis=0))
+            return own
 
         out = log_softmax(self.w["c"] @ flat, of)
         order = np.argsort(of.astype(np.int16), kind="stable")
         by_class, within = np.take(flat, order, axis=1), within[order]
         bounds = np.searchsorted(of[order], np.arange(len(self.w["c"]) + 1)).tolist()
-        inner = np.concatenate([log_softmax(w @ by_class[:, a:z], within[a:z]) for w, a, z in zip(self.w["w"], bounds[:-1], bounds[1:])])
+        inner = np.concatenate([log_softmax(w @ by_class[:, a:z], within[a:z]) for w, a, z in zip(self.w["w"], bounds[:-1], bounds[1:]) if z > a])
         out[order] += inner
         return (out * np.float32(1 / np.log(10))).reshape(target.shape)
 
     def gradients(self, before: np.ndarray, target: np.ndarray, state: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Mean cross-entropy over a window, its gradients through the window, and the last state."""
-        h, w, kept = self.hidden, self.w, []
+        h, w, kept, bounded = self.hidden, self.w, {}, self._bounded()
         states = self.states(before, state, kept)
         flat = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(h + 1, -1)
-        of, within = np.divmod(target.ravel(), self.size)
-        count, at, loss = len(of), np.arange(len(of)), 0.0
+        of, within = np.divmod(target.ravel().astype(np.int32), np.int32(self.size))
+        count, loss = len(of), 0.0
 
         def softmax(score: np.ndarray, right: np.ndarray) -> np.ndarray:
             nonlocal loss
-            score -= score.max(axis=0)
+            if not bounded:
+                score -= score.max(axis=0)
             p = np.exp(score, out=score)
-            p /= p.sum(axis=0)
-            own = np.arange(len(right))
-            loss -= float(np.log(p[right, own] + 1e-12).sum()) / count
-            p[right, own] -= 1
-            p /= count
+            p *= 1 / (p.sum(axis=0) * count)
+            own, all_ = right * np.int64(len(right)) + np.arange(len(right)), p.reshape(-1)
+            mine = all_[own]
+            loss -= float(np.log(mine * count + 1e-12).sum()) / count
+            all_[own] = mine - 1 / count
             return p
 
-        d = softmax(w["c"] @ flat, of)
-        grad = {"c": d @ flat.T, "w": np.zeros_like(w["w"])}
-        back = w["c"].T @ d
+        # all in the order of the targets' classes, and back once
         order = np.argsort(of.astype(np.int16), kind="stable")
-        by_class, within, inner = np.take(flat, order, axis=1), within[order], np.empty_like(back)
-        bounds = np.searchsorted(of[order], np.arange(len(w["c"]) + 1)).tolist()
+        by_class, of, within, place = np.take(flat, order, axis=1), of[order], within[order], np.empty_like(order)
+        place[order] = np.arange(count)
+        d = softmax(w["c"] @ by_class, of)
+        grad = {"c": d @ by_class.T, "w": np.zeros_like(w["w"])}
+        back = w["c"].T[:h] @ d
+        bounds = np.searchsorted(of, np.arange(len(w["c"]) + 1)).tolist()
         for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:])):
             if z > a:
                 d = softmax(w["w"][k] @ by_class[:, a:z], within[a:z])
                 grad["w"][k] = d @ by_class[:, a:z].T
-                inner[:, a:z] = w["w"][k].T @ d
-        back[:, order] += inner
-        into = back[:h].reshape(h, *before.shape)
-        deltas, gu, later = np.empty((len(before), 3 * h, before.shape[1]), back.dtype), np.zeros_like(w["u"]), np.zeros_like(state)
+                back[:, a:z] += w["w"][k].T[:h] @ d
+        into = np.take(back, place, axis=1).reshape(h, *before.shape)
+        # what doesn't hang on later steps is worked out for all of them at once
+        was, r, going = kept["was"], kept["r"], kept["going"]
+        z, q, n = (kept["gates"][:, i * h : i * h + h] for i in range(3))
+        to_z, to_n, to_q = (was - n) * z * (1 - z), (1 - z) * (1 - n * n), r * q * (1 - q)
+        deltas, later = np.empty((len(before), 4 * h, before.shape[1]), back.dtype), np.zeros_like(state)  # of z, q, n behind q, n
+        back_u = np.ascontiguousarray(w["u"].T)
         for t in range(len(before) - 1, -1, -1):
-            symbol, going, was, z, q, r, n = kept[t]
+            d = deltas[t]
             g = into[:, t] + later
-            dn = g * (1 - z) * (1 - n * n)
-            dq = dn * r * q * (1 - q)
-            deltas[t, :h], deltas[t, h : 2 * h], deltas[t, 2 * h :] = g * (was - n) * z * (1 - z), dq, dn
-            dr = deltas[t].copy()
-            dr[2 * h :] *= q
-            gu += dr @ was.T
-            later = (g * z + w["u"].T @ dr) * going
+            np.multiply(g, to_z[t], out=d[:h])
+            np.multiply(g, to_n[t], out=d[3 * h :])
+            np.multiply(d[3 * h :], to_q[t], out=d[h : 2 * h])
+            np.multiply(d[3 * h :], q[t], out=d[2 * h : 3 * h])
+            g *= z[t]
+            later = back_u @ d[: 3 * h]
+            later += g
+            later *= going[t]
         # one sum for each symbol that occurs
         symbols = before.ravel()
         order = np.argsort(symbols.astype(np.int16), kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(symbols[order]) != 0))
+        of_x = np.concatenate([deltas[:, : 2 * h], deltas[:, 3 * h :]], axis=1).transpose(1, 0, 2).reshape(3 * h, -1)
         gx = np.zeros_like(w["x"])
-        gx[:, symbols[order[starts]]] = np.add.reduceat(np.take(deltas.transpose(1, 0, 2).reshape(3 * h, -1), order, axis=1), starts, axis=1)
-        grad |= {"x": gx, "u": gu}
+        gx[:, symbols[order[starts]]] = np.add.reduceat(np.take(of_x, order, axis=1), starts, axis=1)
+        grad |= {"x": gx, "u": np.matmul(deltas[:, : 3 * h], was.transpose(0, 2, 1)).sum(axis=0)}
         return loss, grad, states[-1, :h]
 
     def fit(self, docs: list[np.ndarray], lanes: int | None = None, epochs: int = 1, rate: float = RATE, moments: dict | None = None) -> float:
@@ -193,28 +219,28 @@ class WordModel:
             load, k = heapq.heappop(loads)
             lane[k].append(i)
             heapq.heappush(loads, (load + len(docs[i]), k))
-        totals = np.zeros(len(docs))
+        if not docs:
+            return np.zeros(0)
+        lane.sort(key=lambda own: -sum(len(docs[i]) for i in own))
+        whose = [i for own in lane for i in own]
+        # lane after lane, with an end before them all: what stands before a lane is the end of the one before it
+        stream = np.concatenate([[_END], *(docs[i] for i in whose)])
         sizes = np.array([sum(len(docs[i]) for i in own) for own in lane])
-        order = np.argsort(-sizes, kind="stable")
-        streams = [np.concatenate([docs[i] for i in lane[k]]) for k in order]
-        owners = [np.repeat(lane[k], [len(docs[i]) for i in lane[k]]) for k in order]
-        sizes = sizes[order]
-        state = np.zeros((self.hidden, len(streams)), np.float32)
-        for a in range(0, int(sizes[0]) if len(sizes) else 0, WINDOW):
+        starts, logs = np.cumsum(sizes) - sizes, np.empty(len(stream) - 1)
+        state, bounded, a = np.zeros((self.hidden, len(lane)), np.float32), self._bounded(), 0
+        while a < sizes[0]:
             live = int(np.searchsorted(-sizes, -a, "left"))
-            time = min(WINDOW, int(sizes[0]) - a)
-            target, owner = np.zeros((time, live), np.int64), np.full((time, live), len(docs))
-            before = np.zeros((time, live), np.int64)
-            for k in range(live):
-                part = streams[k][a : a + time]
-                target[: len(part), k] = part
-                owner[: len(part), k] = owners[k][a : a + time]
-                before[0, k] = streams[k][a - 1] if a else _END
-            before[1:] = target[:-1]
-            states = self.states(before, state[:, :live])
+            # the fewer lanes go on, the longer the window, but over WINDOW no longer than all of them last
+            time = int(min(sizes[0] - a, max(WINDOW, min(WINDOW * lanes // live, sizes[live - 1] - a))))
+            step = a + np.arange(time)[:, None]
+            at, lasts = starts[:live] + step, step < sizes[:live]
+            np.minimum(at, len(logs) - 1, out=at)
+            target = np.where(lasts, stream[at + 1], _END)
+            states = self.states(stream[at], state[:, :live])
             state = states[-1, : self.hidden]
-            totals += np.bincount(owner.ravel(), self.log10(states, target).ravel().astype(np.float64), len(docs) + 1)[:-1]
-        return totals
+            logs[at[lasts]] = self.log10(states, target, bounded)[lasts]
+            a += time
+        return np.bincount(np.repeat(whose, [len(docs[i]) for i in whose]), logs, len(docs))
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -226,6 +252,23 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(some), before[offsets - offsets[0]]
 
 
+def together(batches: Iterator[pa.RecordBatch], size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The same rows in their order, in batches of up to ``size`` bytes; a larger one stays as it is, empty ones go."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+
+    for batch in batches:
+        if sum(b.nbytes for b in held) + batch.nbytes > size:
+            yield from joined()
+        if batch.num_rows:
+            held.append(batch)
+    yield from joined()
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, c over the column ``text``, with an end for each row."""
     small_batches(texts.sparkSession)
@@ -310,7 +353,7 @@ def train_rounds(texts: DataFrame, model: WordModel, symbol: np.ndarray, words:
         def learn(batches: Iterator[pa.RecordBatch], shared=shared, now=rate * (1 - r / rounds)) -> Iterator[pa.RecordBatch]:
             start, symbol, words = shared.value
             own, moments, seen, gathered, size = start.copy(), {}, 0, [], 0
-            for batch in batches:
+            for batch in together(batches):
                 more = _symbols(batch.column(0), symbol, words)[0]
                 gathered, size = gathered + more, size + sum(map(len, more))
                 if size > GATHERED:
@@ -357,10 +400,8 @@ def score_documents(docs: DataFrame, held_out: Column, *, frequent: int = FREQUE
         row = TaskContext.get().partitionId() << 33
         logs, weight = np.log10(c + SMOOTH), np.log10((c + SMOOTH) / rest)
         weight[:known] = 0
-        for batch in batches:
+        for batch in together(batches):
             size = batch.num_rows
-            if not size:
-                continue
             sequences, coded, ends, place = _symbols(batch.column(1), symbol, common_words)
             codes, owner = coded.indices.to_numpy(), np.repeat(np.arange(size), np.diff(ends))
             at = place[codes]

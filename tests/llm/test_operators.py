@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -487,6 +488,41 @@ def test_word_model_is_a_distribution_and_carries_its_state():
     assert model.score(stream).mean() > 0.5 * before
 
 
+def test_word_model_does_not_wait_for_one_long_text(monkeypatch):
+    """Batches are scored together, and what goes on alone in its lane takes few windows; scores are those of each text alone."""
+    model, rng, windows = word_model.WordModel(symbols=20, classes=4, hidden=6), np.random.default_rng(3), []
+    docs = [np.append(rng.integers(1, 20, n), 0) for n in (9000, *rng.integers(0, 90, 40), 700)]
+    one = [float(model.log10(model.states(np.append(0, d[:-1])[:, None], np.zeros((6, 1), np.float32)), d[:, None]).sum()) for d in docs]
+    states = model.states
+    monkeypatch.setattr(model, "states", lambda before, *rest: windows.append(before.shape) or states(before, *rest))
+    assert np.allclose(model.score(docs), one, rtol=1e-4)
+    assert len(windows) < 40 and max(t * k for t, k in windows) <= word_model.WINDOW * word_model.LANES  # 282 by windows of 32
+    assert len(model.score([])) == 0
+
+
+def test_word_model_takes_batches_together():
+    sizes = [3, 0, 5, 400, 2, 2, 1]
+    ids = np.arange(sum(sizes))
+    cut = np.cumsum([0, *sizes])
+    batches = [pa.RecordBatch.from_pydict({"i": pa.array(ids[a:z]), "t": pa.array(["x" * 50] * int(z - a))}) for a, z in zip(cut[:-1], cut[1:])]
+    got = list(word_model.together(iter(batches), 1000))
+    assert [b.num_rows for b in got] == [8, 400, 5] and [i for b in got for i in b["i"].to_pylist()] == ids.tolist()
+    assert list(word_model.together(iter([]))) == []
+
+
+def test_word_model_bounds_its_exponentials():
+    """Large weights give the same losses and probabilities as small ones do, without an overflow."""
+    model, rng = word_model.WordModel(symbols=20, classes=4, hidden=6), np.random.default_rng(4)
+    before, target = rng.integers(0, 20, (5, 3)), rng.integers(0, 20, (5, 3))
+    assert model._bounded()
+    model.w["c"] *= 1e5
+    model.w["x"] *= 1e4
+    assert not model._bounded()
+    loss, grad, state = model.gradients(before, target, np.zeros((6, 3), np.float32))
+    assert np.isfinite(loss) and all(np.isfinite(g).all() for g in grad.values()) and np.abs(state).max() <= 1
+    assert np.isfinite(model.score([np.append(rng.integers(1, 20, 50), 0)])).all()
+
+
 def test_gradients_of_both_networks():
     rng = np.random.default_rng(2)
     model = word_model.WordModel(symbols=12, classes=3, hidden=4)
