@@ -447,3 +447,31 @@ def test_command_line(spark, tmp_path):
     with pytest.raises(Exception, match="longer than"):
         command.main(["map", "-p", str(tmp_path / "i"), "-i", str(tmp_path / "x.fq"), "-o", str(tmp_path / "no"), "-l", "70"])
     assert np.all([p.name.endswith(".gz") for p in (tmp_path / "sam").iterdir()])
+
+
+def test_lists_of_the_seeds_that_reads_ask(spark, genome, tmp_path):
+    texts = [drawn(0, 40 * k, 90, k % 3) for k in range(20)] + ["A" * 90, "AC" * 45, drawn(1, 300, 90).translate(FLIP)[::-1]]
+    reads = reads_of(spark, texts)
+    ix.write_contigs(genome, str(tmp_path / "g"))
+    tiled = ix.read_contigs(spark, str(tmp_path / "g"))["tiles"]
+    for seed in (10, 12, 14):  # seeds of 14 share bits of the map
+        whole = mapping.build_index(spark, genome, str(tmp_path / f"w{seed}"), seed=seed, buckets=4)
+        subs = seeding.sub_seeds(seeding.long_seeds(seeding.oriented(reads), seed), seed)
+        ix.write_lists(tiled, str(tmp_path / f"s{seed}"), seed=seed, buckets=4, wanted=ix.seed_map(subs))
+        with pytest.raises(ValueError, match="some seeds"):
+            ix.read_index(spark, str(tmp_path / f"s{seed}"), seed, str(tmp_path / "g"))
+        some = ix.read_index(spark, str(tmp_path / f"s{seed}"), seed, str(tmp_path / "g"), some_seeds=True)
+        asked = {r.seed & (ix.MAP_BITS - 1) for r in subs.select("seed").distinct().collect()}
+        kept = {tuple(r) for r in whole["seed_pos"].collect() if r.seed & (ix.MAP_BITS - 1) in asked}
+        assert {tuple(r) for r in some["seed_pos"].collect()} == kept and some["seed_pos"].count() == len(kept) < whole["seed_pos"].count()
+        assert {tuple(r) for r in some["seed_count"].collect()} == {tuple(r) for r in whole["seed_count"].collect() if r.seed & (ix.MAP_BITS - 1) in asked}
+        found = sorted(map(tuple, mapping.map_reads(some, reads).collect()))
+        assert found == sorted(map(tuple, mapping.map_reads(whole, reads).collect())) and len({f[0] for f in found}) >= 21
+
+
+def test_queries_list_only_what_their_reads_ask(spark):
+    plan = queries._Plan(spark, "/root/testdata/sf0.001")
+    asked = {r.seed for r in plan.subs.select("seed").distinct().collect()}
+    listed = {r.seed for r in plan.index["postings"].select("seed").collect()}
+    assert plan.counts.count() > 50 * len(listed) and listed <= asked
+    assert {(r.seed, r.n) for r in plan.index["seed_count"].select("seed", "n").collect()} == {(r.seed, r.n) for r in plan.counts.collect() if r.seed in asked}
