@@ -475,3 +475,21 @@ def test_queries_list_only_what_their_reads_ask(spark):
     listed = {r.seed for r in plan.index["postings"].select("seed").collect()}
     assert plan.counts.count() > 50 * len(listed) and listed <= asked
     assert {(r.seed, r.n) for r in plan.index["seed_count"].select("seed", "n").collect()} == {(r.seed, r.n) for r in plan.counts.collect() if r.seed in asked}
+
+
+def test_places_of_all_seeds_need_no_posting_lists(spark, monkeypatch):
+    monkeypatch.setattr(ix, "write_lists", lambda *a, **k: pytest.fail("lists were written"))
+    flanked, sampled = (queries.queries()[name](spark, "/root/testdata/sf0.001") for name in ("seed_flanks", "sampled_seeds"))
+    assert flanked.columns == ["seed", "contig_id", "pos", "left3", "right3"]
+    tiled = ix.tiles(queries.sequences(spark, "/root/testdata/sf0.001"))
+    assert flanked.count() == sampled.count() == ix.count_seeds(tiled).agg(F.sum("n")).first()[0] > 50_000
+    assert "substr" not in plan_of(flanked)  # flanks are looked up, not put together letter by letter
+
+
+def test_flanks_as_texts_of_any_part(spark):
+    codes = [0, 1 << 12, 5 << 12 | 0b0100, (1 << 18) - 1, *(rng.randrange(1 << 18) for _ in range(200))]
+    letters = [*"ACGTN-R", ""]
+    want = lambda c, at, many: "".join(letters[(c >> 2 * k & 3) + 4 * (c >> 12 + k & 1)] for k in range(at, at + many))
+    parts = [(0, 3), (3, 3), (0, 6), (1, 4), (5, 1)]
+    rows = spark.createDataFrame([(c,) for c in codes], "c int").select("c", *[dna.flank_text(F.col("c"), *p).alias(f"t{i}") for i, p in enumerate(parts)]).collect()
+    assert [tuple(r)[1:] for r in rows] == [tuple(want(r.c, *p) for p in parts) for r in rows]
