@@ -493,3 +493,11 @@ def test_flanks_as_texts_of_any_part(spark):
     parts = [(0, 3), (3, 3), (0, 6), (1, 4), (5, 1)]
     rows = spark.createDataFrame([(c,) for c in codes], "c int").select("c", *[dna.flank_text(F.col("c"), *p).alias(f"t{i}") for i, p in enumerate(parts)]).collect()
     assert [tuple(r)[1:] for r in rows] == [tuple(want(r.c, *p) for p in parts) for r in rows]
+
+
+def test_short_seeds_list_what_is_asked_and_rests_are_packed_once(spark):
+    plan = queries._Plan(spark, "/root/testdata/sf0.001", queries.SHORT_SEED)
+    listed = plan.index["postings"].agg(F.sum(F.size("places"))).first()[0]
+    assert 0 < 4 * listed < plan.counts.agg(F.sum("n")).first()[0]
+    hits = plan_of(seeding.filtered_hits(plan.hits()))
+    assert "Generate inline" in hits and "regexp_replace" not in hits and "conv(" not in hits, hits  # the probes hold the packed rests
